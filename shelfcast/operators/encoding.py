@@ -9,21 +9,37 @@ from shelfcast import schema as s
 from shelfcast.session import materialize
 
 
-def label_index(labels: DataFrame, label: str, code: str) -> DataFrame:
-    """Codes 0..n-1 for the sorted distinct labels, without sorting them in one task.
+def label_codes(labels: DataFrame) -> DataFrame:
+    """Codes 0..n-1 of the sorted distinct labels of each kind, without sorting them in one task.
 
-    The labels are range-partitioned and written with the number of their range. A label's code is the
-    number of labels in earlier ranges plus its place in its own; only the range sizes are summed in one task.
+    ``labels`` has the columns ``kind`` and ``label``. The distinct labels are range-partitioned and written
+    with the number of their range. A label's code is the number of its kind's labels in earlier ranges plus
+    its place in its own range; only the range sizes, a few per range, are summed in one task.
     """
-    distinct = labels.select(label).where(F.col(label).isNotNull()).distinct()
+    distinct = labels.select("kind", "label").where(F.col("label").isNotNull()).distinct()
     ranged = materialize(
-        distinct.repartitionByRange(F.col(label)).withColumn("_range", F.spark_partition_id()), "labels"
+        distinct.repartitionByRange("kind", "label").withColumn("_range", F.spark_partition_id()), "label-ranges"
     )
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(label)) - 1
-    return ranged.join(offsets, "_range").select(label, (F.col("_offset") + place).cast("long").alias(code))
+    sizes = ranged.groupBy("kind", "_range").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy("kind").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("kind", "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("kind", "_range").orderBy("label")) - 1
+    return materialize(
+        ranged.join(offsets, ["kind", "_range"]).select(
+            "kind", "label", (F.col("_offset") + place).cast("long").alias("code")
+        ),
+        "label-codes",
+    )
+
+
+def as_labels(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The given columns as (kind, label) rows."""
+    listed = [F.struct(F.lit(kind).alias("kind"), c.alias("label")) for kind, c in columns.items()]
+    return df.select(F.inline(F.array(*listed)))
+
+
+def _lookup(codes: DataFrame, kind: str, label: str, code: str) -> DataFrame:
+    return codes.where(F.col("kind") == kind).select(F.col("label").alias(label), F.col("code").alias(code))
 
 
 def composite(*parts: Column) -> Column:
@@ -51,18 +67,25 @@ def fit_encoders(panel: DataFrame) -> Encoders:
     ``panel`` needs the series keys and ``Month``.
     """
     combos = materialize(panel.select(*s.SERIES, "Month").distinct(), "label-combinations")
-    region = materialize(label_index(combos, s.REGION, "RegionID"), "region-codes")
-    store = materialize(label_index(combos, s.STORE, "StoreID"), "store-codes")
-    product = materialize(label_index(combos, s.PRODUCT, "ProductID"), "product-codes")
-    ids = combos.join(store, s.STORE).join(product, s.PRODUCT)
-    pairs = ids.select(composite(F.col("ProductID"), F.col("StoreID")).alias("Product_Store_Combo"))
-    months = ids.select(composite(F.col("Month"), F.col("ProductID")).alias("Month_Product"))
+    base = label_codes(as_labels(combos, {c: F.col(c) for c in s.SERIES}))
+    region = _lookup(base, s.REGION, s.REGION, "RegionID")
+    store = _lookup(base, s.STORE, s.STORE, "StoreID")
+    product = _lookup(base, s.PRODUCT, s.PRODUCT, "ProductID")
+    combined = label_codes(
+        as_labels(
+            combos.join(store, s.STORE).join(product, s.PRODUCT),
+            {
+                "product_store": composite(F.col("ProductID"), F.col("StoreID")),
+                "month_product": composite(F.col("Month"), F.col("ProductID")),
+            },
+        )
+    )
     return Encoders(
         region,
         store,
         product,
-        materialize(label_index(pairs, "Product_Store_Combo", "Product_Store_ID"), "product-store-codes"),
-        materialize(label_index(months, "Month_Product", "Month_Product_ID"), "month-product-codes"),
+        _lookup(combined, "product_store", "Product_Store_Combo", "Product_Store_ID"),
+        _lookup(combined, "month_product", "Month_Product", "Month_Product_ID"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast import schema as s
 from shelfcast.functions.calendar import season_flags
 from shelfcast.operators.holidays import add_holiday_features
-from shelfcast.session import broadcast_if_small
+from shelfcast.session import broadcast_if_small, materialize
 
 # Codes of the lifecycle stages.
 LIFECYCLE_CODES = {"Introduction": 0, "Growth": 1, "Maturity": 2, "Decline": 3}
@@ -30,10 +30,6 @@ def _resolve_duplicates(table: DataFrame, keys: Sequence[str], on_duplicate: str
     raise ValueError("on_duplicate must be keep, mean or error")
 
 
-def _attach(panel: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return panel.join(broadcast_if_small(table), list(keys), "left")
-
-
 def fill_zero(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     return panel.fillna(0, subset=list(columns))
 
@@ -53,12 +49,13 @@ def fill_mean(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _direct(panel, table, keys, columns, fill, on_duplicate) -> DataFrame:
     wanted = _resolve_duplicates(table.select(*keys, *columns), keys, on_duplicate)
-    return fill(_attach(panel, wanted, keys), columns)
+    return fill(panel.join(broadcast_if_small(wanted), list(keys), "left"), columns)
 
 
 def _grouped(panel: DataFrame, table: DataFrame, aggregates: Mapping[str, Column], fill) -> DataFrame:
-    weekly = table.groupBy(*WEEKLY).agg(*[v.alias(c) for c, v in aggregates.items()])
-    return fill(_attach(panel, weekly, WEEKLY), list(aggregates))
+    """Join one row per week. Written first, its size is known and decides how it is joined."""
+    weekly = materialize(table.groupBy(*WEEKLY).agg(*[v.alias(c) for c, v in aggregates.items()]), "side-table")
+    return fill(panel.join(weekly, list(WEEKLY), "left"), list(aggregates))
 
 
 def add_economic(panel: DataFrame, table: DataFrame, *, on_duplicate: str = "keep") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.functions.states import state_code
-from shelfcast.session import broadcast_if_small, materialize
+from shelfcast.session import materialize
 
 NATIONAL = "*"
 # Fixed value: distance reported when no holiday lies on that side.
@@ -108,7 +108,7 @@ def add_holiday_features(
     keyed = panel.withColumn("Holiday_State_Code", code).withColumn(
         "_calendar", calendar_of(F.col("Holiday_State_Code"), known_codes(holidays))
     )
-    lookup = broadcast_if_small(features).select(
+    lookup = features.select(
         F.col("calendar").alias("_calendar"), F.col("day").alias("_day"), *HOLIDAY_COLUMNS
     )
     joined = keyed.join(

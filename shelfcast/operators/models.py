@@ -54,8 +54,10 @@ class PoissonBoosting:
         best, kept, stale = float("inf"), 0, 0
         for number in range(self.rounds):
             mu = F.exp("_margin")
-            step = scored.where(~F.col("_valid") & (F.rand(SEED + number) < self.subsample)).select(
-                "features", ((F.col("_y") - mu) / mu).alias("_step"), mu.alias("_weight")
+            step = (
+                scored.where(~F.col("_valid") & (F.rand(SEED + number) < self.subsample))
+                .select("features", ((F.col("_y") - mu) / mu).alias("_step"), mu.alias("_weight"))
+                .persist()
             )
             tree = DecisionTreeRegressor(
                 featuresCol="features",
@@ -66,6 +68,7 @@ class PoissonBoosting:
                 minInstancesPerNode=self.min_instances,
                 seed=SEED + number,
             ).fit(step)
+            step.unpersist()
             trees.append(tree)
             scored = (
                 tree.transform(scored)
@@ -171,7 +174,7 @@ def tournament(
     ``frame`` has the features, the label and ``is_train``. A candidate that fails is reported and skipped;
     if all fail there is no result.
     """
-    frame = materialize(align(frame, features, (LABEL, "is_train")), "training-frame")
+    frame = _spread(materialize(align(frame, features, (LABEL, "is_train")), "training-frame"))
     sizes = {row["is_train"]: row["count"] for row in frame.groupBy("is_train").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         raise ValueError("Not enough weekly rows to create a train-test split.")
@@ -197,6 +200,12 @@ def tournament(
     return Tournament(winner, fitted[winner], _metric_rows(frame, rows), failures)
 
 
+def _spread(frame: DataFrame) -> DataFrame:
+    """A written table too small to occupy all cores is spread over them; a large one stays as it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def _metric_rows(frame: DataFrame, rows: list[dict]) -> DataFrame:
     schema = (
         "position int, model string, rows long, mae double, rmse double, wape double, "

@@ -47,12 +47,14 @@ def weekly_demand(
     """Gap-free weekly demand per key, from the key's first to its last week.
 
     Weeks without sales have zero sums and null means. The rows are shuffled once more by store and
-    product before the gaps are filled, so that the series features need no further shuffle.
+    product before the gaps are filled, so that the series features need no further shuffle. As the rows
+    multiply after that shuffle, its partitions are not merged by their small size before it.
     """
     observed = observed_weeks(sales, keys, means)
     cluster = [c for c in s.PAIR if c in keys]
     if cluster:
-        observed = observed.repartition(*cluster)
+        partitions = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        observed = observed.repartition(partitions, *cluster)
     ordered = [*cluster, *[c for c in keys if c not in cluster]]
     dense = fill_gaps(observed, ordered, s.WEEK_END, step="weeks", zero=SUMS)
     quantity = whole_units(F.col(s.QUANTITY)) if whole else F.col(s.QUANTITY)

@@ -205,7 +205,7 @@ def _panel(spark, sf, columns=(*s.REQUIRED, *s.OPTIONAL)):
 
 
 def _priced(name, column, body):
-    return query(name, rounded("panel", body, column))
+    return query(name, rounded("panel", body, column, 4), digits=4)
 
 
 @_priced(
@@ -343,7 +343,9 @@ SELECT StoreName, sum("Week")::BIGINT AS "Week", sum("Month")::BIGINT AS "Month"
 FROM panel GROUP BY StoreName
 """,
         "True_Demand Effective_Price",
+        3,
     ),
+    digits=3,
 )
 def align_features(spark, sf):
     frame = align(add_calendar_features(_panel(spark, sf)), s.FEATURES, (s.STORE,))

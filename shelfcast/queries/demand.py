@@ -41,9 +41,7 @@ FROM spine s LEFT JOIN observed o ON s.RegionName = o.RegionName AND s.StoreName
  AND s.ProductName = o.ProductName AND s.week_end = o.week_end
 """,
         "Quantity True_Demand MRP ProductLevelDiscAmount Bank_Emi_Flag Bank_Cashback_Pct Additional_Funded_Scheme_Pct",
-        4,
     ),
-    digits=4,
 )
 def selection_weekly(spark, sf):
     return weekly.selection_weekly(canonical_sales(spark, sf))

@@ -36,7 +36,7 @@ def _side_join(name: str, table: str, cte: str, keys: str, doubles: str, integer
     filled = "0" if fill == "zero" else "avg({c}) OVER ()"
     picks = ", ".join(f'coalesce(t.{c}, {filled.format(c="t." + c)}) AS {c}' for c in (doubles + " " + integers).split())
     values = ", ".join(
-        [f"avg({c}) AS {c}" for c in doubles.split()] + [f"CAST(max({c}) AS BIGINT) AS {c}" for c in integers.split()]
+        [f"max({c}) AS {c}" for c in doubles.split()] + [f"CAST(max({c}) AS BIGINT) AS {c}" for c in integers.split()]
     )
     body = f"""
 SELECT CAST("{k1}" AS INTEGER) AS "{k1}", CAST("{k2}" AS INTEGER) AS "{k2}", count(*) AS "rows", {values} FROM (
@@ -48,7 +48,7 @@ GROUP BY 1, 2
         joined = external.SIDE_JOINS[table](_panel(spark, sf), side_table(spark, sf, table))
         return joined.groupBy(k1, k2).agg(
             F.count("*").alias("rows"),
-            *[F.avg(c).alias(c) for c in doubles.split()],
+            *[F.max(c).alias(c) for c in doubles.split()],
             *[F.max(c).cast("long").alias(c) for c in integers.split()],
         )
 

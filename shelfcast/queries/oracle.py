@@ -25,8 +25,14 @@ def sql(needs: str, body: str) -> str:
 
 
 def rounded(needs: str, body: str, columns: str, digits: int = 6) -> str:
-    """As ``sql``, with the given result columns rounded."""
-    replaced = ", ".join(f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0::DOUBLE AS "{c}"' for c in columns.split())
+    """As ``sql``, with the given result columns rounded.
+
+    The rounding is written out, since engines differ in how they round values that end in 5.
+    """
+    scale = f"{10 ** digits}.0::DOUBLE"
+    replaced = ", ".join(
+        f'floor(CAST("{c}" AS DOUBLE) * {scale} + 0.5::DOUBLE) / {scale} AS "{c}"' for c in columns.split()
+    )
     return sql(needs, f"SELECT * REPLACE ({replaced}) FROM (\n{body.strip()}\n) AS answer")
 
 

@@ -33,12 +33,8 @@ def _months(spark, sf):
 
 @query("M1_label_codes", sql("base_codes", "SELECT kind, label, CAST(code AS BIGINT) AS code FROM base_codes"))
 def label_codes(spark, sf):
-    series = materialize(canonical_sales(spark, sf, s.SERIES).distinct(), "series")
-    parts = [
-        encoding.label_index(series, c, "code").select(F.lit(c).alias("kind"), F.col(c).alias("label"), "code")
-        for c in s.SERIES
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    series = canonical_sales(spark, sf, s.SERIES)
+    return encoding.label_codes(encoding.as_labels(series, {c: F.col(c) for c in s.SERIES}))
 
 
 _COMBOS = """

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +13,15 @@ ORACLES: dict[str, str] = {}
 
 
 def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Round the doubles, so that the order of a sum does not show."""
+    """Round the doubles by the arithmetic that the statements use, so that the order of a sum does not show."""
     doubles = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)}
-    return df.select(
-        *[(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
-    )
+    scale = F.lit(float(10**digits))
+
+    def value(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return (F.floor(c * scale + F.lit(0.5)).cast("double") / scale).alias(name) if name in doubles else c
+
+    return df.select(*[value(c) for c in df.columns])
 
 
 def query(name: str, sql: str | None = None, *, digits: int = 6) -> Callable[[Query], Query]:
