@@ -11,6 +11,7 @@ from shelfcast import schema as s
 from shelfcast.operators.audit import missing_dates, sudden_changes, upload_summary
 from shelfcast.operators.cleaning import dedupe, parse_bill_date, require_rows, retraining_window
 from shelfcast.operators.encoding import Encoders
+from shelfcast.operators.forecasting import align
 from shelfcast.operators.models import Tournament, tournament
 from shelfcast.operators.split import mark_train, mark_train_by_date
 from shelfcast.plans.features import training_frame
@@ -50,7 +51,7 @@ def train(
     """
     cleaned = require_rows(parse_bill_date(s.require_columns(sales)))
     frame, encoders = training_frame(cleaned, holidays, tables, shift=shift)
-    frame = materialize(frame.select(*s.SERIES, s.WEEK_END, s.QUANTITY, *s.FEATURES), "features")
+    frame = materialize(align(frame, keep=(*s.SERIES, s.WEEK_END, s.QUANTITY)), "features")
     split = mark_train(frame, fraction) if test_from is None else mark_train_by_date(frame, test_from)
     return tournament(split, candidates=candidates, log=log), encoders
 
