@@ -1,6 +1,7 @@
 """Joins of the optional side tables to the weekly panel."""
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,12 +9,82 @@ from pyspark.sql import functions as F
 from shelfcast import schema as s
 from shelfcast.functions.calendar import season_flags
 from shelfcast.operators.holidays import add_holiday_features
-from shelfcast.session import broadcast_if_small, materialize
+from shelfcast.session import materialize
 
 # Codes of the lifecycle stages.
 LIFECYCLE_CODES = {"Introduction": 0, "Growth": 1, "Maturity": 2, "Decline": 3}
 
 MONTHLY, WEEKLY = ("Year", "Month"), ("Year", "Week")
+PERIOD = ("Year", "Month", "Week")
+
+
+@dataclass(frozen=True)
+class SideTable:
+    """How a side table is brought to one set of values per period, and what fills periods it lacks."""
+
+    keys: tuple[str, str]
+    columns: tuple[str, ...]
+    fill: str
+    prepare: Callable[[DataFrame], DataFrame] | None = None
+
+
+def _competitor(table: DataFrame) -> DataFrame:
+    return table.groupBy(*WEEKLY).agg(
+        F.avg("Promotion_Intensity").alias("Competitor_Promotion_Intensity"),
+        F.avg("Price_Undercut_Percent").alias("Competitor_Price_Undercut"),
+        F.max("New_Store_Opening").alias("Competitor_New_Store_Opening"),
+    )
+
+
+def _marketing(table: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("Ad_Spend_INR", "Impressions", "Clicks", "Conversions")]
+    return table.groupBy(*WEEKLY).agg(*sums, F.avg("Campaign_Intensity").alias("Campaign_Intensity"))
+
+
+LEVELS = ("Lead_Time_Days", "On_Time_Delivery_Rate", "Quality_Score", "Supplier_Reliability_Index")
+
+
+def _supply_chain(table: DataFrame) -> DataFrame:
+    """Per week, the mean over products of each product's weekly figures."""
+    by_product = table.where(F.col("Product_ID").isNotNull()).groupBy(*WEEKLY, "Product_ID").agg(
+        *[F.avg(c).alias(c) for c in LEVELS],
+        F.coalesce(F.sum("Stockout_Events"), F.lit(0)).alias("Stockout_Events"),
+    )
+    return by_product.groupBy(*WEEKLY).agg(*[F.avg(c).alias(c) for c in (*LEVELS, "Stockout_Events")])
+
+
+SIDE_TABLES: dict[str, SideTable] = {
+    "economic": SideTable(
+        MONTHLY,
+        (
+            "GDP_Growth_Rate",
+            "Consumer_Confidence_Index",
+            "Inflation_Rate",
+            "Unemployment_Rate",
+            "Interest_Rate",
+        ),
+        "mean",
+    ),
+    "weather": SideTable(
+        MONTHLY, ("Avg_Temperature_C", "Total_Rainfall_mm", "Humidity_Percent", "Weather_Index"), "mean"
+    ),
+    "competitor": SideTable(
+        WEEKLY,
+        ("Competitor_Promotion_Intensity", "Competitor_Price_Undercut", "Competitor_New_Store_Opening"),
+        "zero",
+        _competitor,
+    ),
+    "marketing": SideTable(
+        WEEKLY,
+        ("Ad_Spend_INR", "Impressions", "Clicks", "Conversions", "Campaign_Intensity"),
+        "zero",
+        _marketing,
+    ),
+    "supply_chain": SideTable(WEEKLY, (*LEVELS, "Stockout_Events"), "mean", _supply_chain),
+    "bank_offers": SideTable(WEEKLY, ("Bank_Offer_Intensity", "Card_Promotion_Level"), "zero"),
+    "custom_discounts": SideTable(WEEKLY, ("Store_Discount_Level", "Loyalty_Discount_Available"), "zero"),
+    "custom_promotions": SideTable(WEEKLY, ("Promotion_Type_Code", "Promotion_Discount_Pct"), "zero"),
+}
 
 
 def _resolve_duplicates(table: DataFrame, keys: Sequence[str], on_duplicate: str) -> DataFrame:
@@ -34,12 +105,19 @@ def fill_zero(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     return panel.fillna(0, subset=list(columns))
 
 
-def fill_mean(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace nulls by the column's mean over all rows.
+def fill_mean(panel: DataFrame, columns: Sequence[str], *, weight: str | None = None) -> DataFrame:
+    """Replace nulls by the column's mean over all rows; a row may stand for ``weight`` rows.
 
-    The means are one aggregate over the panel, with partial results per task; only one row moves on.
+    The means are one aggregate with partial results per task; only one row moves on.
     """
-    means = panel.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("means")).scalar()
+
+    def mean(c: str) -> Column:
+        if weight is None:
+            return F.avg(c)
+        known = F.when(F.col(c).isNotNull(), F.col(weight))
+        return F.try_divide(F.sum(F.col(c) * F.col(weight)), F.sum(known))
+
+    means = panel.agg(F.struct(*[mean(c).alias(c) for c in columns]).alias("means")).scalar()
     return (
         panel.withColumn("_means", means)
         .withColumns({c: F.coalesce(F.col(c).cast("double"), F.col("_means")[c]) for c in columns})
@@ -47,87 +125,36 @@ def fill_mean(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _direct(panel, table, keys, columns, fill, on_duplicate) -> DataFrame:
-    wanted = _resolve_duplicates(table.select(*keys, *columns), keys, on_duplicate)
-    return fill(panel.join(broadcast_if_small(wanted), list(keys), "left"), columns)
-
-
-def _grouped(panel: DataFrame, table: DataFrame, aggregates: Mapping[str, Column], fill) -> DataFrame:
-    """Join one row per week. Written first, its size is known and decides how it is joined."""
-    weekly = materialize(table.groupBy(*WEEKLY).agg(*[v.alias(c) for c, v in aggregates.items()]), "side-table")
-    return fill(panel.join(weekly, list(WEEKLY), "left"), list(aggregates))
-
-
-def add_economic(panel: DataFrame, table: DataFrame, *, on_duplicate: str = "keep") -> DataFrame:
-    columns = (
-        "GDP_Growth_Rate",
-        "Consumer_Confidence_Index",
-        "Inflation_Rate",
-        "Unemployment_Rate",
-        "Interest_Rate",
-    )
-    return _direct(panel, table, MONTHLY, columns, fill_mean, on_duplicate)
-
-
-def add_weather(panel: DataFrame, table: DataFrame, *, on_duplicate: str = "keep") -> DataFrame:
-    columns = ("Avg_Temperature_C", "Total_Rainfall_mm", "Humidity_Percent", "Weather_Index")
-    return _direct(panel, table, MONTHLY, columns, fill_mean, on_duplicate)
-
-
-def add_competitor(panel: DataFrame, table: DataFrame) -> DataFrame:
-    aggregates = {
-        "Competitor_Promotion_Intensity": F.avg("Promotion_Intensity"),
-        "Competitor_Price_Undercut": F.avg("Price_Undercut_Percent"),
-        "Competitor_New_Store_Opening": F.max("New_Store_Opening"),
-    }
-    return _grouped(panel, table, aggregates, fill_zero)
-
-
-def add_marketing(panel: DataFrame, table: DataFrame) -> DataFrame:
-    aggregates = {c: F.sum(c) for c in ("Ad_Spend_INR", "Impressions", "Clicks", "Conversions")}
-    return _grouped(panel, table, aggregates | {"Campaign_Intensity": F.avg("Campaign_Intensity")}, fill_zero)
-
-
-def add_supply_chain(panel: DataFrame, table: DataFrame) -> DataFrame:
-    """Per week, the mean over products of each product's weekly figures."""
-    levels = ("Lead_Time_Days", "On_Time_Delivery_Rate", "Quality_Score", "Supplier_Reliability_Index")
-    by_product = table.where(F.col("Product_ID").isNotNull()).groupBy(*WEEKLY, "Product_ID").agg(
-        *[F.avg(c).alias(c) for c in levels],
-        F.coalesce(F.sum("Stockout_Events"), F.lit(0)).alias("Stockout_Events"),
-    )
-    return _grouped(panel, by_product, {c: F.avg(c) for c in (*levels, "Stockout_Events")}, fill_mean)
-
-
-def add_bank_offers(panel: DataFrame, table: DataFrame, *, on_duplicate: str = "keep") -> DataFrame:
-    return _direct(panel, table, WEEKLY, ("Bank_Offer_Intensity", "Card_Promotion_Level"), fill_zero, on_duplicate)
-
-
-def add_custom_discounts(panel: DataFrame, table: DataFrame, *, on_duplicate: str = "keep") -> DataFrame:
-    columns = ("Store_Discount_Level", "Loyalty_Discount_Available")
-    return _direct(panel, table, WEEKLY, columns, fill_zero, on_duplicate)
-
+def add_side_tables(
+    panel: DataFrame, tables: Mapping[str, DataFrame], *, on_duplicate: str = "keep"
+) -> DataFrame:
+    """Join the side tables on (Year, Month) or (Year, Week) and fill the periods they lack.
 
-def add_custom_promotions(panel: DataFrame, table: DataFrame, *, on_duplicate: str = "keep") -> DataFrame:
-    columns = ("Promotion_Type_Code", "Promotion_Discount_Pct")
-    return _direct(panel, table, WEEKLY, columns, fill_zero, on_duplicate)
+    All of them depend on the calendar only. So the panel is reduced to its distinct periods with their
+    row counts, the tables are joined and filled there, with means weighted by those counts, and the panel meets the
+    result in one join. The periods are a few hundred per year, written so that their size decides the join.
+    """
+    periods = materialize(panel.groupBy(*PERIOD).agg(F.count("*").alias("_rows")), "periods")
+    for name, table in tables.items():
+        side = SIDE_TABLES[name]
+        if side.prepare is None:
+            values = _resolve_duplicates(table.select(*side.keys, *side.columns), side.keys, on_duplicate)
+        else:
+            values = side.prepare(table)
+        joined = periods.join(values, list(side.keys), "left")
+        if side.fill == "zero":
+            periods = fill_zero(joined, side.columns)
+        else:  # read twice: for the means and for the rows
+            periods = fill_mean(materialize(joined, "periods"), side.columns, weight="_rows")
+    added = [c for name in tables for c in SIDE_TABLES[name].columns]
+    enriched = materialize(periods.select(*PERIOD, *added), "periods")
+    return panel.join(enriched, list(PERIOD), "left").select(*panel.columns, *added)
 
 
 def add_seasons(panel: DataFrame) -> DataFrame:
     return panel.withColumns(season_flags(F.col("Month")))
 
 
-SIDE_JOINS: dict[str, Callable[..., DataFrame]] = {
-    "economic": add_economic,
-    "weather": add_weather,
-    "competitor": add_competitor,
-    "marketing": add_marketing,
-    "supply_chain": add_supply_chain,
-    "bank_offers": add_bank_offers,
-    "custom_discounts": add_custom_discounts,
-    "custom_promotions": add_custom_promotions,
-}
-
-
 def usable_side_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The side tables whose columns are complete; others are left out, so one bad table stops nothing."""
     wanted = {
@@ -152,7 +179,7 @@ def add_external_features(
     ``enabled`` switches blocks off by name (``holidays``, ``seasonal`` or a side table). The panel needs
     ``Year``, ``Month`` and ``Week``.
     """
-    on = {name: True for name in ("holidays", "seasonal", *SIDE_JOINS)} | dict(enabled or {})
+    on = {name: True for name in ("holidays", "seasonal", *SIDE_TABLES)} | dict(enabled or {})
     if on["holidays"] and holidays is not None and region_column in panel.columns:
         panel = add_holiday_features(
             panel,
@@ -164,10 +191,8 @@ def add_external_features(
         )
     if on["seasonal"]:
         panel = add_seasons(panel)
-    for name, table in usable_side_tables(tables or {}).items():
-        if on[name]:
-            panel = SIDE_JOINS[name](panel, table)
-    return panel
+    wanted = {name: table for name, table in usable_side_tables(tables or {}).items() if on[name]}
+    return add_side_tables(panel, wanted) if wanted else panel
 
 
 def lifecycle_code(stage: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfcast import schema as s
 from shelfcast.operators.forecasting import align
 from shelfcast.operators.metrics import regression_metrics
-from shelfcast.session import materialize
+from shelfcast.session import materialize, spread
 
 LABEL = s.QUANTITY
 SEED = 42
@@ -174,7 +174,7 @@ def tournament(
     ``frame`` has the features, the label and ``is_train``. A candidate that fails is reported and skipped;
     if all fail there is no result.
     """
-    frame = _spread(materialize(align(frame, features, (LABEL, "is_train")), "training-frame"))
+    frame = spread(materialize(align(frame, features, (LABEL, "is_train")), "training-frame"))
     sizes = {row["is_train"]: row["count"] for row in frame.groupBy("is_train").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         raise ValueError("Not enough weekly rows to create a train-test split.")
@@ -200,12 +200,6 @@ def tournament(
     return Tournament(winner, fitted[winner], _metric_rows(frame, rows), failures)
 
 
-def _spread(frame: DataFrame) -> DataFrame:
-    """A written table too small to occupy all cores is spread over them; a large one stays as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def _metric_rows(frame: DataFrame, rows: list[dict]) -> DataFrame:
     schema = (
         "position int, model string, rows long, mae double, rmse double, wape double, "

@@ -45,7 +45,8 @@ GROUP BY 1, 2
 """
 
     def build(spark, sf):
-        joined = external.SIDE_JOINS[table](_panel(spark, sf), side_table(spark, sf, table))
+        panel = materialize(_panel(spark, sf), "panel")
+        joined = external.add_side_tables(panel, {table: side_table(spark, sf, table)})
         return joined.groupBy(k1, k2).agg(
             F.count("*").alias("rows"),
             *[F.max(c).alias(c) for c in doubles.split()],

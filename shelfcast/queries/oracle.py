@@ -202,7 +202,7 @@ GROUP BY k.RegionName, k.state_code, k.week_end
 )
 
 MONTH_FIGURES = """
-SELECT year(o_orderdate) AS "Year", month(o_orderdate) AS "Month", avg(o_totalprice) AS mean_price,
+SELECT year(o_orderdate) AS "Year", month(o_orderdate) AS "Month", CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS mean_price,
        max(o_totalprice) AS max_price, min(o_totalprice) AS min_price, CAST(count(*) AS DOUBLE) AS n
 FROM orders GROUP BY 1, 2 HAVING (year(o_orderdate) * 12 + month(o_orderdate)) % 7 <> 0
 """
@@ -230,7 +230,7 @@ cte(
     "",
     """
 SELECT year(o_orderdate) AS "Year", week(o_orderdate) AS "Week",
-       avg(o_totalprice / 1000) AS Competitor_Promotion_Intensity,
+       avg(floor(o_totalprice / 1000)) AS Competitor_Promotion_Intensity,
        avg(CAST(o_orderkey % 50 AS DOUBLE)) AS Competitor_Price_Undercut,
        max(CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END) AS Competitor_New_Store_Opening
 FROM orders GROUP BY 1, 2
@@ -240,9 +240,9 @@ cte(
     "marketing",
     "",
     """
-SELECT year(o_orderdate) AS "Year", week(o_orderdate) AS "Week", sum(o_totalprice) AS Ad_Spend_INR,
+SELECT year(o_orderdate) AS "Year", week(o_orderdate) AS "Week", sum(floor(o_totalprice)) AS Ad_Spend_INR,
        CAST(sum(o_orderkey % 1000) AS BIGINT) AS Impressions, CAST(sum(o_orderkey % 100) AS BIGINT) AS Clicks,
-       CAST(sum(o_orderkey % 10) AS BIGINT) AS Conversions, avg(o_totalprice / 5000) AS Campaign_Intensity
+       CAST(sum(o_orderkey % 10) AS BIGINT) AS Conversions, avg(floor(o_totalprice / 5000)) AS Campaign_Intensity
 FROM orders GROUP BY 1, 2
 """,
 )
@@ -263,7 +263,7 @@ cte(
     "week_figures",
     "",
     """
-SELECT year(o_orderdate) AS "Year", week(o_orderdate) AS "Week", avg(o_totalprice) AS mean_price, count(*) AS n
+SELECT year(o_orderdate) AS "Year", week(o_orderdate) AS "Week", CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS mean_price, count(*) AS n
 FROM orders GROUP BY 1, 2 HAVING week(o_orderdate) % 2 = 1
 """,
 )

@@ -4,7 +4,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "shelfcast", **conf) -> SparkSession:
@@ -46,10 +45,10 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast after counting; a larger table stays with the join the planner picks.
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a file scan that has fewer parts than there are cores.
 
-    Meant for narrow tables: 200,000 rows of a few numbers are some 10 MB.
+    Only a small or unsplittable file is shuffled; a scan with enough parts stays as it is.
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

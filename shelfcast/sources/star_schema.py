@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.functions.calendar import iso_week, week_end
+from shelfcast.session import spread
 
+FACTS = ("lineitem", "orders")
 # Region names of the test tables as the sales data would spell them.
 REGION_NAMES = {
     "AFRICA": "Karnataka",
@@ -45,7 +47,8 @@ REPEATED_MONTH = ("1999-12-01", "2000-01-01")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(read) if name in FACTS else read
 
 
 def _case(c: Column, pairs: dict[str, str], default: str | None = None) -> Column:
@@ -139,12 +142,14 @@ def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _supply_chain(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    # Sums of whole cents do not depend on their order.
+    mean_price = F.sum(F.round(price * 100).cast("long")).cast("double") / F.count("*") / 100
     year, month, week = F.year("day"), F.month("day"), iso_week(F.col("day"))
     monthly = (
         orders.groupBy(year.alias("Year"), month.alias("Month"))
         .agg(
             F.make_date(F.first(year), F.first(month), F.lit(1)).alias("Date"),
-            F.avg(price).alias("mean_price"),
+            mean_price.alias("mean_price"),
             F.max(price).alias("max_price"),
             F.min(price).alias("min_price"),
             F.count("*").cast("double").alias("n"),
@@ -174,16 +179,16 @@ def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         )
     activity = {
         "competitor": {
-            "Promotion_Intensity": price / 1000,
+            "Promotion_Intensity": F.floor(price / 1000).cast("double"),
             "Price_Undercut_Percent": (key % 50).cast("double"),
             "New_Store_Opening": (key % 97 == 0).cast("int"),
         },
         "marketing": {
-            "Ad_Spend_INR": price,
+            "Ad_Spend_INR": F.floor(price).cast("double"),
             "Impressions": key % 1000,
             "Clicks": key % 100,
             "Conversions": key % 10,
-            "Campaign_Intensity": price / 5000,
+            "Campaign_Intensity": F.floor(price / 5000).cast("double"),
         },
     }
     if name in activity:
@@ -197,7 +202,7 @@ def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         orders.groupBy(year.alias("Year"), week.alias("Week"))
         .agg(
             F.min("day").alias("Date"),
-            F.avg(price).alias("mean_price"),
+            mean_price.alias("mean_price"),
             F.count("*").alias("n"),
         )
         .where(F.col("Week") % 2 == 1)

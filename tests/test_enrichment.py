@@ -90,13 +90,17 @@ def panel(spark, weeks):
     return spark.createDataFrame([("R", "S", "P", 2024, 1, w) for w in weeks], "RegionName string, StoreName string, ProductName string, Year int, Month int, Week int")
 
 
+def offered(weeks, offers, **options):
+    return external.add_side_tables(weeks, {"bank_offers": offers}, **options)
+
+
 def test_duplicate_keys_of_a_side_table(spark):
     weeks, offers = panel(spark, [1, 2, 3]), side(spark, [(2024, 1, 1.0, 5.0), (2024, 1, 3.0, 5.0), (2024, 3, 7.0, None)])
-    assert external.add_bank_offers(weeks, offers).count() == 4
-    merged = external.add_bank_offers(weeks, offers, on_duplicate="mean").orderBy("Week").collect()
+    assert offered(weeks, offers).count() == 4
+    merged = offered(weeks, offers, on_duplicate="mean").orderBy("Week").collect()
     assert [(r.Bank_Offer_Intensity, r.Card_Promotion_Level) for r in merged] == [(2.0, 5.0), (0.0, 0.0), (7.0, 0.0)]
     with pytest.raises(ValueError):
-        external.add_bank_offers(weeks, offers, on_duplicate="error")
+        offered(weeks, offers, on_duplicate="error")
 
 
 def test_mean_fill_counts_panel_rows(spark):
@@ -104,16 +108,28 @@ def test_mean_fill_counts_panel_rows(spark):
         [(DATE("2024-01-01"), 2024, 1, 10.0, 1.0, 1.0, None)], s.SIDE_TABLES["weather"]
     )
     months = panel(spark, [1, 2, 3]).unionByName(panel(spark, [5]).withColumn("Month", F.lit(2)))
-    filled = external.add_weather(months, weather).collect()
+    filled = external.add_side_tables(months, {"weather": weather}).collect()
     assert {r.Avg_Temperature_C for r in filled} == {10.0} and {r.Weather_Index for r in filled} == {None}
 
 
+def test_duplicates_weigh_in_later_means(spark):
+    offers = side(spark, [(2024, 1, 1.0, 5.0), (2024, 1, 3.0, 5.0)])
+    weather = spark.createDataFrame(
+        [(DATE("2024-01-01"), 2024, m, v, 1.0, 1.0, 1.0) for m, v in ((1, 10.0), (2, 40.0))], s.SIDE_TABLES["weather"]
+    )
+    months = panel(spark, [1, 1]).unionByName(panel(spark, [5, 9]).withColumn("Month", F.col("Week") - 3))
+    got = external.add_side_tables(months, {"bank_offers": offers, "weather": weather}).collect()
+    # Week 1 has two rows, doubled by its two offers; week 5 one; week 9 lies in a month without weather.
+    assert len(got) == 6
+    assert {r.Week: r.Avg_Temperature_C for r in got} == {1: 10.0, 5: 40.0, 9: pytest.approx((4 * 10 + 40) / 5)}
+
+
 def test_supply_chain_is_a_mean_of_means(spark):
     rows = [("a", 1.0), ("a", 3.0), ("b", 10.0)]
     supply = spark.createDataFrame(
         [(DATE("2024-01-01"), 2024, 1, p, v, 1.0, 1.0, 1.0, 2) for p, v in rows], s.SIDE_TABLES["supply_chain"]
     )
-    row = external.add_supply_chain(panel(spark, [1]), supply).first()
+    row = external.add_side_tables(panel(spark, [1]), {"supply_chain": supply}).first()
     assert row.Lead_Time_Days == 6.0 and row.Stockout_Events == 3.0
 
 
