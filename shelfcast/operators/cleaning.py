@@ -11,6 +11,10 @@ from shelfcast.functions import pricing, text
 from shelfcast.functions.calendar import years_before
 
 
+# Column of a compact history: how many bill lines a row stands for.
+LINES = "lines"
+
+
 def parse_bill_date(sales: DataFrame) -> DataFrame:
     """Turn ISO texts into timestamps and drop the rows whose date cannot be read."""
     return with_parsed_date(sales).dropna(subset=[s.BILL_DATE])
@@ -39,7 +43,9 @@ def _optional(sales: DataFrame, name: str, parse) -> Column:
 
 
 def sale_measures(sales: DataFrame) -> dict[str, Column]:
-    """Numeric measures of one bill line."""
+    """Numeric measures of one bill line; their sums, if the table is a compact history."""
+    if LINES in sales.columns:
+        return {c: F.col(c) for c in ("True_Demand", "Bank_Emi_Flag", "Bank_Cashback_Pct", "Additional_Funded_Scheme_Pct")}
     measures = {
         "True_Demand": _optional(sales, s.TRUE_DEMAND_RAW, text.number_or_zero),
         "Bank_Emi_Flag": _optional(sales, s.EMI_RAW, text.offer_flag),

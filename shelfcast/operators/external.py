@@ -180,19 +180,22 @@ def add_external_features(
     ``Year``, ``Month`` and ``Week``.
     """
     on = {name: True for name in ("holidays", "seasonal", *SIDE_TABLES)} | dict(enabled or {})
+    wanted = {name: table for name, table in usable_side_tables(tables or {}).items() if on[name]}
+    enriched = add_side_tables(panel, wanted) if wanted else panel
+    if on["seasonal"]:
+        enriched = add_seasons(enriched)
     if on["holidays"] and holidays is not None and region_column in panel.columns:
-        panel = add_holiday_features(
-            panel,
+        if years is None:
+            years = panel.select(F.year(date_col).alias("Year")).distinct()
+        enriched = add_holiday_features(
+            enriched,
             holidays,
             date_col=date_col,
             region_column=region_column,
             years=years,
             reference_case=reference_case,
         )
-    if on["seasonal"]:
-        panel = add_seasons(panel)
-    wanted = {name: table for name, table in usable_side_tables(tables or {}).items() if on[name]}
-    return add_side_tables(panel, wanted) if wanted else panel
+    return enriched
 
 
 def lifecycle_code(stage: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.functions.calendar import month_end, week_end
 from shelfcast.functions.pricing import whole_units
 from shelfcast.functions.text import clean_double
-from shelfcast.operators.cleaning import sale_measures
+from shelfcast.operators.cleaning import LINES, sale_measures
 from shelfcast.operators.densify import fill_gaps
 
 SUMS = (s.QUANTITY, "True_Demand")
@@ -27,12 +27,16 @@ def observed_weeks(
     measures = sale_measures(sales)
     raw = {c: clean_double(F.col(c)) for c in (s.QUANTITY, s.MRP, s.DISCOUNT_AMOUNT) if c in sales.columns}
     measures = {**raw, **measures}
+
+    def mean(c: str) -> Column:
+        return F.sum(measures[c]) / F.sum(LINES) if LINES in sales.columns else F.avg(measures[c])
+
     return (
         sales.dropna(subset=[*keys, s.BILL_DATE])
         .groupBy(*keys, week_end(F.col(s.BILL_DATE)).alias(s.WEEK_END))
         .agg(
             *[F.coalesce(F.sum(measures[c]), F.lit(0.0)).alias(c) for c in SUMS],
-            *[F.avg(measures[c]).alias(c) for c in means],
+            *[mean(c).alias(c) for c in means],
         )
     )
 

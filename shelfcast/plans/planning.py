@@ -19,6 +19,7 @@ from shelfcast.operators.forecasting import (
     model_predictions,
     naive_predictions,
 )
+from shelfcast.operators.history import as_history
 from shelfcast.operators.inventory import inventory_plan
 from shelfcast.operators.options import cascade
 
@@ -35,9 +36,10 @@ def forecast(
 ) -> DataFrame:
     """A prediction per series and future week; without a model, the four-week mean.
 
-    History after ``start`` is not used.
+    History after ``start`` is not used. Sales are read once, unless they come as a compact history.
     """
-    anchored = last_known_metrics(sales, cutoff=start, pairs=cascade(sales))
+    history = as_history(sales)
+    anchored = last_known_metrics(history, cutoff=start, pairs=cascade(history))
     frame = future_frame(anchored, start=start, weeks=weeks, prices=prices)
     if model is None:
         return naive_predictions(frame)
@@ -64,10 +66,11 @@ def stock_plan(
 
     Volatility uses the whole history unless ``as_of`` cuts it.
     """
-    predictions = forecast(sales, start=start, weeks=weeks_in_horizon(horizon_days), **options)
+    history = as_history(sales)
+    predictions = forecast(history, start=start, weeks=weeks_in_horizon(horizon_days), **options)
     return inventory_plan(
         predictions,
-        daily_volatility(sales, as_of=as_of),
+        daily_volatility(history, as_of=as_of),
         horizon_days=horizon_days,
         lead_time_days=lead_time_days,
         growth_pct=growth_pct,

@@ -9,6 +9,7 @@ from shelfcast.functions.calendar import weeks_in_horizon
 from shelfcast.functions.calendar import week_end
 from shelfcast.operators import encoding, forecasting, metrics, split
 from shelfcast.operators.cleaning import up_to
+from shelfcast.operators.history import as_history
 from shelfcast.operators.inventory import forecast_totals
 from shelfcast.operators.series import series_features
 from shelfcast.operators.weekly import weekly_demand
@@ -248,7 +249,7 @@ FROM future JOIN (VALUES (7, 1), (30, 5), (60, 9)) h(horizon_days, n) ON week_in
     ),
 )
 def weeks_in_horizons(spark, sf):
-    history = materialize(_history(spark, sf), "history")
+    history = as_history(_history(spark, sf))
     rows = None
     for days in (7, 30, 60):
         weekly = forecast(history, start=BEGIN, weeks=weeks_in_horizon(days))

@@ -14,6 +14,23 @@ from shelfcast.functions.calendar import iso_week, week_end
 from shelfcast.session import spread
 
 FACTS = ("lineitem", "orders")
+# Given, so that opening a table starts no job.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
 # Region names of the test tables as the sales data would spell them.
 REGION_NAMES = {
     "AFRICA": "Karnataka",
@@ -47,7 +64,7 @@ REPEATED_MONTH = ("1999-12-01", "2000-01-01")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    read = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    read = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(read) if name in FACTS else read
 
 

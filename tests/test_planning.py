@@ -1,15 +1,18 @@
 """Forecast frame, reports and stock figures."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.operators import encoding, forecasting, metrics
+from shelfcast.operators.anchors import daily_volatility, last_known_metrics
+from shelfcast.operators.history import compact_history
 from shelfcast.operators.inventory import inventory_plan
-from shelfcast.plans.planning import bulk_forecast, forecast, last_prices, stock_plan
 from shelfcast.operators.weekly import weekly_demand
+from shelfcast.plans.planning import bulk_forecast, forecast, last_prices, stock_plan
 
 START = datetime.date(2024, 3, 3)
 
@@ -41,6 +44,27 @@ def test_every_selectable_series_is_forecast(sales):
     assert by_pair[("B", "r")] == 0.0
 
 
+def test_compact_history_gives_the_same_figures(spark, make_sales):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(400):
+        store = "A" if rng.random() < 0.5 else f"S{rng.randint(0, 3)}"
+        when = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=rng.randint(0, 80), hours=rng.randint(0, 2))
+        rows.append(("East", store, rng.choice("pq"), when.isoformat(sep=" "), float(rng.randint(0, 9))))
+    sales = make_sales(rows).withColumns(
+        {s.TRUE_DEMAND_RAW: F.col(s.QUANTITY) + 1, s.CASHBACK_RAW: F.concat(F.col(s.QUANTITY).cast("string"), F.lit(" pct"))}
+    )
+    compact = compact_history(sales)
+    assert compact.agg(F.sum("lines")).first()[0] == 400
+    for figures in (last_known_metrics, daily_volatility):
+        want, got = (
+            {(r[0], r[1]): list(r)[2:] for r in figures(t).collect()} for t in (sales, compact)
+        )
+        assert got.keys() == want.keys()
+        for pair, values in want.items():
+            assert got[pair] == pytest.approx(values)
+
+
 def test_future_frame_is_flat(sales):
     rows = forecast(sales, start=START, weeks=3).where("StoreName = 'A'").orderBy("week_index").collect()
     assert [r.week_start for r in rows] == [START + datetime.timedelta(weeks=i) for i in range(3)]
