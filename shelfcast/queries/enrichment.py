@@ -277,14 +277,14 @@ def _all_features() -> str:
     ]
     joins = "\n".join(f'LEFT JOIN {t} ON p."Year" = {t}."Year" AND p."{k}" = {t}."{k}"' for t, (k, _, _) in _JOINED.items())
     return f"""
-SELECT RegionName, CAST("Year" AS INTEGER) AS "Year", CAST("Month" AS INTEGER) AS "Month", count(*) AS "rows",
-       CAST(sum(Holiday_Count) AS BIGINT) AS "Holiday_Count",
+SELECT RegionName, CAST("Year" AS INTEGER) AS "Year", CAST("Month" AS INTEGER) AS "Month",
+       CAST("Week" AS INTEGER) AS "Week", count(*) AS "rows", CAST(sum(Holiday_Count) AS BIGINT) AS "Holiday_Count",
        CAST(max(CASE WHEN "Month" IN (10, 11, 12) THEN 1 ELSE 0 END) AS INTEGER) AS Is_Festival_Season,
-       {', '.join(f'avg({c}) AS {c}' for c in _VALUES.split())}
-FROM (SELECT p.RegionName, p."Year", p."Month", h.Holiday_Count, {', '.join(picks)}
+       {', '.join(f'max({c}) AS {c}' for c in _VALUES.split())}
+FROM (SELECT p.RegionName, p."Year", p."Month", p."Week", h.Holiday_Count, {', '.join(picks)}
       FROM panel p JOIN holiday_features h ON p.RegionName = h.RegionName AND p.week_end = h.week_end
       {joins}) AS enriched
-GROUP BY 1, 2, 3
+GROUP BY 1, 2, 3, 4
 """
 
 
@@ -299,11 +299,11 @@ GROUP BY 1, 2, 3
 def external_features(spark, sf):
     panel = materialize(_panel(spark, sf), "panel")
     enriched = external.add_external_features(panel, holiday_calendar(spark, sf), side_tables(spark, sf))
-    return enriched.groupBy(s.REGION, "Year", "Month").agg(
+    return enriched.groupBy(s.REGION, "Year", "Month", "Week").agg(
         F.count("*").alias("rows"),
         F.sum("Holiday_Count").alias("Holiday_Count"),
         F.max("Is_Festival_Season").alias("Is_Festival_Season"),
-        *[F.avg(c).alias(c) for c in _VALUES.split()],
+        *[F.max(c).alias(c) for c in _VALUES.split()],
     )
 
 

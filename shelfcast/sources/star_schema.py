@@ -153,92 +153,86 @@ def holiday_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+MONTHLY_FIGURES = {
+    "economic": {
+        "GDP_Growth_Rate": ("mean_price", 100000),
+        "Consumer_Confidence_Index": ("n", 1),
+        "Inflation_Rate": ("max_price", 100000),
+        "Unemployment_Rate": ("min_price", 1000),
+        "Interest_Rate": ("mean_price", 50000),
+    },
+    "weather": {
+        "Avg_Temperature_C": ("mean_price", 10000),
+        "Total_Rainfall_mm": ("n", 1),
+        "Humidity_Percent": ("max_price", 10000),
+        "Weather_Index": ("min_price", 100),
+    },
+}
+DAILY_FIGURES = {
+    "competitor": {
+        "Promotion_Intensity": "cast(floor(o_totalprice / 1000) as double)",
+        "Price_Undercut_Percent": "cast(o_orderkey % 50 as double)",
+        "New_Store_Opening": "cast(o_orderkey % 97 = 0 as int)",
+    },
+    "marketing": {
+        "Ad_Spend_INR": "cast(floor(o_totalprice) as double)",
+        "Impressions": "o_orderkey % 1000",
+        "Clicks": "o_orderkey % 100",
+        "Conversions": "o_orderkey % 10",
+        "Campaign_Intensity": "cast(floor(o_totalprice / 5000) as double)",
+    },
+}
+WEEKLY_FIGURES = {
+    "bank_offers": {
+        "Bank_Offer_Intensity": "mean_price / 1000",
+        "Card_Promotion_Level": "cast(n % 5 as double)",
+    },
+    "custom_discounts": {
+        "Store_Discount_Level": "mean_price / 2000",
+        "Loyalty_Discount_Available": "cast(n % 2 as int)",
+    },
+    "custom_promotions": {
+        "Promotion_Type_Code": "cast(n % 4 as int)",
+        "Promotion_Discount_Pct": "cast(n % 30 as double)",
+    },
+}
+
+
+def side_table(spark: SparkSession, sf_dir: str, name: str, orders: DataFrame | None = None) -> DataFrame:
     """One of the optional tables, derived from orders or order lines."""
     if name == "supply_chain":
         return _supply_chain(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
-    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    dated = orders.withColumn("Date", F.col("o_orderdate").cast("date"))
     # Sums of whole cents do not depend on their order.
-    mean_price = F.sum(F.round(price * 100).cast("long")).cast("double") / F.count("*") / 100
-    year, month, week = F.year("day"), F.month("day"), iso_week(F.col("day"))
-    monthly = (
-        orders.groupBy(year.alias("Year"), month.alias("Month"))
-        .agg(
-            F.make_date(F.first(year), F.first(month), F.lit(1)).alias("Date"),
-            mean_price.alias("mean_price"),
-            F.max(price).alias("max_price"),
-            F.min(price).alias("min_price"),
-            F.count("*").cast("double").alias("n"),
-        )
-        .where((F.col("Year") * 12 + F.col("Month")) % 7 != 0)
-    )
-    if name == "economic":
-        return monthly.select(
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double")
+    mean_price = (cents / F.count("*") / 100).alias("mean_price")
+    if name in DAILY_FIGURES:
+        return dated.select(
             "Date",
-            "Year",
-            "Month",
-            (F.col("mean_price") / 100000).alias("GDP_Growth_Rate"),
-            F.col("n").alias("Consumer_Confidence_Index"),
-            (F.col("max_price") / 100000).alias("Inflation_Rate"),
-            (F.col("min_price") / 1000).alias("Unemployment_Rate"),
-            (F.col("mean_price") / 50000).alias("Interest_Rate"),
+            F.year("Date").alias("Year"),
+            iso_week(F.col("Date")).alias("Week"),
+            *[F.expr(v).alias(c) for c, v in DAILY_FIGURES[name].items()],
         )
-    if name == "weather":
-        return monthly.select(
-            "Date",
+    if name in MONTHLY_FIGURES:
+        monthly = dated.groupBy(F.year("Date").alias("Year"), F.month("Date").alias("Month")).agg(
+            mean_price,
+            F.max("o_totalprice").alias("max_price"),
+            F.min("o_totalprice").alias("min_price"),
+            F.count("*").cast("double").alias("n"),
+        )
+        return monthly.where("(Year * 12 + Month) % 7 != 0").select(
+            F.make_date("Year", "Month", F.lit(1)).alias("Date"),
             "Year",
             "Month",
-            (F.col("mean_price") / 10000).alias("Avg_Temperature_C"),
-            F.col("n").alias("Total_Rainfall_mm"),
-            (F.col("max_price") / 10000).alias("Humidity_Percent"),
-            (F.col("min_price") / 100).alias("Weather_Index"),
+            *[(F.col(source) / scale).alias(c) for c, (source, scale) in MONTHLY_FIGURES[name].items()],
         )
-    activity = {
-        "competitor": {
-            "Promotion_Intensity": F.floor(price / 1000).cast("double"),
-            "Price_Undercut_Percent": (key % 50).cast("double"),
-            "New_Store_Opening": (key % 97 == 0).cast("int"),
-        },
-        "marketing": {
-            "Ad_Spend_INR": F.floor(price).cast("double"),
-            "Impressions": key % 1000,
-            "Clicks": key % 100,
-            "Conversions": key % 10,
-            "Campaign_Intensity": F.floor(price / 5000).cast("double"),
-        },
-    }
-    if name in activity:
-        return orders.select(
-            F.col("day").alias("Date"),
-            year.alias("Year"),
-            week.alias("Week"),
-            *[v.alias(c) for c, v in activity[name].items()],
-        )
-    weekly = (
-        orders.groupBy(year.alias("Year"), week.alias("Week"))
-        .agg(
-            F.min("day").alias("Date"),
-            mean_price.alias("mean_price"),
-            F.count("*").alias("n"),
-        )
-        .where(F.col("Week") % 2 == 1)
+    weekly = dated.groupBy(F.year("Date").alias("Year"), iso_week(F.col("Date")).alias("Week")).agg(
+        F.min("Date").alias("Date"), mean_price, F.count("*").alias("n")
+    )
+    return weekly.where("Week % 2 = 1").select(
+        "Date", "Year", "Week", *[F.expr(v).alias(c) for c, v in WEEKLY_FIGURES[name].items()]
     )
-    custom = {
-        "bank_offers": {
-            "Bank_Offer_Intensity": F.col("mean_price") / 1000,
-            "Card_Promotion_Level": (F.col("n") % 5).cast("double"),
-        },
-        "custom_discounts": {
-            "Store_Discount_Level": F.col("mean_price") / 2000,
-            "Loyalty_Discount_Available": (F.col("n") % 2).cast("int"),
-        },
-        "custom_promotions": {
-            "Promotion_Type_Code": (F.col("n") % 4).cast("int"),
-            "Promotion_Discount_Pct": (F.col("n") % 30).cast("double"),
-        },
-    }
-    return weekly.select("Date", "Year", "Week", *[v.alias(c) for c, v in custom[name].items()])
 
 
 def _supply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +252,8 @@ def _supply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def side_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: side_table(spark, sf_dir, name) for name in s.SIDE_TABLES}
+    orders = table(spark, sf_dir, "orders")
+    return {name: side_table(spark, sf_dir, name, orders) for name in s.SIDE_TABLES}
 
 
 def product_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
