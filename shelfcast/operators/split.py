@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
+from shelfcast.session import materialize
 
 
 def _key() -> Column:
@@ -18,7 +19,8 @@ def split_boundary(panel: DataFrame, fraction: float = 0.8) -> DataFrame:
     Rows are counted per series; the counts are then summed region by region, store by store in a
     region, and product by product in a store. The series is gap-free, so the week follows from the count.
     """
-    series = panel.groupBy(*s.SERIES).agg(F.count("*").alias("n"), F.min(s.WEEK_END).alias("first_week"))
+    counted = panel.groupBy(*s.SERIES).agg(F.count("*").alias("n"), F.min(s.WEEK_END).alias("first_week"))
+    series = materialize(counted, "series")  # read three times below
     region, store, product = s.SERIES
 
     def before(n: str, order: str, *within: str) -> Column:

@@ -253,8 +253,8 @@ cte(
 SELECT "Year", "Week", avg(lead_time) AS Lead_Time_Days, avg(on_time) AS On_Time_Delivery_Rate,
        avg(quality) AS Quality_Score, avg(reliability) AS Supplier_Reliability_Index, avg(stockouts) AS Stockout_Events
 FROM (SELECT year(l_shipdate) AS "Year", week(l_shipdate) AS "Week", p_brand, avg(l_linenumber * 3.0::DOUBLE) AS lead_time,
-             avg(1.0::DOUBLE - l_discount) AS on_time, avg(l_quantity / 5) AS quality,
-             avg(l_tax + 0.0::DOUBLE) AS reliability, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS stockouts
+             avg(100.0::DOUBLE - round(l_discount * 100)) AS on_time, avg(l_quantity) AS quality,
+             avg(round(l_tax * 100) + 0.0::DOUBLE) AS reliability, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS stockouts
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3) AS by_product
 GROUP BY 1, 2
 """,

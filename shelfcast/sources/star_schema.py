@@ -244,9 +244,9 @@ def _supply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         iso_week(F.col("day")).alias("Week"),
         F.col("p_brand").alias("Product_ID"),
         (F.col("l_linenumber") * 3.0).alias("Lead_Time_Days"),
-        (F.lit(1.0) - F.col("l_discount")).alias("On_Time_Delivery_Rate"),
-        (F.col("l_quantity") / 5).alias("Quality_Score"),
-        (F.col("l_tax") + 0.0).alias("Supplier_Reliability_Index"),
+        (F.lit(100.0) - F.round(F.col("l_discount") * 100)).alias("On_Time_Delivery_Rate"),
+        F.col("l_quantity").alias("Quality_Score"),
+        (F.round(F.col("l_tax") * 100) + F.lit(0.0)).alias("Supplier_Reliability_Index"),
         (F.col("l_returnflag") == "R").cast("long").alias("Stockout_Events"),
     )
 
