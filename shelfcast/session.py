@@ -1,6 +1,5 @@
 """Session settings and the written intermediate tables that jobs share."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +20,9 @@ def build_session(app_name: str = "shelfcast", **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, a temporary one only in local mode."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="shelfcast-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    """The folder for intermediate tables: the one the cluster names, else one beside the warehouse's tables."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
