@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import mixing, sharding
+from shelfcast.llm import fingerprints, mixing, sharding
 from shelfcast.llm.common import word_count
 from shelfcast.session import materialize
 
@@ -39,3 +39,8 @@ def op3_mixing(spark, sf_dir):
 @query("op9_sharding")
 def op9_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
