@@ -7,9 +7,11 @@ minima and maxima of its file prune reads on any of the dimensions.
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import materialize
+
 #: Bits of a quantised dimension; three dimensions give 32,768 cells.
 BITS = 5
 #: Parts by which the rows of one cell are split, by their text and then by their id: a cell may hold any number of rows.
@@ -20,7 +22,8 @@ def with_hilbert_index(df: DataFrame, dims: Sequence[str], out: str, bits: int =
     """``df`` with the index along the Hilbert curve of the cell in ``dims``, whole numbers of ``bits`` bits each.
 
     The published transform of axes to a transposed index (Skilling 2004): undo the excess rotations from the
-    highest bit down, Gray-encode, interleave the bits. Each step is a column that the next one reads.
+    highest bit down, Gray-encode, interleave the bits. Each step is a column that the next one reads. The result is
+    never null, so that a join on it adds no test of it below the steps, which would compute each one many times.
     """
     n = len(dims)
     cell = ", ".join(f"CAST(`{d}` AS BIGINT)" for d in dims)
@@ -38,7 +41,7 @@ def with_hilbert_index(df: DataFrame, dims: Sequence[str], out: str, bits: int =
         )
         .withColumn("_gray", F.expr("transform(_turned, (v, k) -> aggregate(slice(_turned, 1, k + 1), 0L, (x, y) -> x ^ y))"))
         .withColumn("_flip", F.expr(f"aggregate(array({levels}), 0L, (t, q) -> IF((_gray[{n - 1}] & q) != 0, t ^ (q - 1), t))"))
-        .withColumn(out, F.expr(f"aggregate(array({places}), 0L, (h, p) -> h * 2 + (shiftright(_gray[p.i] ^ _flip, p.b) & 1))"))
+        .withColumn(out, F.expr(f"coalesce(aggregate(array({places}), 0L, (h, p) -> h * 2 + (shiftright(_gray[p.i] ^ _flip, p.b) & 1)), 0L)"))
         .drop("_turned", "_gray", "_flip")
     )
 
@@ -81,9 +84,10 @@ def shard(
         F.crc32(text).alias("_crc"),
         *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)],
     )
+    rows = materialize(rows, "shard-rows")  # the texts are read once
     for i in range(len(names)):
         rows = rows.join(
-            _quantised_names(docs.select(F.col(names[i]).alias(f"_d{i}")), f"_d{i}", f"_q{i}"),
+            _quantised_names(rows, f"_d{i}", f"_q{i}"),
             (F.col(f"_d{i}").isNull() == F.col(f"_q{i}_null")) & (F.coalesce(f"_d{i}", F.lit("")) == F.col(f"_q{i}_value")),
         ).drop(f"_q{i}_null", f"_q{i}_value")
     rows = rows.withColumn("_qs", F.least(F.floor(F.log2(F.col("_size").cast("double"))), F.lit((1 << BITS) - 1)).cast("long"))
