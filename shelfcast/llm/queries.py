@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, mixing, sharding
-from shelfcast.llm.common import word_count
+from shelfcast.llm import fingerprints, languages, mixing, quality, sharding
+from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_languages")
+def op1_languages(spark, sf_dir):
+    """Learns from documents whose remainder by 5 is not 0; a null id is held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(True))
+    model = languages.fit(docs.where(~held_out), "text", "lang", "doc_id")
+    return languages.predict(model, docs, "doc_id", "text", held_out)
+
+
 @query("op3_mixing", mixing.ORACLE_SQL)
 def op3_mixing(spark, sf_dir):
     """Sizes are written once, so that the texts are read once."""
@@ -44,3 +53,17 @@ def op9_sharding(spark, sf_dir):
 @query("op4_fingerprints")
 def op4_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def quality_network(docs: DataFrame, labels: DataFrame) -> quality.Network:
+    """Learns from labelled documents whose remainder by 3 is not 1."""
+    return quality.fit(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    network = quality_network(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(network, docs.select("doc_id", "text"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
