@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, languages, mixing, quality, sharding
+from shelfcast.llm import fingerprints, jaccard, languages, mixing, quality, sharding
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
@@ -67,3 +67,8 @@ def op5_quality(spark, sf_dir):
     scored = quality.score(network, docs.select("doc_id", "text"))
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(True))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_jaccard")
+def op6_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
