@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, jaccard, languages, mixing, quality, sharding
+from shelfcast.llm import fingerprints, jaccard, languages, mixing, quality, secrets, sharding
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
@@ -72,3 +72,8 @@ def op5_quality(spark, sf_dir):
 @query("op6_jaccard")
 def op6_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secrets")
+def op10_secrets(spark, sf_dir):
+    return secrets.find(table(spark, sf_dir, "documents"))
