@@ -1,5 +1,65 @@
-"""The training-data pipeline over ``documents``, and the queries of the subpackage ``llm``."""
+"""The training-data pipeline over ``documents``, and the queries of the subpackage ``llm``.
 
-from shelfcast.llm.queries import ORACLES, QUERIES
+Every stage takes (spark, docs, sf_dir). All but the last return rows of documents with the input's columns.
+"""
 
-__all__ = ["ORACLES", "QUERIES"]
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfcast.llm import jaccard, mixing, pieces, quality, secrets
+from shelfcast.llm.common import word_count
+from shelfcast.llm.queries import ORACLES, QUERIES, VOCABULARY, quality_network, table
+from shelfcast.session import materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier scores under 0.5."""
+    network = quality_network(docs, table(spark, sf_dir, "labels"))
+    return quality.score(network, docs, out="_score").where(F.col("_score") >= 0.5).drop("_score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id stays; rows with a null id stay."""
+    gone = jaccard.near_duplicates(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(materialize(gone, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; found spans are masked, and n_chars follows the text."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as the mix takes it (not at all to twice)."""
+    mixed = mixing.mix(docs.withColumn("_words", word_count(F.col("text"))).withColumnRenamed("_words", "words__"), size_col="words__")
+    return mixing.training_rows(mixed, docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(docs, pieces.load(VOCABULARY))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode),
+]
+
+#: The stages need trained models, shingle sets and a lattice search: no SQL gives their rows.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after another, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
+
+
+QUERIES = {**QUERIES, "pipeline": run}
+
+__all__ = ["ORACLES", "ORACLE_SQL", "QUERIES", "STAGES", "run"]

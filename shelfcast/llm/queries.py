@@ -5,10 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, jaccard, languages, mixing, quality, secrets, sharding
+from shelfcast.llm import fingerprints, jaccard, languages, mixing, pieces, quality, secrets, sharding
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
+#: The vocabulary file of op8_pieces; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -77,3 +80,8 @@ def op6_jaccard(spark, sf_dir):
 @query("op10_secrets")
 def op10_secrets(spark, sf_dir):
     return secrets.find(table(spark, sf_dir, "documents"))
+
+
+@query("op8_pieces")
+def op8_pieces(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.load(VOCABULARY))
