@@ -42,10 +42,11 @@ class Vocabulary:
 
     def __post_init__(self):
         whole = "".join(self.ids)
-        # No piece has a space after another character, nor a control character: then no piece crosses there.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids) and not re.search(r"[\x00-\x1f]", whole)
+        # If no piece has a space after another character, no piece crosses there; nor a control character without a piece.
+        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        alone = re.escape("".join(c for c in map(chr, range(32)) if c not in whole)) or "\x00"
         self.byte_of = {i: b for b, i in enumerate(self.bytes_)}
-        self.segments = re.compile(rf"[\x00-\x1f]|{SPACE}*[^{SPACE}\x00-\x1f]+|{SPACE}+")
+        self.segments = re.compile(rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("ids", "scores", "pieces", "bytes_", "longest", "unknown")} | {"cache": {}}

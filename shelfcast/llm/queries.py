@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, jaccard, languages, mixing, pieces, quality, secrets, sharding
+from shelfcast.llm import fingerprints, jaccard, languages, mixing, neardup, pieces, quality, secrets, sharding
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
@@ -85,3 +85,8 @@ def op10_secrets(spark, sf_dir):
 @query("op8_pieces")
 def op8_pieces(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents"), pieces.load(VOCABULARY))
+
+
+@query("op2_neardup")
+def op2_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
