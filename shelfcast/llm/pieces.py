@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from shelfcast.session import materialize
 
 #: Code points of a chunk; a document with more has several.
-CHUNK = 16_384
+CHUNK = 32_768
 UNKNOWN = 10.0
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 500_000
 SPACE = "▁"
 NONE = -np.inf
 
@@ -45,7 +45,11 @@ class Vocabulary:
         # If no piece has a space after another character, no piece crosses there; nor a control character without a piece.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         alone = re.escape("".join(c for c in map(chr, range(32)) if c not in whole)) or "\x00"
-        self.byte_of = {i: b for b, i in enumerate(self.bytes_)}
+        self.shown = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in self.pieces]
+        for b, i in enumerate(self.bytes_):
+            self.shown[i] = bytes([b])
+        # Every piece with its id, and every beginning of a piece that is none itself with -1: a search ends where nothing goes on.
+        self.paths = dict.fromkeys((p[:i] for p in self.ids for i in range(1, len(p))), -1) | self.ids
         self.segments = re.compile(rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
 
     def __getstate__(self):
@@ -80,7 +84,7 @@ def forward(v: Vocabulary, text: str, start: int, stop: int) -> tuple[list[float
     """Best score and last piece's beginning for each place, of paths from ``start`` whose pieces begin before ``stop``.
 
     Places up to ``len(text)`` may be reached; a place is open if a piece can begin there."""
-    n, ids, scores, longest = len(text), v.ids, v.scores, v.longest
+    n, paths, scores, longest = len(text), v.paths, v.scores, v.longest
     best, begin = [NONE] * (n + 1), [-1] * (n + 1)
     best[start] = 0.0
     for i in range(start, min(stop, n)):
@@ -88,13 +92,14 @@ def forward(v: Vocabulary, text: str, start: int, stop: int) -> tuple[list[float
         if here == NONE:
             continue
         for j in range(i + 1, min(i + longest, n) + 1):
-            piece = ids.get(text[i:j])
-            if piece is not None:
-                s = here + scores[piece]
-            elif j == i + 1:
-                s = here + v.unknown
-            else:
+            piece = paths.get(text[i:j])
+            if piece is None or piece < 0:
+                if j == i + 1 and here + v.unknown > best[j]:
+                    best[j], begin[j] = here + v.unknown, i
+                if piece is None:
+                    break
                 continue
+            s = here + scores[piece]
             if s > best[j]:
                 best[j], begin[j] = s, i
     return best, begin
@@ -128,9 +133,9 @@ def normalised(text: str) -> str:
 
 def encode(v: Vocabulary, written: str) -> tuple[float, list[int]]:
     """Score and ids of a normalised text without literal U+2581, boundary states 0."""
-    score, ids = 0.0, []
+    score, ids, known = 0.0, [], v.cache.get
     for s in v.split(written):
-        a, b = _segment(v, s)
+        a, b = known(s) or _segment(v, s)
         score += a
         ids += b
     return score, ids
@@ -150,19 +155,7 @@ def encode_text(v: Vocabulary, text: str) -> tuple[float, list[int]]:
 
 
 def decode(v: Vocabulary, ids) -> str:
-    out, held = [], bytearray()
-    for i in ids:
-        b = v.byte_of.get(i)
-        if b is not None:
-            held.append(b)
-            continue
-        if held:
-            out.append(held.decode("utf-8", "surrogatepass"))
-            held.clear()
-        out.append(v.pieces[i].replace(SPACE, " "))
-    if held:
-        out.append(held.decode("utf-8", "surrogatepass"))
-    return "".join(out)[1:] if out else ""
+    return b"".join(map(v.shown.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 def _cut_places(v: Vocabulary, body: str) -> tuple[int, int] | None:
