@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, jaccard, languages, mixing, neardup, pieces, quality, secrets, sharding
+from shelfcast.llm import fingerprints, jaccard, languages, licences, mixing, neardup, pieces, quality, secrets, sharding
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
@@ -90,3 +90,9 @@ def op8_pieces(spark, sf_dir):
 @query("op2_neardup")
 def op2_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_licences")
+def op7_licences(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licences.find(docs, licences.fit(spark, docs))
