@@ -5,7 +5,8 @@ Tokens are ordered rare first, then by hash. A document of n tokens whose partne
 a prefix: single rare tokens, and, if those are too few, pairs of frequent tokens of one class. A prefix with c tokens
 of a class that is indexed by k-token combinations counts c - k + 1; it is extended until the counts exceed n - t. Two
 documents that share no combination then differ in more than n - t tokens, so no link is lost, however rare and
-frequent are told apart.
+frequent are told apart. Of two documents with rare prefixes only, the shared part is at most what their prefixes
+share and what follows the prefix that ends first; pairs that this bound leaves too little are not verified.
 
 Documents with equal sets are one class and enter once per task. In the group of a combination, all are verified
 against the smallest first; only documents that the links so far leave in different components are paired in a
@@ -137,19 +138,20 @@ def bands(n: int) -> set[int]:
     return {n.bit_length(), max(1, -(-PER_CENT * n // 100)).bit_length()}
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Combinations that a document with these tokens indexes.
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """Combinations that a document with these tokens indexes, and the place (top bits) where a prefix of rare tokens
+    alone ends; -1 for other prefixes.
 
     Sets of one or two tokens link with equal sets only, which are one class already.
     """
     n = len(tokens)
     if n <= 2:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), -1
     need = n - -(-PER_CENT * n // 100) + 1
     often = frequent[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
     rare = tokens[~often][:need]
     if len(rare) == need:
-        return rare
+        return rare, int(rare[-1] >> np.uint64(33))
     out, rest = [rare], tokens[often]
     for band in bands(n):
         classes = max(1, (1 << band) // 2 // CLASS_TOKENS)
@@ -162,7 +164,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         for group in np.split(prefix[order], np.flatnonzero(np.diff(own[order])) + 1):
             i, j = np.triu_indices(len(group), 1)
             out.append(mix(mix(group[i] + np.uint64(band)) + group[j] * _BASE))
-    return np.concatenate(out)
+    return np.concatenate(out), -1
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -179,11 +181,11 @@ def _signature_rows(frequent: np.ndarray):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                found = signatures(tokens, frequent)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(found), pa.array(np.full(len(found), cls)), pa.array(np.full(len(found), len(tokens), np.int32))], ["sig", "cls", "n"]
-                    )
+                found, end = signatures(tokens, frequent)
+                k = len(found)
+                if k:
+                    columns = [_signed(found), pa.array(np.full(k, cls)), pa.array(np.full(k, len(tokens), np.int32)), pa.array(np.full(k, end, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "cls", "n", "prefix_end"])
 
     return rows
 
@@ -235,6 +237,21 @@ def _set_rows(bits):
     return rows
 
 
+def _plausible(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of classes (x, y) whose prefixes share enough. What two prefixes share is in ``groups`` for both."""
+    prints = groups.groupBy("cls").agg(F.collect_set("sig").alias("sigs"), F.first("n").cast("long").alias("n"), F.first("prefix_end").alias("e"))
+    x, y = (prints.select(*[F.col(a).alias(f"{c}{a}") for a in ("cls", "sigs", "n", "e")]).withColumnRenamed(f"{c}cls", c) for c in "xy")
+
+    def after(c: str):
+        """Tokens behind a prefix: n less (n - ceil(PER_CENT * n / 100) + 1)."""
+        return F.expr(f"(({PER_CENT} * {c}n + 99) div 100) - 1")
+
+    rest = F.when(F.col("xe") < F.col("ye"), after("x")).when(F.col("xe") > F.col("ye"), after("y")).otherwise(F.greatest(after("x"), after("y")))
+    most = F.size(F.array_intersect("xsigs", "ysigs")) + rest
+    enough = (100 + PER_CENT) * most >= PER_CENT * (F.col("xn") + F.col("yn"))
+    return pairs.join(x, "x").join(y, "y").where((F.col("xe") < 0) | (F.col("ye") < 0) | enough).select("x", "y")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b: ids of the classes' representatives) among pairs of classes (x, y), by the sizes of the intersections."""
     spark = rows.sparkSession
@@ -265,7 +282,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n")
     reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     make = _signature_rows(frequent_flags(profiles))
-    signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int")
+    signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, prefix_end int")
     group = Window.partitionBy("sig").orderBy("n", "cls")
     starred = (
         signed.withColumn("center", F.first("cls").over(group))
@@ -281,10 +298,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .distinct()
     )
     first = materialize(first, "first-pairs")
-    links = _verified(first, reps, rows)
+    links = _verified(_plausible(first, groups), reps, rows)
     joined = components(links)
     of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    members = groups.drop("center_n").join(of, "cls").join(of.toDF("center", "center_comp"), "center")
+    members = groups.drop("center_n", "prefix_end").join(of, "cls").join(of.toDF("center", "center_comp"), "center")
     others = members.where(F.col("comp") != F.col("center_comp"))
     left = others.select("sig", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
     right = (
@@ -300,7 +317,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .distinct()
         .join(first, ["x", "y"], "left_anti")
     )
-    more = materialize(rest, "second-pairs")
+    more = materialize(_plausible(rest, groups), "second-pairs")
     if not more.isEmpty():
         links = links.union(_verified(more, reps, rows))
         joined = components(links)
