@@ -30,8 +30,12 @@ SPACE = "▁"
 NONE = -np.inf
 
 
+_MADE: dict[str, dict] = {}
+
+
 @dataclass
 class Vocabulary:
+    key: str
     ids: dict[str, int]
     scores: list[float]
     pieces: list[str]
@@ -48,16 +52,26 @@ class Vocabulary:
         self.shown = [p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p in self.pieces]
         for b, i in enumerate(self.bytes_):
             self.shown[i] = bytes([b])
-        # Every piece with its id, and every beginning of a piece that is none itself with -1: a search ends where nothing goes on.
-        self.paths = dict.fromkeys((p[:i] for p in self.ids for i in range(1, len(p))), -1) | self.ids
+        # Tree of the pieces: per character the piece that ends there (-1: none) and the characters that may follow.
+        self.tree: dict = {}
+        for p, i in self.ids.items():
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, [-1, {}])[1]
+            at.setdefault(p[-1], [-1, {}])[0] = i
         self.segments = re.compile(rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
 
     def __getstate__(self):
-        return {k: getattr(self, k) for k in ("ids", "scores", "pieces", "bytes_", "longest", "unknown")} | {"cache": {}}
+        return {k: getattr(self, k) for k in ("key", "ids", "scores", "pieces", "bytes_", "longest", "unknown")} | {"cache": {}}
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.__post_init__()
+        """A worker makes the search tables once and keeps them, with the cache, for its later tasks."""
+        made = _MADE.get(state["key"])
+        if made is None:
+            self.__dict__.update(state)
+            self.__post_init__()
+            made = _MADE[state["key"]] = self.__dict__
+        self.__dict__ = made
 
     def split(self, text: str) -> list[str]:
         """Segments that no piece crosses; the whole text if the vocabulary has pieces that could cross anywhere."""
@@ -77,31 +91,38 @@ def load(path: str) -> Vocabulary:
         raise ValueError("the vocabulary needs a piece for each byte")
     scores = [p.get_score(i) for i in range(n)]
     low = min(scores[i] for i in normal)
-    return Vocabulary({pieces[i]: i for i in normal}, scores, pieces, [found[b] for b in range(256)], max(len(pieces[i]) for i in normal), low - UNKNOWN)
+    key = hashlib.sha256(repr((pieces, scores)).encode("utf-8", "surrogatepass")).hexdigest()
+    return Vocabulary(key, {pieces[i]: i for i in normal}, scores, pieces, [found[b] for b in range(256)], max(len(pieces[i]) for i in normal), low - UNKNOWN)
 
 
 def forward(v: Vocabulary, text: str, start: int, stop: int) -> tuple[list[float], list[int]]:
     """Best score and last piece's beginning for each place, of paths from ``start`` whose pieces begin before ``stop``.
 
     Places up to ``len(text)`` may be reached; a place is open if a piece can begin there."""
-    n, paths, scores, longest = len(text), v.paths, v.scores, v.longest
+    n, tree, scores, unknown = len(text), v.tree, v.scores, v.unknown
     best, begin = [NONE] * (n + 1), [-1] * (n + 1)
     best[start] = 0.0
     for i in range(start, min(stop, n)):
         here = best[i]
         if here == NONE:
             continue
-        for j in range(i + 1, min(i + longest, n) + 1):
-            piece = paths.get(text[i:j])
-            if piece is None or piece < 0:
-                if j == i + 1 and here + v.unknown > best[j]:
-                    best[j], begin[j] = here + v.unknown, i
-                if piece is None:
-                    break
-                continue
-            s = here + scores[piece]
-            if s > best[j]:
-                best[j], begin[j] = s, i
+        first = tree.get(text[i])
+        if (first is None or first[0] < 0) and here + unknown > best[i + 1]:
+            best[i + 1], begin[i + 1] = here + unknown, i
+        if first is None:
+            continue
+        piece, following = first
+        j = i + 1
+        while True:
+            if piece >= 0 and here + scores[piece] > best[j]:
+                best[j], begin[j] = here + scores[piece], i
+            if j == n:
+                break
+            step = following.get(text[j])
+            if step is None:
+                break
+            piece, following = step
+            j += 1
     return best, begin
 
 
@@ -110,9 +131,13 @@ def _path(v: Vocabulary, text: str, begin: list[int], start: int, end: int) -> l
     while at > start:
         i = begin[at]
         piece = v.ids.get(text[i:at])
-        out.append([piece] if piece is not None else [v.bytes_[b] for b in text[i:at].encode("utf-8", "surrogatepass")])
+        if piece is not None:
+            out.append(piece)
+        else:
+            out.extend(v.bytes_[b] for b in reversed(text[i:at].encode("utf-8", "surrogatepass")))
         at = i
-    return [x for part in reversed(out) for x in part]
+    out.reverse()
+    return out
 
 
 def _segment(v: Vocabulary, s: str) -> tuple[float, list[int]]:
