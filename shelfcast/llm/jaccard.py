@@ -6,7 +6,8 @@ a prefix: single rare tokens, and, if those are too few, pairs of frequent token
 of a class that is indexed by k-token combinations counts c - k + 1; it is extended until the counts exceed n - t. Two
 documents that share no combination then differ in more than n - t tokens, so no link is lost, however rare and
 frequent are told apart. Of two documents with rare prefixes only, the shared part is at most what their prefixes
-share and what follows the prefix that ends first; pairs that this bound leaves too little are not verified.
+share and what follows the prefix that ends first; pairs that this bound leaves too little are not verified. The
+smaller document of a pair must share even more of its tokens, so a shorter part of its prefix, the index, has to meet the other's prefix.
 
 Documents with equal sets are one class and enter once per task. In the group of a combination, all are verified
 against the smallest first; only documents that the links so far leave in different components are paired in a
@@ -184,8 +185,10 @@ def _signature_rows(frequent: np.ndarray):
                 found, end = signatures(tokens, frequent)
                 k = len(found)
                 if k:
-                    columns = [_signed(found), pa.array(np.full(k, cls)), pa.array(np.full(k, len(tokens), np.int32)), pa.array(np.full(k, end, np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["sig", "cls", "n", "prefix_end"])
+                    n = len(tokens)
+                    index = np.arange(k) < n + 1 + -2 * PER_CENT * n // (100 + PER_CENT) if end >= 0 else np.ones(k, bool)
+                    columns = [_signed(found), pa.array(np.full(k, cls)), pa.array(np.full(k, n, np.int32)), pa.array(np.full(k, end, np.int32)), pa.array(index)]
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "cls", "n", "prefix_end", "index"])
 
     return rows
 
@@ -282,18 +285,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n")
     reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     make = _signature_rows(frequent_flags(profiles))
-    signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, prefix_end int")
-    group = Window.partitionBy("sig").orderBy("n", "cls")
+    signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, prefix_end int, index boolean")
+    group = Window.partitionBy("sig")
+    center = F.min(F.when(F.col("index"), F.struct("n", "cls"))).over(group)
     starred = (
-        signed.withColumn("center", F.first("cls").over(group))
-        .withColumn("center_n", F.first("n").over(group))
-        .withColumn("more", F.lead("cls").over(group))
-        .where((F.col("center") != F.col("cls")) | (F.col("more") != F.col("cls")))
-        .drop("more")
+        signed.withColumn("c", center)
+        .withColumn("others", (F.min("cls").over(group) != F.max("cls").over(group)))
+        .where("others")  # groups without an index entry give no pairs, but their tokens count in _plausible
+        .select("sig", "cls", "n", "prefix_end", "index", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
     )
     groups = materialize(starred, "groups")
     first = (
-        groups.where((F.col("center") != F.col("cls")) & (100 * F.col("center_n") >= PER_CENT * F.col("n")))
+        groups.where((F.col("center") != F.col("cls")) & (100 * F.least("center_n", "n") >= PER_CENT * F.greatest("center_n", "n")))
         .select(F.col("cls").alias("x"), F.col("center").alias("y"))
         .distinct()
     )
@@ -303,16 +306,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
     members = groups.drop("center_n", "prefix_end").join(of, "cls").join(of.toDF("center", "center_comp"), "center")
     others = members.where(F.col("comp") != F.col("center_comp"))
-    left = others.select("sig", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+    left = others.select("sig", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("index").alias("x_index"))
     right = (
-        members.select("sig", F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"), (F.col("comp") == F.col("center_comp")).alias("main"))
+        members.select("sig", F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"), F.col("index").alias("y_index"), (F.col("comp") == F.col("center_comp")).alias("main"))
         .distinct()
         .join(others.select("sig").distinct(), "sig", "left_semi")
     )
     close = (100 * F.least("x_n", "y_n")) >= PER_CENT * F.greatest("x_n", "y_n")
+    smaller = F.when((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y"))), F.col("x_index")).otherwise(F.col("y_index"))
     rest = (
         left.join(right, "sig")
-        .where((F.col("x_comp") != F.col("y_comp")) & close & (F.col("main") | (F.col("x") < F.col("y"))))
+        .where((F.col("x_comp") != F.col("y_comp")) & close & smaller & (F.col("main") | (F.col("x") < F.col("y"))))
         .select("x", "y")
         .distinct()
         .join(first, ["x", "y"], "left_anti")
