@@ -173,7 +173,7 @@ def _labelled(model: Model):
         def flush(held):
             lengths = np.array([len(x) for _, x in held], np.int64)
             flat = np.concatenate([np.array(x, np.int64) for _, x in held]) if held else np.zeros(0, np.int64)
-            labels = viterbi(rows[flat], lengths)
+            labels = viterbi(rows[flat], lengths) if langs else flat
             out, at = [], 0
             for (head, x), n in zip(held, lengths):
                 if n and langs:
