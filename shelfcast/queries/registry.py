@@ -19,7 +19,11 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
 
     def value(name: str) -> Column:
         c = F.col(f"`{name}`")
-        return (F.floor(c * scale + F.lit(0.5)).cast("double") / scale).alias(name) if name in doubles else c
+        if name not in doubles:
+            return c
+        # From 2^53 on a double has no digits to round, and floor() to a whole number of 64 bits would saturate.
+        small = F.abs(c * scale) < F.lit(float(2**53))
+        return F.when(small, F.floor(c * scale + F.lit(0.5)).cast("double") / scale).otherwise(c).alias(name)
 
     return df.select(*[value(c) for c in df.columns])
 
