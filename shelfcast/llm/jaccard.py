@@ -5,9 +5,12 @@ Tokens are ordered rare first, then by hash. A document of n tokens whose partne
 a prefix: single rare tokens, and, if those are too few, pairs of frequent tokens of one class. A prefix with c tokens
 of a class that is indexed by k-token combinations counts c - k + 1; it is extended until the counts exceed n - t. Two
 documents that share no combination then differ in more than n - t tokens, so no link is lost, however rare and
-frequent are told apart. Of two documents with rare prefixes only, the shared part is at most what their prefixes
-share and what follows the prefix that ends first; pairs that this bound leaves too little are not verified. The
-smaller document of a pair must share even more of its tokens, so a shorter part of its prefix, the index, has to meet the other's prefix.
+frequent are told apart. The smaller document of a pair must share even more of its tokens, so a shorter part of a
+prefix of rare tokens, the index, has to meet the other's prefix.
+
+Every class has a parity map of two to four bits per token: a bit is set if an odd number of tokens falls on it. Two
+maps differ in no more bits than the sets differ in tokens, so pairs whose maps differ in too many cannot link;
+the sets of the others are moved and compared.
 
 Documents with equal sets are one class and enter once per task. In the group of a combination, all are verified
 against the smallest first; only documents that the links so far leave in different components are paired in a
@@ -77,27 +80,38 @@ def set_class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-_PROFILE = "doc_id long, cls long, n long, block int, counts binary"
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Parity map of a set in words of 64 bits; their number is a power of two. Adding the halves of a map (exclusive or)
+    gives the map of half the length."""
+    size = 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_PROFILE = "doc_id long, cls long, n long, parity array<long>, block int, counts binary"
 
 
 def _profiles(batches):
     """Class and size of each document, then the task's counters."""
     hashes, counters = WordHashes(), np.zeros(COUNTERS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    maps = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", maps), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        ids, cls, size = batch.column(0), [], []
+        ids, cls, size, odd = batch.column(0), [], [], []
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, hashes)
             slots, n = np.unique(tokens & np.uint64(COUNTERS - 1), return_counts=True)
             counters[slots.astype(np.int64)] += n.astype(np.uint32)
             cls.append(set_class(tokens))
             size.append(len(tokens))
+            odd.append(parity(tokens))
         none = [None] * len(cls)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+        columns = (cls, size, odd, none, none)
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:]))], schema=schema)
     if counters.any():
         for i, part in enumerate(np.split(counters, BLOCKS)):
             packed = zlib.compress(part.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, i, packed), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, i, packed), schema)], schema=schema)
 
 
 def _flags(limit: float):
@@ -139,20 +153,19 @@ def bands(n: int) -> set[int]:
     return {n.bit_length(), max(1, -(-PER_CENT * n // 100)).bit_length()}
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """Combinations that a document with these tokens indexes, and the place (top bits) where a prefix of rare tokens
-    alone ends; -1 for other prefixes.
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Combinations that a document with these tokens indexes, and whether they are rare tokens alone.
 
     Sets of one or two tokens link with equal sets only, which are one class already.
     """
     n = len(tokens)
     if n <= 2:
-        return np.zeros(0, np.uint64), -1
+        return np.zeros(0, np.uint64), False
     need = n - -(-PER_CENT * n // 100) + 1
     often = frequent[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
     rare = tokens[~often][:need]
     if len(rare) == need:
-        return rare, int(rare[-1] >> np.uint64(33))
+        return rare, True
     out, rest = [rare], tokens[often]
     for band in bands(n):
         classes = max(1, (1 << band) // 2 // CLASS_TOKENS)
@@ -165,7 +178,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
         for group in np.split(prefix[order], np.flatnonzero(np.diff(own[order])) + 1):
             i, j = np.triu_indices(len(group), 1)
             out.append(mix(mix(group[i] + np.uint64(band)) + group[j] * _BASE))
-    return np.concatenate(out), -1
+    return np.concatenate(out), False
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -182,13 +195,13 @@ def _signature_rows(frequent: np.ndarray):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                found, end = signatures(tokens, frequent)
+                found, rare = signatures(tokens, frequent)
                 k = len(found)
                 if k:
                     n = len(tokens)
-                    index = np.arange(k) < n + 1 + -2 * PER_CENT * n // (100 + PER_CENT) if end >= 0 else np.ones(k, bool)
-                    columns = [_signed(found), pa.array(np.full(k, cls)), pa.array(np.full(k, n, np.int32)), pa.array(np.full(k, end, np.int32)), pa.array(index)]
-                    yield pa.RecordBatch.from_arrays(columns, ["sig", "cls", "n", "prefix_end", "index"])
+                    index = np.arange(k) < n + 1 + -2 * PER_CENT * n // (100 + PER_CENT) if rare else np.ones(k, bool)
+                    columns = [_signed(found), pa.array(np.full(k, cls)), pa.array(np.full(k, n, np.int32)), pa.array(index)]
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "cls", "n", "index"])
 
     return rows
 
@@ -240,26 +253,28 @@ def _set_rows(bits):
     return rows
 
 
-def _plausible(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of classes (x, y) whose prefixes share enough. What two prefixes share is in ``groups`` for both."""
-    prints = groups.groupBy("cls").agg(F.collect_set("sig").alias("sigs"), F.first("n").cast("long").alias("n"), F.first("prefix_end").alias("e"))
-    x, y = (prints.select(*[F.col(a).alias(f"{c}{a}") for a in ("cls", "sigs", "n", "e")]).withColumnRenamed(f"{c}cls", c) for c in "xy")
+def _candidates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of classes (x, y) whose parity maps leave enough to share, with their representatives and sizes.
+
+    Sizes of a pair differ by a third at most, so the length of one map is that of the other, or twice it.
+    """
+    x, y = (reps.select(F.col("cls").alias(c), *[F.col(a).alias(f"{c}_{a}") for a in ("rep", "n", "parity")]) for c in "xy")
+    words = F.least(F.size("x_parity"), F.size("y_parity"))
 
-    def after(c: str):
-        """Tokens behind a prefix: n less (n - ceil(PER_CENT * n / 100) + 1)."""
-        return F.expr(f"(({PER_CENT} * {c}n + 99) div 100) - 1")
+    def folded(c: str):
+        own = F.col(f"{c}_parity")
+        halves = F.zip_with(F.slice(own, 1, words), F.slice(own, words + 1, words), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(own) > words, halves).otherwise(own)
 
-    rest = F.when(F.col("xe") < F.col("ye"), after("x")).when(F.col("xe") > F.col("ye"), after("y")).otherwise(F.greatest(after("x"), after("y")))
-    most = F.size(F.array_intersect("xsigs", "ysigs")) + rest
-    enough = (100 + PER_CENT) * most >= PER_CENT * (F.col("xn") + F.col("yn"))
-    return pairs.join(x, "x").join(y, "y").where((F.col("xe") < 0) | (F.col("ye") < 0) | enough).select("x", "y")
+    differing = F.zip_with(folded("x"), folded("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    both = F.col("x_n") + F.col("y_n")
+    enough = (100 + PER_CENT) * (both - F.aggregate(differing, F.lit(0), lambda total, v: total + v)) >= 2 * PER_CENT * both
+    return materialize(pairs.join(x, "x").join(y, "y").where(enough).select("x", "y", "x_rep", "y_rep", "x_n", "y_n"), "pairs")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b: ids of the classes' representatives) among pairs of classes (x, y), by the sizes of the intersections."""
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b: ids of the classes' representatives) among candidate pairs of classes, by the sizes of the intersections."""
     spark = rows.sparkSession
-    x, y = (reps.select(F.col("cls").alias(c), F.col("rep").alias(f"{c}_rep"), F.col("n").alias(f"{c}_n")) for c in "xy")
-    pairs = materialize(pairs.join(x, "x").join(y, "y"), "pairs")
     needed = pairs.select(F.col("x_rep").alias("doc_id"), F.col("x").alias("cls")).union(pairs.select("y_rep", "y")).distinct()
     bits = spark.sparkContext.broadcast(_needed_filter(needed))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
@@ -282,17 +297,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(rows.mapInArrow(_profiles, _PROFILE), "profiles")
-    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n")
-    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity")
+    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity")), "classes")
     make = _signature_rows(frequent_flags(profiles))
-    signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, prefix_end int, index boolean")
+    signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, index boolean")
     group = Window.partitionBy("sig")
     center = F.min(F.when(F.col("index"), F.struct("n", "cls"))).over(group)
     starred = (
         signed.withColumn("c", center)
         .withColumn("others", (F.min("cls").over(group) != F.max("cls").over(group)))
-        .where("others")  # groups without an index entry give no pairs, but their tokens count in _plausible
-        .select("sig", "cls", "n", "prefix_end", "index", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
+        .where("others AND c IS NOT NULL")  # groups without an index entry give no pairs
+        .select("sig", "cls", "n", "index", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
     )
     groups = materialize(starred, "groups")
     first = (
@@ -301,10 +316,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .distinct()
     )
     first = materialize(first, "first-pairs")
-    links = _verified(_plausible(first, groups), reps, rows)
+    links = _verified(_candidates(first, reps), rows)
     joined = components(links)
     of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    members = groups.drop("center_n", "prefix_end").join(of, "cls").join(of.toDF("center", "center_comp"), "center")
+    members = groups.drop("center_n").join(of, "cls").join(of.toDF("center", "center_comp"), "center")
     others = members.where(F.col("comp") != F.col("center_comp"))
     left = others.select("sig", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("index").alias("x_index"))
     right = (
@@ -321,9 +336,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .distinct()
         .join(first, ["x", "y"], "left_anti")
     )
-    more = materialize(_plausible(rest, groups), "second-pairs")
+    more = _candidates(rest, reps)
     if not more.isEmpty():
-        links = links.union(_verified(more, reps, rows))
+        links = links.union(_verified(more, rows))
         joined = components(links)
     reached = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reached, "cls", "left").select(

@@ -76,6 +76,18 @@ def test_jaccard_signatures_lose_no_link():
             assert len(np.intersect1d(jaccard.signatures(x, frequent)[0], jaccard.signatures(y, frequent)[0])), trial
 
 
+def test_parity_maps_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for trial in range(200):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3_000)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: int(rng.integers(1, len(x) + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, len(x) // 3 + 1)), dtype=np.uint64)]))
+        p, q = sorted((jaccard.parity(x), jaccard.parity(y)), key=len)
+        while len(q) > len(p):
+            q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+        differing = int(np.bitwise_count((p ^ q).view(np.uint64)).sum())
+        assert differing <= len(np.setxor1d(x, y)), trial
+
+
 def test_jaccard_of_no_rows(spark):
     assert jaccard.near_duplicates(make(spark, [])).count() == 0
 
