@@ -13,8 +13,9 @@ maps differ in no more bits than the sets differ in tokens, so pairs whose maps
 the sets of the others are moved and compared.
 
 Documents with equal sets are one class and enter once per task. In the group of a combination, all are verified
-against the smallest first; only documents that the links so far leave in different components are paired in a
-second round. So a group of n near copies costs n verifications, not n * n, and its component is the same.
+against the smallest first. Documents that the links leave outside the smallest one's component then meet ``ANCHORS``
+members of each group, and only those that are still outside meet all members of the larger groups. So a group of n near
+copies costs some n verifications, not n * n, and its component is the same.
 """
 
 import math
@@ -23,7 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.graph import components
@@ -38,6 +39,10 @@ COUNTERS, BLOCKS = 1 << 22, 64
 FREQUENT = 64
 #: A frequent class has about so many tokens of a document's size; pairs are formed inside classes.
 CLASS_TOKENS = 16
+#: Members of a group that those outside its main component meet before all others. Groups up to this size are done then.
+ANCHORS = 16
+#: Words of the short parity map that is compared where members of large groups meet.
+SHORT = 8
 #: Bits of the filter that tells which documents' sets are needed to verify.
 FILTER_BITS = 1 << 26
 CACHE_WORDS = 300_000
@@ -80,24 +85,24 @@ def set_class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
     """Parity map of a set in words of 64 bits; their number is a power of two. Adding the halves of a map (exclusive or)
     gives the map of half the length."""
-    size = 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
+    size = 64 * words if words else 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
     odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_PROFILE = "doc_id long, cls long, n long, parity array<long>, block int, counts binary"
+_PROFILE = "doc_id long, cls long, n long, parity array<long>, short array<long>, block int, counts binary"
 
 
 def _profiles(batches):
     """Class and size of each document, then the task's counters."""
     hashes, counters = WordHashes(), np.zeros(COUNTERS, np.uint32)
     maps = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", maps), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", maps), ("short", maps), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        ids, cls, size, odd = batch.column(0), [], [], []
+        ids, cls, size, odd, short = batch.column(0), [], [], [], []
         for text in batch.column(1).to_pylist():
             tokens = shingles(text, hashes)
             slots, n = np.unique(tokens & np.uint64(COUNTERS - 1), return_counts=True)
@@ -105,13 +110,14 @@ def _profiles(batches):
             cls.append(set_class(tokens))
             size.append(len(tokens))
             odd.append(parity(tokens))
+            short.append(parity(tokens, SHORT))
         none = [None] * len(cls)
-        columns = (cls, size, odd, none, none)
+        columns = (cls, size, odd, short, none, none)
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:]))], schema=schema)
     if counters.any():
         for i, part in enumerate(np.split(counters, BLOCKS)):
             packed = zlib.compress(part.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, i, packed), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, None, i, packed), schema)], schema=schema)
 
 
 def _flags(limit: float):
@@ -253,6 +259,12 @@ def _set_rows(bits):
     return rows
 
 
+def _enough(differing: Column) -> Column:
+    """Whether sets of x_n and y_n tokens, of which at least so many are not shared, can link."""
+    both = F.col("x_n") + F.col("y_n")
+    return (100 + PER_CENT) * (both - differing) >= 2 * PER_CENT * both
+
+
 def _candidates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of classes (x, y) whose parity maps leave enough to share, with their representatives and sizes.
 
@@ -267,11 +279,32 @@ def _candidates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         return F.when(F.size(own) > words, halves).otherwise(own)
 
     differing = F.zip_with(folded("x"), folded("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    both = F.col("x_n") + F.col("y_n")
-    enough = (100 + PER_CENT) * (both - F.aggregate(differing, F.lit(0), lambda total, v: total + v)) >= 2 * PER_CENT * both
+    enough = _enough(F.aggregate(differing, F.lit(0), lambda total, v: total + v))
     return materialize(pairs.join(x, "x").join(y, "y").where(enough).select("x", "y", "x_rep", "y_rep", "x_n", "y_n"), "pairs")
 
 
+def _outside(groups: DataFrame, of: DataFrame, anchors: int | None) -> DataFrame:
+    """Pairs of classes (x < y) that share a group and lie in different components, one of them not in that of the
+    group's center. With ``anchors``, the other is one of so many members of the group, chosen by their hashes; else only
+    pairs whose short parity maps leave enough to share are returned."""
+    members = groups.select("sig", "cls", "n", "index", "center").join(of, "cls").join(of.select(F.col("cls").alias("center"), F.col("comp").alias("center_comp")), "center")
+    members = materialize(members.withColumn("main", F.col("comp") == F.col("center_comp")).drop("center", "center_comp").distinct(), "members")
+    others = members.where("NOT main")
+    x, y = ([F.col(a).alias(f"{c}_{a}") for a in ("cls", "n", "index", "comp", "main", "short")] for c in "xy")
+    right = members.join(others.select("sig").distinct(), "sig", "left_semi")
+    if anchors is not None:
+        right = right.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("cls"))).where(F.col("at") <= anchors)
+        once = F.lit(True)
+    else:
+        differing = sum((F.bit_count(F.col("x_short")[i].bitwiseXOR(F.col("y_short")[i])) for i in range(SHORT)), F.lit(0))
+        once = (F.col("y_main") | (F.col("x_cls") < F.col("y_cls"))) & _enough(differing)
+    close = 100 * F.least("x_n", "y_n") >= PER_CENT * F.greatest("x_n", "y_n")
+    x_smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
+    met = F.when(x_smaller, F.col("x_index")).otherwise(F.col("y_index"))
+    pairs = others.select("sig", *x).join(right.select("sig", *y), "sig").where((F.col("x_comp") != F.col("y_comp")) & close & met & once)
+    return pairs.select(F.least("x_cls", "y_cls").alias("x"), F.greatest("x_cls", "y_cls").alias("y")).distinct()
+
+
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (a, b: ids of the classes' representatives) among candidate pairs of classes, by the sizes of the intersections."""
     spark = rows.sparkSession
@@ -297,49 +330,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(rows.mapInArrow(_profiles, _PROFILE), "profiles")
-    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity")
-    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity")), "classes")
+    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity", "short")
+    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity"), F.first("short").alias("short")), "classes")
     make = _signature_rows(frequent_flags(profiles))
     signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, index boolean")
     group = Window.partitionBy("sig")
     center = F.min(F.when(F.col("index"), F.struct("n", "cls"))).over(group)
     starred = (
         signed.withColumn("c", center)
+        .withColumn("size", F.count("*").over(group))
         .withColumn("others", (F.min("cls").over(group) != F.max("cls").over(group)))
         .where("others AND c IS NOT NULL")  # groups without an index entry give no pairs
-        .select("sig", "cls", "n", "index", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
+        .select("sig", "cls", "n", "index", "size", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
     )
     groups = materialize(starred, "groups")
-    first = (
-        groups.where((F.col("center") != F.col("cls")) & (100 * F.least("center_n", "n") >= PER_CENT * F.greatest("center_n", "n")))
-        .select(F.col("cls").alias("x"), F.col("center").alias("y"))
-        .distinct()
-    )
-    first = materialize(first, "first-pairs")
-    links = _verified(_candidates(first, reps), rows)
+    first = groups.where((F.col("center") != F.col("cls")) & (100 * F.least("center_n", "n") >= PER_CENT * F.greatest("center_n", "n")))
+    tried = materialize(first.select(F.least("cls", "center").alias("x"), F.greatest("cls", "center").alias("y")).distinct(), "tried")
+    links = _verified(_candidates(tried, reps), rows)
     joined = components(links)
-    of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
-    members = groups.drop("center_n").join(of, "cls").join(of.toDF("center", "center_comp"), "center")
-    others = members.where(F.col("comp") != F.col("center_comp"))
-    left = others.select("sig", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"), F.col("index").alias("x_index"))
-    right = (
-        members.select("sig", F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("comp").alias("y_comp"), F.col("index").alias("y_index"), (F.col("comp") == F.col("center_comp")).alias("main"))
-        .distinct()
-        .join(others.select("sig").distinct(), "sig", "left_semi")
-    )
-    close = (100 * F.least("x_n", "y_n")) >= PER_CENT * F.greatest("x_n", "y_n")
-    smaller = F.when((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y"))), F.col("x_index")).otherwise(F.col("y_index"))
-    rest = (
-        left.join(right, "sig")
-        .where((F.col("x_comp") != F.col("y_comp")) & close & smaller & (F.col("main") | (F.col("x") < F.col("y"))))
-        .select("x", "y")
-        .distinct()
-        .join(first, ["x", "y"], "left_anti")
-    )
-    more = _candidates(rest, reps)
-    if not more.isEmpty():
-        links = links.union(_verified(more, rows))
-        joined = components(links)
+    for larger, anchors in ((groups, ANCHORS), (groups.where(F.col("size") > ANCHORS), None)):
+        of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"), F.lit(None).cast("array<long>").alias("short") if anchors else "short")
+        pairs = materialize(_outside(larger, of, anchors).join(tried, ["x", "y"], "left_anti"), "tried")
+        tried = tried.union(pairs)
+        more = _candidates(pairs, reps)
+        if not more.isEmpty():
+            links = links.union(_verified(more, rows))
+            joined = components(links)
     reached = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reached, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
