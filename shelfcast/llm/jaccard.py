@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,14 +94,13 @@ def parity(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_PROFILE = "doc_id long, cls long, n long, parity array<long>, short array<long>, block int, counts binary"
+_PROFILE = "doc_id long, cls long, n long, parity binary, short array<long>, block int, counts binary"
 
 
 def _profiles(batches):
     """Class and size of each document, then the task's counters."""
     hashes, counters = WordHashes(), np.zeros(COUNTERS, np.uint32)
-    maps = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", maps), ("short", maps), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         ids, cls, size, odd, short = batch.column(0), [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -109,7 +109,7 @@ def _profiles(batches):
             counters[slots.astype(np.int64)] += n.astype(np.uint32)
             cls.append(set_class(tokens))
             size.append(len(tokens))
-            odd.append(parity(tokens))
+            odd.append(parity(tokens).tobytes())
             short.append(parity(tokens, SHORT))
         none = [None] * len(cls)
         columns = (cls, size, odd, short, none, none)
@@ -265,22 +265,43 @@ def _enough(differing: Column) -> Column:
     return (100 + PER_CENT) * (both - differing) >= 2 * PER_CENT * both
 
 
+def _maps(found: pa.Array) -> np.ndarray:
+    """Maps of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(found.to_pylist()), np.uint64).reshape(len(found), -1)
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def _close_maps(batches):
+    """Pairs whose parity maps leave enough to share, without the maps."""
+    kept = ["x", "y", "x_rep", "y_rep", "x_n", "y_n"]
+    for batch in batches:
+        x, y = batch.column("x_parity"), batch.column("y_parity")
+        lengths = np.stack([pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()], axis=1)
+        differing = np.zeros(batch.num_rows, np.int64)
+        for own in np.unique(lengths, axis=0):
+            at = np.flatnonzero((lengths == own).all(axis=1))
+            words = int(own.min()) // 8
+            left, right = (_folded(_maps(maps.take(pa.array(at))), words) for maps in (x, y))
+            differing[at] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+        both = batch.column("x_n").to_numpy() + batch.column("y_n").to_numpy()
+        enough = (100 + PER_CENT) * (both - differing) >= 2 * PER_CENT * both
+        yield batch.select(kept).filter(pa.array(enough))
+
+
 def _candidates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of classes (x, y) whose parity maps leave enough to share, with their representatives and sizes.
 
     Sizes of a pair differ by a third at most, so the length of one map is that of the other, or twice it.
     """
     x, y = (reps.select(F.col("cls").alias(c), *[F.col(a).alias(f"{c}_{a}") for a in ("rep", "n", "parity")]) for c in "xy")
-    words = F.least(F.size("x_parity"), F.size("y_parity"))
-
-    def folded(c: str):
-        own = F.col(f"{c}_parity")
-        halves = F.zip_with(F.slice(own, 1, words), F.slice(own, words + 1, words), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(own) > words, halves).otherwise(own)
-
-    differing = F.zip_with(folded("x"), folded("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    enough = _enough(F.aggregate(differing, F.lit(0), lambda total, v: total + v))
-    return materialize(pairs.join(x, "x").join(y, "y").where(enough).select("x", "y", "x_rep", "y_rep", "x_n", "y_n"), "pairs")
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_rep", "y_rep", "x_n", "y_n", "x_parity", "y_parity")
+    return materialize(both.mapInArrow(_close_maps, "x long, y long, x_rep long, y_rep long, x_n long, y_n long"), "pairs")
 
 
 def _outside(groups: DataFrame, of: DataFrame, anchors: int | None) -> DataFrame:
@@ -305,16 +326,25 @@ def _outside(groups: DataFrame, of: DataFrame, anchors: int | None) -> DataFrame
     return pairs.select(F.least("x_cls", "y_cls").alias("x"), F.greatest("x_cls", "y_cls").alias("y")).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links (a, b: ids of the classes' representatives) among candidate pairs of classes, by the sizes of the intersections."""
-    spark = rows.sparkSession
-    needed = pairs.select(F.col("x_rep").alias("doc_id"), F.col("x").alias("cls")).union(pairs.select("y_rep", "y")).distinct()
-    bits = spark.sparkContext.broadcast(_needed_filter(needed))
+def _sets(needed: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
+    """Sets (doc_id, cls, tokens) of the representatives in ``needed``, and of few others. They are made again for each
+    use, as making them costs less than writing them."""
+    bits = rows.sparkSession.sparkContext.broadcast(_needed_filter(needed))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
     make = _set_rows(bits)
     sets = rows.select("doc_id", "text", slot).mapInArrow(lambda b: _gathered(make(b), 1_000), "doc_id long, cls long, tokens array<long>")
-    sets = materialize(sets.join(needed, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"]), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(f"{c}_rep"), F.col("cls").alias(c), F.col("tokens").alias(f"{c}_set")) for c in "xy")
+    return sets if unique else sets.dropDuplicates(["doc_id", "cls"])
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
+    """Links (a, b: ids of the classes' representatives) among candidate pairs of classes, by the sizes of the intersections.
+
+    ``unique`` says that no id has two rows of one class; else they are reduced to one first.
+    """
+    left, right = (
+        _sets(pairs.select(F.col(f"{c}_rep").alias("doc_id")), rows, unique).select(F.col("doc_id").alias(f"{c}_rep"), F.col("cls").alias(c), F.col("tokens").alias(f"{c}_set"))
+        for c in "xy"
+    )
     both = pairs.join(left, ["x", "x_rep"]).join(right, ["y", "y_rep"])
     shared = F.size(F.array_intersect("x_set", "y_set"))
     linked = shared * 100 >= PER_CENT * (F.col("x_n") + F.col("y_n") - shared)
@@ -346,7 +376,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = materialize(starred, "groups")
     first = groups.where((F.col("center") != F.col("cls")) & (100 * F.least("center_n", "n") >= PER_CENT * F.greatest("center_n", "n")))
     tried = materialize(first.select(F.least("cls", "center").alias("x"), F.greatest("cls", "center").alias("y")).distinct(), "tried")
-    links = _verified(_candidates(tried, reps), rows)
+    unique = own.where("n > 0").groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
+    links = _verified(_candidates(tried, reps), rows, unique)
     joined = components(links)
     for larger, anchors in ((groups, ANCHORS), (groups.where(F.col("size") > ANCHORS), None)):
         of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"), F.lit(None).cast("array<long>").alias("short") if anchors else "short")
@@ -354,7 +385,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         tried = tried.union(pairs)
         more = _candidates(pairs, reps)
         if not more.isEmpty():
-            links = links.union(_verified(more, rows))
+            links = links.union(_verified(more, rows, unique))
             joined = components(links)
     reached = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reached, "cls", "left").select(
