@@ -19,6 +19,7 @@ copies costs some n verifications, not n * n, and its component is the same.
 """
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -46,7 +47,10 @@ ANCHORS = 16
 SHORT = 8
 #: Bits of the filter that tells which documents' sets are needed to verify.
 FILTER_BITS = 1 << 26
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Bytes of a text whose words are Python objects at a time, and bytes of an Arrow batch that goes back to Spark.
+TEXT_BLOCK, BATCH_BYTES = 1 << 16, 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,15 +69,25 @@ class WordHashes(dict):
         return h
 
 
+def word_blocks(data: bytes):
+    """Words of a text, some ``TEXT_BLOCK`` bytes at a time; a block ends at white space."""
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, min(at + TEXT_BLOCK, len(data)))
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end + 1
+
+
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct tokens of a text: shingles of ``WORDS`` words, or its whole sequence if it has fewer.
 
     Lower-casing and splitting bytes touch A-Z and ASCII white space only.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.array([hashes[w] for w in found], np.uint64)
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    h = np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) for words in word_blocks(data))])
+    if not len(h):
+        return h
     k = min(WORDS, len(h))
     total = h[: len(h) - k + 1].copy()
     for i in range(1, k):
@@ -103,7 +117,7 @@ def _profiles(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         ids, cls, size, odd, short = batch.column(0), [], [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in map(pa.Scalar.as_py, batch.column(1)):
             tokens = shingles(text, hashes)
             slots, n = np.unique(tokens & np.uint64(COUNTERS - 1), return_counts=True)
             counters[slots.astype(np.int64)] += n.astype(np.uint32)
@@ -195,7 +209,7 @@ def _signature_rows(frequent: np.ndarray):
     def rows(batches):
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in map(pa.Scalar.as_py, batch.column(0)):
                 tokens = shingles(text, hashes)
                 cls = set_class(tokens)
                 if cls in seen:
@@ -212,15 +226,15 @@ def _signature_rows(frequent: np.ndarray):
     return rows
 
 
-def _gathered(batches, size: int = 200_000):
+def _gathered(batches):
     """Small batches joined to larger ones."""
-    held, rows = [], 0
+    held, size = [], 0
     for b in batches:
         held.append(b)
-        rows += b.num_rows
-        if rows >= size:
+        size += b.nbytes
+        if size >= BATCH_BYTES:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, rows = [], 0
+            held, size = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -332,7 +346,7 @@ def _sets(needed: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(_needed_filter(needed))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
     make = _set_rows(bits)
-    sets = rows.select("doc_id", "text", slot).mapInArrow(lambda b: _gathered(make(b), 1_000), "doc_id long, cls long, tokens array<long>")
+    sets = rows.select("doc_id", "text", slot).mapInArrow(lambda b: _gathered(make(b)), "doc_id long, cls long, tokens array<long>")
     return sets if unique else sets.dropDuplicates(["doc_id", "cls"])
 
 
