@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.functions.calendar import day
+from shelfcast.functions.text import clean_double
 from shelfcast.operators.audit import _quantity
 from shelfcast.operators.cleaning import up_to
 from shelfcast.operators.weekly import observed_weeks
@@ -79,4 +80,4 @@ def daily_volatility(sales: DataFrame, *, days: int = 180, as_of=None) -> DataFr
 
 def mean_sale(sales: DataFrame) -> DataFrame:
     """Mean quantity of a bill line per pair, 0 if there is none."""
-    return sales.groupBy(*s.PAIR).agg(F.coalesce(F.avg(s.QUANTITY), F.lit(0.0)).alias("mean_quantity"))
+    return sales.groupBy(*s.PAIR).agg(F.coalesce(F.avg(clean_double(F.col(s.QUANTITY))), F.lit(0.0)).alias("mean_quantity"))

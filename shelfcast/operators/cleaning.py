@@ -29,7 +29,7 @@ def with_parsed_date(sales: DataFrame) -> DataFrame:
 
 def require_rows(sales: DataFrame) -> DataFrame:
     if sales.isEmpty():
-        raise ValueError("No valid rows found after parsing BillDate.")
+        raise ValueError("no sale has a readable bill date")
     return sales
 
 

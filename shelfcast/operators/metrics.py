@@ -47,12 +47,19 @@ def best_model(metrics: DataFrame, *, name: str = "model", position: str = "posi
     return best.select("best.*").where(F.col(name).isNotNull())
 
 
+def _plain(c: str) -> Column:
+    """A number as text, without an exponent if it is large."""
+    large = F.rtrim(F.col(c).cast("decimal(38,4)").cast("string"), F.lit("0"))
+    large = F.when(large.endswith("."), F.concat(large, F.lit("0"))).otherwise(large)
+    return F.when(F.abs(c) >= 1e7, large).otherwise(F.col(c).cast("string"))
+
+
 def scorecard(metrics: DataFrame, *, algorithm: Column, features: int) -> DataFrame:
     """The scores as (Parameter, Value) rows of text."""
     shown = rounded(metrics).select(
         algorithm.alias("Algorithm"),
         *[
-            (F.concat(F.col(c).cast("string"), F.lit("%")) if c == "accuracy" else F.col(c).cast("string")).alias(n)
+            (F.concat(_plain(c), F.lit("%")) if c == "accuracy" else _plain(c)).alias(n)
             for c, n in NAMES.items()
         ],
         F.lit(str(features)).alias("Features_Used"),

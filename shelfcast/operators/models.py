@@ -7,18 +7,39 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.operators.forecasting import align
 from shelfcast.operators.metrics import regression_metrics
-from shelfcast.session import materialize, spread
+from shelfcast.session import drop_table, materialize, read_table, write_table
 
 LABEL = s.QUANTITY
 SEED = 42
 # Share of the training rows that decides when boosting stops.
 VALIDATION_SHARE = 0.1
+# Steps of a draw.
+DRAWS = 1_000_000
+
+
+def row_hash(features: Sequence[str]) -> Column:
+    """What draws are made by: the row's own values, so that they depend on no partition, order or number of cores."""
+    return F.xxhash64(*features, LABEL)
+
+
+def drawn(row: Column, seed: int, share: float) -> Column:
+    """Whether a row is in a random share of all rows; equal rows are drawn together."""
+    return _uniform(row, seed) < share
+
+
+def drawn_of(rows: Column, row: Column, seed: int, share: float) -> Column:
+    """How many of so many equal rows are in a random share of all rows."""
+    return F.floor(rows * F.lit(share) + _uniform(row, seed))
+
+
+def _uniform(row: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(DRAWS)) / F.lit(float(DRAWS))
 
 
 @dataclass(frozen=True)
@@ -26,7 +47,7 @@ class PoissonBoosting:
     """Boosted trees for counts with a log link.
 
     Each round fits a weighted regression tree to the Newton step of the Poisson loss: target (y - mu) / mu,
-    weight mu. Steps are clipped to ``max_step``. Boosting stops when the deviance of the validation rows
+    weight mu. Steps are clipped to ``max_step``. Equal rows are one row with a count. Boosting stops when the deviance of the validation rows
     has not improved for ``patience`` checks.
     """
 
@@ -41,22 +62,26 @@ class PoissonBoosting:
 
     def fit(self, train: DataFrame, features: Sequence[str]) -> PipelineModel:
         assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+        counted = align(train, features, (LABEL,)).groupBy(*features, LABEL).agg(F.count("*").alias("_rows"))
         base = (
-            assembler.transform(align(train, features, (LABEL,)))
-            .select("features", F.col(LABEL).cast("double").alias("_y"))
-            .withColumn("_valid", F.rand(SEED) < VALIDATION_SHARE)
+            assembler.transform(counted)
+            .select("features", F.col(LABEL).cast("double").alias("_y"), row_hash(features).alias("_row"), "_rows")
+            .withColumn("_valid", drawn_of(F.col("_rows"), F.col("_row"), SEED, VALIDATION_SHARE))
         )
-        base = materialize(base, "boosting-base")
-        mean = base.agg(F.avg("_y")).first()[0] or 0.0
+        written = write_table(base, "boosting")
+        base = read_table(train.sparkSession, written, base.schema)
+        mean = base.agg(F.try_divide(F.sum(F.col("_y") * F.col("_rows")), F.sum("_rows"))).first()[0] or 0.0
         start = math.log(max(mean, 1e-6))
         scored = base.withColumn("_margin", F.lit(start))
         trees: list = []
         best, kept, stale = float("inf"), 0, 0
         for number in range(self.rounds):
             mu = F.exp("_margin")
+            taken = drawn_of(F.col("_rows") - F.col("_valid"), F.col("_row"), SEED + 1 + number, self.subsample)
             step = (
-                scored.where(~F.col("_valid") & (F.rand(SEED + number) < self.subsample))
-                .select("features", ((F.col("_y") - mu) / mu).alias("_step"), mu.alias("_weight"))
+                scored.withColumn("_taken", taken)
+                .where("_taken > 0")
+                .select("features", ((F.col("_y") - mu) / mu).alias("_step"), (mu * F.col("_taken")).alias("_weight"))
                 .persist()
             )
             tree = DecisionTreeRegressor(
@@ -76,14 +101,19 @@ class PoissonBoosting:
                 .drop(f"_tree{number}")
             )
             if (number + 1) % self.check_every == 0 or number + 1 == self.rounds:
-                scored = materialize(scored, "boosting")
-                loss = scored.where("_valid").agg(F.avg(F.exp("_margin") - F.col("_y") * F.col("_margin"))).first()[0]
+                newer = write_table(scored, "boosting")
+                scored = read_table(train.sparkSession, newer, scored.schema)
+                drop_table(train.sparkSession, written)
+                written = newer
+                deviance = F.sum(F.col("_valid") * (F.exp("_margin") - F.col("_y") * F.col("_margin")))
+                loss = scored.agg(F.try_divide(deviance, F.sum("_valid"))).first()[0]
                 if loss is None or loss < best:
                     best, kept, stale = (best if loss is None else loss), len(trees), 0
                 else:
                     stale += 1
                     if stale >= self.patience:
                         break
+        drop_table(train.sparkSession, written)
         return self._assembled(assembler, trees[:kept], start)
 
     def _shrunk(self, c):
@@ -137,12 +167,14 @@ class Boosting:
             validationTol=1e-4,
             seed=SEED,
         )
-        ready = _ready(train, features, assembler).withColumn("_valid", F.rand(SEED) < VALIDATION_SHARE)
+        validation = drawn(row_hash(features), SEED, VALIDATION_SHARE).alias("_valid")
+        ready = _ready(train, features, assembler, validation)
         return PipelineModel([assembler, boosted.fit(ready)])
 
 
-def _ready(train: DataFrame, features: Sequence[str], assembler: VectorAssembler) -> DataFrame:
-    return assembler.transform(align(train, features, (LABEL,))).select("features", F.col(LABEL).cast("double"))
+def _ready(train: DataFrame, features: Sequence[str], assembler: VectorAssembler, *more: Column) -> DataFrame:
+    aligned = assembler.transform(align(train, features, (LABEL,)))
+    return aligned.select("features", F.col(LABEL).cast("double"), *more)
 
 
 # Tree counts are far below those of a single-machine library; raise them with the cluster.
@@ -174,11 +206,11 @@ def tournament(
     ``frame`` has the features, the label and ``is_train``. A candidate that fails is reported and skipped;
     if all fail there is no result.
     """
-    frame = spread(materialize(align(frame, features, (LABEL, "is_train")), "training-frame"))
+    frame = materialize(align(frame, features, (LABEL, "is_train")), "training-frame")
     sizes = {row["is_train"]: row["count"] for row in frame.groupBy("is_train").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
-        raise ValueError("Not enough weekly rows to create a train-test split.")
-    log(f"Training samples: {sizes[True]} | Testing samples: {sizes[False]}")
+        raise ValueError("the split leaves no weeks to train on or none to test on")
+    log(f"{sizes[True]} weeks to train on, {sizes[False]} to test on")
     train, test = frame.where("is_train"), frame.where("NOT is_train")
     fitted: dict[str, PipelineModel] = {}
     rows, failures = [], {}

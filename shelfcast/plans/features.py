@@ -15,6 +15,15 @@ from shelfcast.operators.weekly import weekly_demand
 from shelfcast.session import materialize
 
 GAP_COLUMNS = ("DiscountPct", "Effective_Price", "Bank_Emi_Flag", "Bank_Cashback_Pct", "Additional_Funded_Scheme_Pct")
+# What is known of a week only when it is over.
+SAME_WEEK = (
+    *GAP_COLUMNS,
+    "Discount_Intensity",
+    "True_Demand",
+    "TrueDemand_Ratio",
+    "Bank_Cashback_Intensity",
+    "Additional_Funded_Scheme_Intensity",
+)
 
 
 def add_price_features(panel: DataFrame) -> DataFrame:
@@ -49,11 +58,21 @@ def carry_over_gaps(panel: DataFrame, columns=GAP_COLUMNS) -> DataFrame:
     )
 
 
+def of_previous_week(panel: DataFrame, columns=SAME_WEEK) -> DataFrame:
+    """Give every week the values of the week before it in its series; the first week gets nulls or, outside the gap
+    columns, zeros. The parts of the series features serve this window too."""
+    series = Window.partitionBy(s.PRODUCT, s.STORE, s.REGION).orderBy(s.WEEK_END)
+    lagged = {c: F.lag(c).over(series) for c in columns}
+    return panel.withColumns({c: v if c in GAP_COLUMNS else F.coalesce(v, F.lit(0)) for c, v in lagged.items()})
+
+
 def feature_panel(sales: DataFrame, *, shift: int = 0, on_zero: str = "inf") -> DataFrame:
-    """Weekly demand with series, price and calendar features: two shuffles of aggregated rows."""
-    return weekly_demand(sales).transform(
-        lambda p: add_calendar_features(add_price_features(series_features(p, shift=shift, on_zero=on_zero)))
-    )
+    """Weekly demand with series, price and calendar features: two shuffles of aggregated rows.
+
+    With ``shift=1`` no feature of a week depends on that week's sales.
+    """
+    panel = add_price_features(series_features(weekly_demand(sales), shift=shift, on_zero=on_zero))
+    return add_calendar_features(of_previous_week(panel) if shift else panel)
 
 
 def training_frame(

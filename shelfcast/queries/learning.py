@@ -15,23 +15,12 @@ from shelfcast.queries.registry import query
 from shelfcast.session import materialize
 from shelfcast.sources.star_schema import canonical_sales, holiday_calendar
 
-# Small models: the queries show the work, not the best score.
-SMALL = {
-    "Boosted Poisson": models.PoissonBoosting(rounds=6, max_depth=5, check_every=3),
-    "Random Forest": models.Forest(trees=8, max_depth=7),
-    "Gradient Boosting": models.Boosting(rounds=6, max_depth=5),
-    "Boosted Poisson Shallow": models.PoissonBoosting(
-        rounds=6, max_depth=4, learning_rate=0.3, subsample=0.85, check_every=3
-    ),
-}
-
-
 def _predictions(spark, sf, name):
     """Test rows scored by one candidate."""
     frame, _ = training_frame(canonical_sales(spark, sf), holiday_calendar(spark, sf))
     frame = materialize(frame.select(*s.SERIES, s.WEEK_END, s.QUANTITY, *s.FEATURES), "features")
     split = mark_train(frame)
-    model = SMALL[name].fit(split.where("is_train"), s.FEATURES)
+    model = models.CANDIDATES[name].fit(split.where("is_train"), s.FEATURES)
     return model.transform(split.where("NOT is_train")).select(*s.SERIES, s.WEEK_END, s.QUANTITY, "prediction")
 
 
@@ -56,7 +45,7 @@ def boosted_poisson_shallow(spark, sf):
 
 
 def _train(spark, sf, **options):
-    return train(canonical_sales(spark, sf), holiday_calendar(spark, sf), candidates=SMALL, **options)
+    return train(canonical_sales(spark, sf), holiday_calendar(spark, sf), **options)
 
 
 @query("M7_tournament")
@@ -75,7 +64,7 @@ def tournament_by_date(spark, sf):
 def _trained(spark, sf):
     sales = canonical_sales(spark, sf)
     result, encoders = train(
-        sales, holiday_calendar(spark, sf), candidates={"Boosted Poisson": SMALL["Boosted Poisson"]}
+        sales, holiday_calendar(spark, sf), candidates={"Boosted Poisson": models.CANDIDATES["Boosted Poisson"]}
     )
     options = {"model": result.model, "encoders": encoders, "holidays": holiday_calendar(spark, sf)}
     return canonical_sales(spark, sf, HISTORY), options

@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app_name: str = "shelfcast", **conf) -> SparkSession:
@@ -25,22 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
+def write_table(df: DataFrame, label: str = "table") -> str:
+    """Write a table to the shared folder; returns its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/shelfcast/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``write_table`` that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write a table that several steps read, and read it back.
 
     The written table survives the loss of executors, lets every reader prune columns, and gives the
     planner the real size, so that it broadcasts the table only when it is small enough.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/shelfcast/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a file scan that has fewer parts than there are cores.
-
-    Only a small or unsplittable file is shuffled; a scan with enough parts stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return read_table(df.sparkSession, write_table(df, label), df.schema)

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.functions.calendar import iso_week, week_end
-from shelfcast.session import spread
 
-FACTS = ("lineitem", "orders")
 # Given, so that opening a table starts no job.
 TABLE_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -64,8 +62,7 @@ REPEATED_MONTH = ("1999-12-01", "2000-01-01")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    read = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(read) if name in FACTS else read
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _case(c: Column, pairs: dict[str, str], default: str | None = None) -> Column:

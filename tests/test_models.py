@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import pathlib
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from shelfcast import schema as s
 from shelfcast.operators import models
 from shelfcast.plans.planning import bulk_forecast
 from shelfcast.plans.training import active_data, audit, retrain_and_promote, train
+from shelfcast.session import shared_dir
 from shelfcast.sources import artifacts
 
 SMALL = {
@@ -68,7 +70,7 @@ def test_tournament_without_a_model_fails(make_sales, rows):
 def test_bad_input_fails_before_training(spark, make_sales):
     with pytest.raises(ValueError, match="MRP"):
         train(make_sales([("R", "S", "P", "2024-01-01", 1.0)]).drop("MRP"))
-    with pytest.raises(ValueError, match="No valid rows"):
+    with pytest.raises(ValueError, match="readable bill date"):
         train(make_sales([("R", "S", "P", None, 1.0)]))
 
 
@@ -112,3 +114,23 @@ def test_audit_job(make_sales, rows):
     assert (row.duplicates_removed, row.rows_added) == (7, len(rows) - 100)
     assert report.missing_dates.count() == row.missing_dates
     assert report.sudden_changes.count() == row.anomalies
+
+
+def test_draws_do_not_depend_on_partitions(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 7).cast("double").alias(s.QUANTITY))
+    drawn = [
+        {r.id for r in rows.repartition(n).where(models.drawn(models.row_hash(["id"]), 42, 0.1)).collect()} for n in (2, 8)
+    ]
+    assert drawn[0] == drawn[1] and 140 < len(drawn[0]) < 260
+
+
+def test_boosting_leaves_no_tables(spark):
+    frame = spark.range(60).select((F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 3 + 1).cast("double").alias(s.QUANTITY))
+    folder = files_of(spark)
+    models.PoissonBoosting(rounds=4, max_depth=2, check_every=2).fit(frame, ["x"])
+    assert files_of(spark) == folder
+
+
+def files_of(spark):
+    root = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "shelfcast"
+    return sorted(p.name for p in root.glob("boosting-*"))

@@ -85,3 +85,17 @@ def test_no_join_compares_all_rows(spark, stored):
     ):
         plan = plan_of(df)
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_shifted_features_do_not_see_their_week(make_sales):
+    weeks = ["2024-01-03", "2024-01-10", "2024-01-17", "2024-01-24", "2024-02-07"]
+    rows = [("R", "S", "P", day, 3.0 + i, 50.0, 10.0) for i, day in enumerate(weeks)]
+
+    def features(sales):
+        panel = feature_panel(make_sales(sales), shift=1, on_zero="zero")
+        return {r[s.WEEK_END]: r for r in panel.drop("Quantity", "MRP").collect()}
+
+    before, after = features(rows), features([*rows[:-1], ("R", "S", "P", weeks[-1], 90.0, 80.0, 5.0)])
+    assert len(before) == 6 and before == after
+    changed = features([*rows[:2], ("R", "S", "P", weeks[2], 90.0, 80.0, 5.0), *rows[3:]])
+    assert [before[w] == changed[w] for w in sorted(before)][:4] == [True, True, True, False]

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.operators.cleaning import parse_bill_date
@@ -57,6 +58,28 @@ def test_side_tables_that_exist(spark, tmp_path):
     assert list(found) == ["bank_offers"] and found["bank_offers"].count() == 1
 
 
+def test_side_tables_by_name(spark, tmp_path):
+    (tmp_path / "bank.csv").write_text("Year,Extra,Week,Date,Card_Promotion_Level,Bank_Offer_Intensity\n2024,x,1,2024-01-07,7.0,3.0\n")
+    (tmp_path / "discounts.csv").write_text("Date,Year,Week,Store_Discount_Level\n2024-01-07,2024,1,0.5\n")
+    paths = {"bank_offers": str(tmp_path / "bank.csv"), "custom_discounts": str(tmp_path / "discounts.csv")}
+    found = io.read_side_tables(spark, paths, fmt="csv")
+    assert list(found) == ["bank_offers"]
+    assert found["bank_offers"].first() == (datetime.date(2024, 1, 7), 2024, 1, 3.0, 7.0)
+    swapped = spark.sql("SELECT '2.5' AS Card_Promotion_Level, 1L AS Week, 2024 AS Year, DATE'2024-01-07' AS Date, 4 AS Bank_Offer_Intensity")
+    swapped.write.parquet(str(tmp_path / "bank"))
+    swapped.drop("Week").write.parquet(str(tmp_path / "short"))
+    found = io.read_side_tables(spark, {"bank_offers": str(tmp_path / "bank")})
+    assert found["bank_offers"].first() == (datetime.date(2024, 1, 7), 2024, 1, 4.0, 2.5)
+    assert not io.read_side_tables(spark, {"bank_offers": str(tmp_path / "short")})
+
+
+def test_parquet_types_are_cast(spark, make_sales, tmp_path):
+    path = str(tmp_path / "typed")
+    make_sales(ROWS).withColumn("Quantity", F.lit("3").cast("string")).write.parquet(path)
+    back = io.read_sales(spark, path)
+    assert back.schema == s.SALES_SCHEMA and {r.Quantity for r in back.collect()} == {3.0}
+
+
 def test_snapshot_and_reports(spark, make_sales, tmp_path):
     when = datetime.datetime(2024, 5, 6, 7, 8, 9)
     path = io.write_snapshot(make_sales(ROWS), str(tmp_path), when=when)
