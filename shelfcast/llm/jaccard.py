@@ -117,7 +117,7 @@ def _profiles(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         ids, cls, size, odd, short = batch.column(0), [], [], [], []
-        for text in map(pa.Scalar.as_py, batch.column(1)):
+        for text in (value.as_py() for value in batch.column(1)):
             tokens = shingles(text, hashes)
             slots, n = np.unique(tokens & np.uint64(COUNTERS - 1), return_counts=True)
             counters[slots.astype(np.int64)] += n.astype(np.uint32)
@@ -209,7 +209,7 @@ def _signature_rows(frequent: np.ndarray):
     def rows(batches):
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            for text in map(pa.Scalar.as_py, batch.column(0)):
+            for text in (value.as_py() for value in batch.column(0)):
                 tokens = shingles(text, hashes)
                 cls = set_class(tokens)
                 if cls in seen:
