@@ -273,3 +273,32 @@ def test_licences(spark, texts):
     docs = make(spark, texts + [(1000 + i, t) for i, t in enumerate(notices)])
     got = {r.doc_id: r.families for r in licences.find(docs, licences.fit(spark, docs)).collect()}
     assert [got[1000 + i] for i in range(4)] == ["unknown", "apache-2.0", "mit", None] and got[0] is None
+
+
+MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in '
+    "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+    "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+
+
+def test_licences_in_prose_and_in_full(spark, texts):
+    prose = "This collection of recipes was gathered by volunteers between 2012 and 2015"
+    notices = {
+        MIT_GRANT: "mit",
+        f"{prose}. Released under the MIT License.": "mit",
+        f"{prose} and is released under the MIT License by all of them who gave their time": "mit",
+        "Released under GPL v3": "gpl",
+        "Distributed under MPL 2.0": "mpl-2.0",
+        "Released under MIT": "mit",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.": "lgpl",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "bsd",
+        "She asked for permission to use the kitchen without restriction, and a license to fish.": "unknown",
+        "The general public may license the work under terms that both sides accept.": "unknown",
+        "Licensed under CC BY-ND 4.0.": "unknown",
+        f"{prose}.": None,
+    }
+    docs = make(spark, texts + [(1000 + i, t) for i, t in enumerate(notices)])
+    got = {r.doc_id: r.families for r in licences.find(docs, licences.fit(spark, docs)).collect()}
+    assert {t: got[1000 + i] for i, t in enumerate(notices)} == notices
