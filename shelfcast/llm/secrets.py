@@ -4,8 +4,8 @@ Column expressions only. The patterns give the base spans. Runs of at least ``SH
 none of them are candidates. A candidate's encoding is the smallest alphabet that holds it. Three tests ask whether its
 characters are even over the alphabet (chi-squared), change sides of the alphabet's middle as often as chance has it
 (runs), and ignore their predecessor (serial correlation). A candidate that no test rejects gets a p-value: the chance
-that natural text of its length is as even as it is, where natural text is as uneven as the letters-only runs of
-the whole corpus are. Discoveries are chosen per class of length by Benjamini and Hochberg's rule, from counts
+that natural text of its length is as even as it is, where natural text is as uneven as the letters of the corpus's
+ordinary words are: the median over the documents, so that each counts once, whatever it holds. Discoveries are chosen per class of length by Benjamini and Hochberg's rule, from counts
 of p-values in bins, so that short strings, which the tests tell apart badly, need not pay for long ones nor the reverse.
 """
 
@@ -34,9 +34,10 @@ ENCODINGS = (
     ("base62", DIGITS + UPPER + LOWER), ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"),
     ("mixed", UPPER + LOWER + DIGITS + "+/-_"),
 )
-#: Level of each test; false-discovery rate; sum of squared letter shares of natural text if the corpus shows too few.
-LEVEL, RATE, NATURAL, LEAST_WORDS = 0.001, 0.01, 0.065, 30
-BINS, PER_DECADE = 600, 20
+#: Level of each test; false-discovery rate; sum of squared letter shares of natural text, which counts as many pairs of
+#: letters as 100 letters have in every document.
+LEVEL, RATE, NATURAL, PRIOR = 0.001, 0.01, 0.065, 100 * 99
+BINS, PER_DECADE, SHARES = 600, 20, 10_000
 MASK = "[secret]"
 
 
@@ -55,9 +56,19 @@ def _places(text: str, pattern: str) -> str:
 _EMPTY = "CAST(array() AS array<struct<kind:string,rank:int,start:int,stop:int>>)"
 
 
+def _unevenness(text: str) -> str:
+    """SQL: sum of squared letter shares, in steps of 1 / SHARES, of the letters outside candidates; null under two letters."""
+    counts = f"""transform(array(regexp_replace(lower({text}), '(?i){CANDIDATE}', ' ')),
+        t -> transform(split('{','.join(LOWER)}', ','), z -> CAST(octet_length(t) - octet_length(replace(t, z, '')) AS DOUBLE)))"""
+    sums = f"transform({counts}, c -> named_struct('n', aggregate(c, 0D, (a, x) -> a + x), 'q', aggregate(c, 0D, (a, x) -> a + x * x)))"
+    share = f"(x.q - x.n + {NATURAL}D * {PRIOR}) / (x.n * (x.n - 1) + {PRIOR})"
+    return f"element_at(transform({sums}, x -> CASE WHEN x.n >= 2 THEN CAST(round({share} * {SHARES}) AS INT) END), 1)"
+
+
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _base (spans of the patterns) and _candidates (start, stop, and what the tests need)."""
+    """``docs`` with _base (spans of the patterns), _candidates (start, stop, and what the tests need) and _uneven."""
     df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    df = df.withColumn("_uneven", F.expr(_unevenness("_text")))
     spans = []
     for rank, (kind, pattern, least) in enumerate(PATTERNS):
         sought = LONG.get(kind, pattern)
@@ -139,11 +150,10 @@ def thresholds(spanned: DataFrame) -> tuple[float, dict[int, int]]:
     """Unevenness of natural text, and per class of length the lowest accepted bin.
 
     Counts over the candidates of all documents, words and numbers aside; the driver reads the counts per
-    (class, bin), at most 40 x 601 rows.
+    (class, bin), at most 40 x 601 rows, and of documents per step of unevenness, at most SHARES + 1 rows.
     """
+    natural = _median({r["_uneven"]: r["count"] for r in spanned.where("_uneven IS NOT NULL").groupBy("_uneven").count().collect()})
     each = spanned.select(F.explode("_candidates").alias("c"))
-    words = each.where("c.e = 'word'").agg(F.count("*"), F.sum(F.expr("c.q - c.n")), F.sum(F.expr("CAST(c.n AS DOUBLE) * (c.n - 1)"))).first()
-    natural = float(words[1] / words[2]) if words[0] >= LEAST_WORDS else NATURAL
     totals = each.where("c.e NOT IN ('word', 'number')").groupBy(F.expr("CAST(floor(log2(c.n)) AS INT)").alias("len")).count()
     counts: dict[int, dict[int, int]] = {}
     for r in spanned.select(F.explode(_tested(natural)).alias("t")).groupBy("t.len", "t.bin").count().collect():
@@ -151,6 +161,16 @@ def thresholds(spanned: DataFrame) -> tuple[float, dict[int, int]]:
     return natural, _accepted(counts, {r["len"]: r["count"] for r in totals.collect()})
 
 
+def _median(steps: dict[int, int]) -> float:
+    """Lower median of the documents' unevenness; NATURAL without any letters."""
+    seen, half = 0, sum(steps.values()) / 2
+    for step in sorted(steps):
+        seen += steps[step]
+        if seen >= half:
+            return step / SHARES
+    return NATURAL
+
+
 def _accepted(counts: dict[int, dict[int, int]], totals: dict[int, int]) -> dict[int, int]:
     """Benjamini and Hochberg's rule on bins: the lowest bin whose largest p-value is within RATE * rank / tests."""
     out = {}
@@ -198,7 +218,7 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """
     columns = [c for c in docs.columns if not c.startswith("_")]
     kept = docs.select(*[F.col(f"`{c}`") for c in columns])
-    chosen = thresholds(materialize(with_spans(kept.select(text_col), text_col).select("_candidates").where(F.size("_candidates") > 0), "secret-candidates"))
+    chosen = thresholds(materialize(with_spans(kept.select(text_col), text_col).select("_candidates", "_uneven"), "secret-candidates"))
     found = with_found(with_spans(kept, text_col), chosen)
     masked = F.expr(
         f"""aggregate(_spans, named_struct('at', 0, 'out', CAST(array() AS array<string>)),

@@ -302,3 +302,19 @@ def test_licences_in_prose_and_in_full(spark, texts):
     docs = make(spark, texts + [(1000 + i, t) for i, t in enumerate(notices)])
     got = {r.doc_id: r.families for r in licences.find(docs, licences.fit(spark, docs)).collect()}
     assert {t: got[1000 + i] for i, t in enumerate(notices)} == notices
+
+
+def test_one_document_does_not_set_what_natural_text_is(spark, texts):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    token = lambda n: "".join(rng.choice(letters + letters.upper() + "0123456789") for _ in range(n))
+    prose = "the river ran past the old mill and the people of the town went there to rest in the evening "
+    rows = [(i, prose + "internationalizationofthings") for i in range(40)] + [(100 + i, f"{prose} {token(26)} {prose}") for i in range(60)]
+    giant = (200, "".join(rng.sample(letters, 26) * 800)[:20_000])
+    few = {r.doc_id: r.spans for r in secrets.find(make(spark, rows)).collect()}
+    more = {r.doc_id: r.spans for r in secrets.find(make(spark, [*rows, giant])).collect()}
+    assert sum("random" in few[100 + i] for i in range(60)) > 30
+    assert all(more[i] == spans for i, spans in few.items())
+    median = lambda docs: secrets.thresholds(secrets.with_spans(make(spark, docs)))[0]
+    assert median(rows) == median([*rows, giant]) == median(rows[40:50])
+    assert median([(1, "123"), (2, None)]) == secrets.NATURAL
