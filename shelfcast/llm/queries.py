@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, jaccard, languages, licences, mixing, neardup, pieces, quality, secrets, sharding
+from shelfcast.llm import fingerprints, jaccard, languages, licences, mixing, neardup, pieces, quality, secrets, sharding, whitening
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
@@ -96,3 +96,8 @@ def op2_neardup(spark, sf_dir):
 def op7_licences(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return licences.find(docs, licences.fit(spark, docs))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
