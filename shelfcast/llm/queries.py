@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import fingerprints, jaccard, languages, licences, mixing, neardup, pieces, quality, rules, secrets, sharding, whitening
+from shelfcast.llm import fingerprints, jaccard, languages, licences, mixing, neardup, pieces, quality, rules, secrets, sharding, trie, whitening
 from shelfcast.llm.common import remainder, word_count
 from shelfcast.session import materialize
 
@@ -107,3 +107,8 @@ def op11_whitening(spark, sf_dir):
 def op12_rules(spark, sf_dir):
     """Counts are written once, so that the texts are read once."""
     return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op13_trie", trie.ORACLE_SQL)
+def op13_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
