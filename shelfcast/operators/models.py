@@ -1,195 +1,123 @@
 """Candidate regressors and their comparison."""
 
-import math
+import concurrent.futures
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
+from shelfcast.operators import trees
 from shelfcast.operators.forecasting import align
 from shelfcast.operators.metrics import regression_metrics
-from shelfcast.session import drop_table, materialize, read_table, write_table
+from shelfcast.operators.trees import Ensemble, Growth
+from shelfcast.session import drop_table, read_table, write_table
 
 LABEL = s.QUANTITY
 SEED = 42
 # Share of the training rows that decides when boosting stops.
 VALIDATION_SHARE = 0.1
-# Steps of a draw.
-DRAWS = 1_000_000
 
 
-def row_hash(features: Sequence[str]) -> Column:
-    """What draws are made by: the row's own values, so that they depend on no partition, order or number of cores."""
-    return F.xxhash64(*features, LABEL)
-
-
-def drawn(row: Column, seed: int, share: float) -> Column:
-    """Whether a row is in a random share of all rows; equal rows are drawn together."""
-    return _uniform(row, seed) < share
-
-
-def drawn_of(rows: Column, row: Column, seed: int, share: float) -> Column:
-    """How many of so many equal rows are in a random share of all rows."""
-    return F.floor(rows * F.lit(share) + _uniform(row, seed))
-
+@dataclass(frozen=True)
+class PoissonBoosting:
+    """Boosted trees for counts with a log link; the defaults are the full job's."""
+
+    rounds: int = 1500
+    learning_rate: float = 0.01
+    max_depth: int = 8
+    rows: float = 0.8
+    columns: float = 0.8
+    min_weight: float = 1.0
+    l1: float = 0.1
+    l2: float = 1.0
+    least_gain: float = 0.1
+    max_step: float = 0.7
+    patience: int = 50
+    bins: int = 64
 
-def _uniform(row: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(DRAWS)) / F.lit(float(DRAWS))
+    def fit(self, train: DataFrame, features: Sequence[str]) -> Ensemble:
+        growth = Growth(
+            max_depth=self.max_depth, rows=self.rows, columns=self.columns, min_weight=self.min_weight,
+            l1=self.l1, l2=self.l2, least_gain=self.least_gain, max_step=self.max_step,
+        )
+        return trees.boost(
+            train, features, LABEL, trees.PoissonLoss(self.max_step), growth, rounds=self.rounds, learning_rate=self.learning_rate,
+            patience=self.patience, valid_share=VALIDATION_SHARE, bins=self.bins, seed=SEED,
+        )
 
 
 @dataclass(frozen=True)
-class PoissonBoosting:
-    """Boosted trees for counts with a log link.
+class Forest:
+    """Trees on bootstrap draws, a root of the features for each node; notes have the out-of-bag score.
 
-    Each round fits a weighted regression tree to the Newton step of the Poisson loss: target (y - mu) / mu,
-    weight mu. Steps are clipped to ``max_step``. Equal rows are one row with a count. Boosting stops when the deviance of the validation rows
-    has not improved for ``patience`` checks.
+    A tree has at most ``max_leaves`` leaves, those of the best splits, so that its size does not grow with the rows.
     """
 
-    rounds: int = 20
-    learning_rate: float = 0.2
-    max_depth: int = 6
-    subsample: float = 0.8
-    min_instances: int = 1
-    max_step: float = 0.7
-    check_every: int = 5
-    patience: int = 2
-
-    def fit(self, train: DataFrame, features: Sequence[str]) -> PipelineModel:
-        assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-        counted = align(train, features, (LABEL,)).groupBy(*features, LABEL).agg(F.count("*").alias("_rows"))
-        base = (
-            assembler.transform(counted)
-            .select("features", F.col(LABEL).cast("double").alias("_y"), row_hash(features).alias("_row"), "_rows")
-            .withColumn("_valid", drawn_of(F.col("_rows"), F.col("_row"), SEED, VALIDATION_SHARE))
-        )
-        written = write_table(base, "boosting")
-        base = read_table(train.sparkSession, written, base.schema)
-        mean = base.agg(F.try_divide(F.sum(F.col("_y") * F.col("_rows")), F.sum("_rows"))).first()[0] or 0.0
-        start = math.log(max(mean, 1e-6))
-        scored = base.withColumn("_margin", F.lit(start))
-        trees: list = []
-        best, kept, stale = float("inf"), 0, 0
-        for number in range(self.rounds):
-            mu = F.exp("_margin")
-            taken = drawn_of(F.col("_rows") - F.col("_valid"), F.col("_row"), SEED + 1 + number, self.subsample)
-            step = (
-                scored.withColumn("_taken", taken)
-                .where("_taken > 0")
-                .select("features", ((F.col("_y") - mu) / mu).alias("_step"), (mu * F.col("_taken")).alias("_weight"))
-                .persist()
-            )
-            tree = DecisionTreeRegressor(
-                featuresCol="features",
-                labelCol="_step",
-                weightCol="_weight",
-                predictionCol=f"_tree{number}",
-                maxDepth=self.max_depth,
-                minInstancesPerNode=self.min_instances,
-                seed=SEED + number,
-            ).fit(step)
-            step.unpersist()
-            trees.append(tree)
-            scored = (
-                tree.transform(scored)
-                .withColumn("_margin", F.col("_margin") + self._shrunk(F.col(f"_tree{number}")))
-                .drop(f"_tree{number}")
-            )
-            if (number + 1) % self.check_every == 0 or number + 1 == self.rounds:
-                newer = write_table(scored, "boosting")
-                scored = read_table(train.sparkSession, newer, scored.schema)
-                drop_table(train.sparkSession, written)
-                written = newer
-                deviance = F.sum(F.col("_valid") * (F.exp("_margin") - F.col("_y") * F.col("_margin")))
-                loss = scored.agg(F.try_divide(deviance, F.sum("_valid"))).first()[0]
-                if loss is None or loss < best:
-                    best, kept, stale = (best if loss is None else loss), len(trees), 0
-                else:
-                    stale += 1
-                    if stale >= self.patience:
-                        break
-        drop_table(train.sparkSession, written)
-        return self._assembled(assembler, trees[:kept], start)
-
-    def _shrunk(self, c):
-        clipped = F.greatest(F.lit(-self.max_step), F.least(F.lit(self.max_step), c))
-        return F.lit(self.learning_rate) * clipped
-
-    def _assembled(self, assembler, trees, start: float) -> PipelineModel:
-        columns = [t.getPredictionCol() for t in trees]
-        clipped = [f"greatest(-{self.max_step}D, least({self.max_step}D, {c}))" for c in columns]
-        total = f"{start!r}D + {self.learning_rate}D * ({' + '.join(clipped) or '0D'})"
-        dropped = ", ".join(["features", *columns])
-        link = SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}), exp({total}) AS prediction FROM __THIS__")
-        return PipelineModel([assembler, *trees, link])
+    trees: int = 500
+    max_depth: int = 20
+    max_leaves: int = 512
+    min_rows: int = 2
+    min_split_rows: int = 5
+    bins: int = 64
+
+    def fit(self, train: DataFrame, features: Sequence[str]) -> Ensemble:
+        growth = Growth(
+            max_depth=self.max_depth, max_leaves=self.max_leaves, min_rows=self.min_rows, min_split_rows=self.min_split_rows,
+            bootstrap=True, node_columns=max(1, int(len(features) ** 0.5)),
+        )
+        return trees.forest(train, features, LABEL, growth, trees=self.trees, bins=self.bins, seed=SEED)
 
 
 @dataclass(frozen=True)
-class Forest:
-    trees: int = 20
+class Boosting:
+    """Boosted trees for the squared error, with a bound of leaves; stops after ``patience`` trees without gain."""
+
+    rounds: int = 1000
+    learning_rate: float = 0.05
     max_depth: int = 10
-    min_instances: int = 2
+    max_leaves: int = 63
+    min_rows: int = 20
+    l2: float = 0.1
+    patience: int = 10
+    tolerance: float = 1e-7
+    bins: int = 64
 
-    def fit(self, train: DataFrame, features: Sequence[str]) -> PipelineModel:
-        assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-        forest = RandomForestRegressor(
-            labelCol=LABEL,
-            numTrees=self.trees,
-            maxDepth=self.max_depth,
-            minInstancesPerNode=self.min_instances,
-            featureSubsetStrategy="sqrt",
-            seed=SEED,
-        )
-        return PipelineModel([assembler, forest.fit(_ready(train, features, assembler))])
+    def fit(self, train: DataFrame, features: Sequence[str]) -> Ensemble:
+        growth = Growth(max_depth=self.max_depth, max_leaves=self.max_leaves, min_rows=self.min_rows, l2=self.l2)
+        return trees.boost(
+            train, features, LABEL, trees.SquaredLoss(), growth, rounds=self.rounds, learning_rate=self.learning_rate,
+            patience=self.patience, valid_share=VALIDATION_SHARE, tolerance=self.tolerance, bins=self.bins, seed=SEED,
+        )
 
 
-@dataclass(frozen=True)
-class Boosting:
-    rounds: int = 20
-    learning_rate: float = 0.1
-    max_depth: int = 6
-    min_instances: int = 20
-
-    def fit(self, train: DataFrame, features: Sequence[str]) -> PipelineModel:
-        assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-        boosted = GBTRegressor(
-            labelCol=LABEL,
-            maxIter=self.rounds,
-            stepSize=self.learning_rate,
-            maxDepth=self.max_depth,
-            minInstancesPerNode=self.min_instances,
-            validationIndicatorCol="_valid",
-            validationTol=1e-4,
-            seed=SEED,
-        )
-        validation = drawn(row_hash(features), SEED, VALIDATION_SHARE).alias("_valid")
-        ready = _ready(train, features, assembler, validation)
-        return PipelineModel([assembler, boosted.fit(ready)])
-
-
-def _ready(train: DataFrame, features: Sequence[str], assembler: VectorAssembler, *more: Column) -> DataFrame:
-    aligned = assembler.transform(align(train, features, (LABEL,)))
-    return aligned.select("features", F.col(LABEL).cast("double"), *more)
-
-
-# Tree counts are far below those of a single-machine library; raise them with the cluster.
 CANDIDATES: dict[str, object] = {
     "Boosted Poisson": PoissonBoosting(),
     "Random Forest": Forest(),
     "Gradient Boosting": Boosting(),
-    "Boosted Poisson Shallow": PoissonBoosting(learning_rate=0.3, max_depth=5, subsample=0.85),
+    "Boosted Poisson Shallow": PoissonBoosting(
+        rounds=1200, learning_rate=0.02, max_depth=7, rows=0.85, columns=0.85, l1=0.0, least_gain=0.0
+    ),
+}
+
+#: All four candidates with fewer trees, larger steps and coarser bins.
+QUICK: dict[str, object] = {
+    "Boosted Poisson": PoissonBoosting(rounds=12, learning_rate=0.3, max_depth=6, patience=4, bins=32),
+    "Random Forest": Forest(trees=12, max_depth=12, max_leaves=128, bins=32),
+    "Gradient Boosting": Boosting(rounds=12, learning_rate=0.3, max_depth=7, max_leaves=31, patience=4, bins=32),
+    "Boosted Poisson Shallow": PoissonBoosting(
+        rounds=12, learning_rate=0.4, max_depth=5, rows=0.85, columns=0.85, l1=0.0, least_gain=0.0, patience=4, bins=32
+    ),
 }
 
 
 @dataclass
 class Tournament:
     winner: str
-    model: PipelineModel
+    model: object
     metrics: DataFrame  # one row per candidate that could be fitted
     failures: dict[str, str]
 
@@ -200,31 +128,61 @@ def tournament(
     candidates: Mapping[str, object] | None = None,
     features: Sequence[str] = tuple(s.FEATURES),
     log: Callable[[str], None] = lambda message: None,
+    side_by_side: int = 4,
+    time_limit: float | None = None,
 ) -> Tournament:
     """Fit every candidate on the training rows and keep the one with the lowest MAE on the others.
 
-    ``frame`` has the features, the label and ``is_train``. A candidate that fails is reported and skipped;
-    if all fail there is no result.
+    ``frame`` has the features, the label and ``is_train``. Candidates are fitted ``side_by_side`` at once, each in a
+    scheduler pool of its own name (shares are fair if the session's ``spark.scheduler.mode`` is FAIR). One that fails,
+    or takes more than ``time_limit`` seconds, is reported and its jobs are cancelled; the others go on. If all fail
+    there is no result. The winner does not depend on which candidate ends first.
     """
-    frame = materialize(align(frame, features, (LABEL, "is_train")), "training-frame")
+    spark = frame.sparkSession
+    aligned = align(frame, features, (LABEL, "is_train"))
+    path = write_table(aligned, "training-frame")
+    frame = read_table(spark, path, aligned.schema)
     sizes = {row["is_train"]: row["count"] for row in frame.groupBy("is_train").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         raise ValueError("the split leaves no weeks to train on or none to test on")
     log(f"{sizes[True]} weeks to train on, {sizes[False]} to test on")
     train, test = frame.where("is_train"), frame.where("NOT is_train")
-    fitted: dict[str, PipelineModel] = {}
-    rows, failures = [], {}
-    for position, (name, candidate) in enumerate((candidates or CANDIDATES).items()):
+    named = list((candidates or CANDIDATES).items())
+
+    def run(name: str, candidate):
+        tag = f"candidate-{threading.get_ident()}"
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        spark.sparkContext.addJobTag(tag)
+        late = threading.Timer(time_limit, spark.sparkContext.cancelJobsWithTag, [tag]) if time_limit else None
         try:
+            if late:
+                late.start()
             model = candidate.fit(train, list(features))
-            score = regression_metrics(model.transform(test).select(LABEL, "prediction")).first().asDict()
-        except Exception as error:  # one failing candidate must not stop the others
-            failures[name] = str(error).splitlines()[0]
-            log(f"Model {name} failed: {failures[name]}")
-            continue
-        fitted[name] = model
-        rows.append({"position": position, "model": name} | score)
-        log(f"{name}: accuracy {score['accuracy']:.2f} % | MAE {score['mae']:.4f}")
+            return model, regression_metrics(model.transform(test).select(LABEL, "prediction")).first().asDict()
+        except Exception as error:
+            if late and late.finished.is_set():
+                raise TimeoutError(f"took more than {time_limit} seconds") from error
+            raise
+        finally:
+            if late:
+                late.cancel()
+            spark.sparkContext.removeJobTag(tag)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    fitted: dict[str, object] = {}
+    rows, failures = [], {}
+    with concurrent.futures.ThreadPoolExecutor(max(1, side_by_side)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(run), name, candidate) for name, candidate in named]
+        for position, ((name, _), done) in enumerate(zip(named, waiting)):
+            try:
+                fitted[name], score = done.result()
+            except Exception as error:  # one failing candidate must not stop the others
+                failures[name] = (str(error).splitlines() or [type(error).__name__])[0]
+                log(f"Model {name} failed: {failures[name]}")
+                continue
+            rows.append({"position": position, "model": name} | score)
+            log(f"{name}: accuracy {score['accuracy']:.2f} % | MAE {score['mae']:.4f}")
+    drop_table(spark, path)
     if not fitted:
         raise RuntimeError(f"All candidate models failed: {failures}")
     # At most one row per candidate.

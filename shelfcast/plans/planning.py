@@ -2,7 +2,6 @@
 
 import datetime
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ def forecast(
     *,
     start: datetime.date,
     weeks: int,
-    model: PipelineModel | None = None,
+    model=None,
     encoders: Encoders | None = None,
     holidays: DataFrame | None = None,
     prices: DataFrame | None = None,

@@ -44,16 +44,17 @@ def train(
     fraction: float = 0.8,
     test_from: datetime.date | None = None,
     log: Callable[[str], None] = lambda message: None,
+    **options,
 ) -> tuple[Tournament, Encoders]:
     """Build the features, split them and run the tournament.
 
-    The test rows are the last by position, as a share of all, or all weeks from ``test_from``.
+    The test rows are the last by position, as a share of all, or all weeks from ``test_from``. Other options are the tournament's.
     """
     cleaned = require_rows(parse_bill_date(s.require_columns(sales)))
     frame, encoders = training_frame(cleaned, holidays, tables, shift=shift)
     frame = materialize(align(frame, keep=(*s.SERIES, s.WEEK_END, s.QUANTITY)), "features")
     split = mark_train(frame, fraction) if test_from is None else mark_train_by_date(frame, test_from)
-    return tournament(split, candidates=candidates, log=log), encoders
+    return tournament(split, candidates=candidates, log=log, **options), encoders
 
 
 def retrain_and_promote(

@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.operators.encoding import Encoders
+from shelfcast.operators.trees import Ensemble
 from shelfcast.sources.files import exists, read_pointer, write_pointer
 
 # The combination codes may be absent in older versions.
@@ -16,7 +17,7 @@ OPTIONAL_WHEN_LOADING = ("product_store", "month_product")
 @dataclass
 class Artifacts:
     version: str
-    model: PipelineModel
+    model: Ensemble | PipelineModel
     encoders: Encoders
     metrics: DataFrame
 
@@ -25,10 +26,13 @@ def version_dir(root: str, version: str) -> str:
     return f"{root.rstrip('/')}/versions/{version}"
 
 
-def stage(root: str, version: str, model: PipelineModel, encoders: Encoders, metrics: DataFrame) -> str:
-    """Write all parts of a version; nothing becomes active."""
+def stage(root: str, version: str, model: Ensemble | PipelineModel, encoders: Encoders, metrics: DataFrame) -> str:
+    """Write all parts of a version; nothing becomes active. A model is an ensemble, or a pipeline of the user's own candidates."""
     path = version_dir(root, version)
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, Ensemble):
+        model.save(metrics.sparkSession, f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     for name, table in encoders.tables().items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
@@ -37,9 +41,12 @@ def stage(root: str, version: str, model: PipelineModel, encoders: Encoders, met
 
 def missing_artifacts(spark: SparkSession, root: str, version: str) -> list[str]:
     path = version_dir(root, version)
-    done = {"model": "model/metadata/_SUCCESS"}
+    # An ensemble's head is written after its nodes, a pipeline's metadata before its stages.
+    done = {"model": ("model/ensemble/_SUCCESS", "model/metadata/_SUCCESS")}
     return [
-        name for name in REQUIRED_ARTIFACTS if not exists(spark, f"{path}/{done.get(name, name + '/_SUCCESS')}")
+        name
+        for name in REQUIRED_ARTIFACTS
+        if not any(exists(spark, f"{path}/{file}") for file in done.get(name, (f"{name}/_SUCCESS",)))
     ]
 
 
@@ -66,6 +73,8 @@ def load(spark: SparkSession, root: str, version: str | None = None) -> Artifact
         for name in ("region", "store", "product", "product_store", "month_product")
         if name not in OPTIONAL_WHEN_LOADING or exists(spark, f"{path}/{name}/_SUCCESS")
     }
+    of_trees = exists(spark, f"{path}/model/ensemble/_SUCCESS")
+    model = Ensemble.load(spark, f"{path}/model") if of_trees else PipelineModel.load(f"{path}/model")
     return Artifacts(
-        version, PipelineModel.load(f"{path}/model"), Encoders(**tables), spark.read.parquet(f"{path}/metrics")
+        version, model, Encoders(**tables), spark.read.parquet(f"{path}/metrics")
     )

@@ -4,6 +4,7 @@ import datetime
 import math
 import pathlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from shelfcast.session import shared_dir
 from shelfcast.sources import artifacts
 
 SMALL = {
-    "Boosted Poisson": models.PoissonBoosting(rounds=3, max_depth=3, check_every=2),
-    "Random Forest": models.Forest(trees=2, max_depth=3),
+    "Boosted Poisson": models.PoissonBoosting(rounds=3, learning_rate=0.3, max_depth=3, bins=16),
+    "Random Forest": models.Forest(trees=2, max_depth=3, bins=16),
 }
 
 
@@ -47,7 +48,7 @@ def test_boosted_poisson_learns_a_rate(spark):
     rng = random.Random(1)
     data = [(float(x), 2 if x < 5 else 20) for x in (rng.randint(0, 9) for _ in range(600))]
     frame = spark.createDataFrame(data, "x double, Quantity long")
-    model = models.PoissonBoosting(rounds=40, learning_rate=0.3, max_depth=2, check_every=10).fit(frame, ["x"])
+    model = models.PoissonBoosting(rounds=40, learning_rate=0.3, max_depth=2).fit(frame, ["x"])
     got = {r.x: r.prediction for r in model.transform(spark.createDataFrame([(1.0,), (8.0,)], "x double")).collect()}
     assert got[1.0] == pytest.approx(2, rel=0.1) and got[8.0] == pytest.approx(20, rel=0.1)
 
@@ -116,18 +117,28 @@ def test_audit_job(make_sales, rows):
     assert report.sudden_changes.count() == row.anomalies
 
 
-def test_draws_do_not_depend_on_partitions(spark):
-    rows = spark.range(2000).select("id", (F.col("id") % 7).cast("double").alias(s.QUANTITY))
-    drawn = [
-        {r.id for r in rows.repartition(n).where(models.drawn(models.row_hash(["id"]), 42, 0.1)).collect()} for n in (2, 8)
-    ]
-    assert drawn[0] == drawn[1] and 140 < len(drawn[0]) < 260
+def test_tournament_side_by_side_is_that_one_by_one(spark, make_sales, rows, calendar):
+    """Same scores and winner; a candidate that takes too long is cancelled and leaves the others alone."""
+
+    class Slow:
+        def fit(self, train, features):
+            train.sparkSession.range(4).repartition(4).mapInArrow(lambda b: time.sleep(60) or b, "id long").count()
+
+    scores = []
+    for side_by_side in (4, 1):
+        result, _ = train(make_sales(rows), calendar, candidates=SMALL | {"Broken": Broken()}, side_by_side=side_by_side)
+        scores.append((result.winner, sorted(map(tuple, result.metrics.collect()))))
+    assert scores[0] == scores[1]
+    started = time.time()
+    result, _ = train(make_sales(rows), calendar, candidates={"Slow": Slow()} | SMALL, time_limit=25.0)
+    assert result.failures == {"Slow": "took more than 25.0 seconds"} and time.time() - started < 55
+    assert set(r.model for r in result.metrics.collect()) == set(SMALL)
 
 
 def test_boosting_leaves_no_tables(spark):
     frame = spark.range(60).select((F.col("id") % 3).cast("double").alias("x"), (F.col("id") % 3 + 1).cast("double").alias(s.QUANTITY))
     folder = files_of(spark)
-    models.PoissonBoosting(rounds=4, max_depth=2, check_every=2).fit(frame, ["x"])
+    models.PoissonBoosting(rounds=4, max_depth=2).fit(frame, ["x"])
     assert files_of(spark) == folder
 
 
