@@ -333,24 +333,39 @@ def composite_keys(spark, sf):
     )
 
 
+_PARTS = {c: f'{c.lower()}(week_end)' for c in ("Week", "Month", "Year", "Quarter")} | {
+    "Is_Month_Start": "CASE WHEN day(week_end) = 1 THEN 1 ELSE 0 END",
+    "Is_Month_End": "CASE WHEN week_end = last_day(week_end) THEN 1 ELSE 0 END",
+}
+_WAVES = {
+    f"{p}_{n}": f"{f}(2 * pi() * {p.lower()}(week_end) / {period}.0::DOUBLE)"
+    for p, period in (("Week", 52), ("Month", 12)) for n, f in (("Sin", "sin"), ("Cos", "cos"))
+}
+_MEANS = ["True_Demand", "TrueDemand_Ratio", "Bank_Emi_Flag", "Bank_Cashback_Pct", "Additional_Funded_Scheme_Pct", "DiscountPct", "Effective_Price"]
+_BANDS = ["Bank_Cashback_Intensity", "Additional_Funded_Scheme_Intensity", "Discount_Intensity"]
+_ALIGNED = (
+    [f'CAST(sum({v}) AS BIGINT) AS "{c}"' for c, v in _PARTS.items()]
+    + [f'sum({v}) AS "{c}"' for c, v in _WAVES.items()]
+    + [f"sum({c}) AS {c}" for c in _MEANS]
+    + [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _BANDS]
+    + [f'0.0::DOUBLE AS "{c}"' for c in s.FEATURES if c not in {*_PARTS, *_WAVES, *_MEANS, *_BANDS}]
+)
+
+
 @query(
     "P18_align_features",
     rounded(
         "panel",
-        """
-SELECT StoreName, sum("Week")::BIGINT AS "Week", sum("Month")::BIGINT AS "Month", sum(True_Demand) AS True_Demand,
-       sum(Effective_Price) AS Effective_Price, 0.0::DOUBLE AS EWMA_4, count(*) AS "rows"
-FROM panel GROUP BY StoreName
-""",
-        "True_Demand Effective_Price",
+        f'SELECT StoreName, {", ".join(_ALIGNED)}, count(*) AS "rows" FROM panel GROUP BY StoreName',
+        " ".join([*_WAVES, *_MEANS]),
         3,
     ),
     digits=3,
 )
 def align_features(spark, sf):
+    """All the model's columns, summed per store; those that the panel lacks are 0."""
     frame = align(add_calendar_features(_panel(spark, sf)), s.FEATURES, (s.STORE,))
-    names = ("Week", "Month", "True_Demand", "Effective_Price", "EWMA_4")
-    return frame.groupBy(s.STORE).agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("rows"))
+    return frame.groupBy(s.STORE).agg(*[F.sum(c).alias(c) for c in s.FEATURES], F.count("*").alias("rows"))
 
 
 @query(

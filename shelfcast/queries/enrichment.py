@@ -257,34 +257,40 @@ def earliest_holiday(spark, sf):
 
 
 _JOINED = {
-    "economic": ("Month", "GDP_Growth_Rate Interest_Rate", "mean"),
-    "weather": ("Month", "Weather_Index", "mean"),
-    "competitor": ("Week", "Competitor_Price_Undercut", "zero"),
-    "marketing": ("Week", "Campaign_Intensity", "zero"),
-    "supply": ("Week", "Lead_Time_Days Stockout_Events", "mean"),
-    "bank_offers": ("Week", "Bank_Offer_Intensity", "zero"),
-    "custom_discounts": ("Week", "Store_Discount_Level", "zero"),
-    "custom_promotions": ("Week", "Promotion_Discount_Pct", "zero"),
+    "economic": ("Month", "GDP_Growth_Rate Consumer_Confidence_Index Inflation_Rate Unemployment_Rate Interest_Rate", "mean"),
+    "weather": ("Month", "Avg_Temperature_C Total_Rainfall_mm Humidity_Percent Weather_Index", "mean"),
+    "competitor": ("Week", "Competitor_Promotion_Intensity Competitor_Price_Undercut Competitor_New_Store_Opening", "zero"),
+    "marketing": ("Week", "Ad_Spend_INR Impressions Clicks Conversions Campaign_Intensity", "zero"),
+    "supply": ("Week", "Lead_Time_Days On_Time_Delivery_Rate Quality_Score Supplier_Reliability_Index Stockout_Events", "mean"),
+    "bank_offers": ("Week", "Bank_Offer_Intensity Card_Promotion_Level", "zero"),
+    "custom_discounts": ("Week", "Store_Discount_Level Loyalty_Discount_Available", "zero"),
+    "custom_promotions": ("Week", "Promotion_Type_Code Promotion_Discount_Pct", "zero"),
 }
-_VALUES = " ".join(v for _, v, _ in _JOINED.values())
+_WHOLE = "Competitor_New_Store_Opening Impressions Clicks Conversions Loyalty_Discount_Available Promotion_Type_Code".split()
+_VALUES = " ".join(c for _, v, _ in _JOINED.values() for c in v.split() if c not in _WHOLE)
+_SEASONS = {"Is_Festival_Season": "(10, 11, 12)", "Is_Summer_Season": "(3, 4, 5)", "Is_Monsoon_Season": "(6, 7, 8, 9)"}
+_HOLIDAYS = "Holiday_Count Is_Holiday_Week Is_Holiday Days_to_Next_Holiday Days_since_Last_Holiday".split()
 
 
 def _all_features() -> str:
+    """Per region and period, the rows and the greatest and least value of everything that is joined."""
     picks = [
         f"coalesce({t}.{c}, {'0' if fill == 'zero' else f'avg({t}.{c}) OVER ()'}) AS {c}"
         for t, (_, columns, fill) in _JOINED.items()
         for c in columns.split()
     ]
     joins = "\n".join(f'LEFT JOIN {t} ON p."Year" = {t}."Year" AND p."{k}" = {t}."{k}"' for t, (k, _, _) in _JOINED.items())
+    flags = [f'CAST(max(CASE WHEN "Month" IN {months} THEN 1 ELSE 0 END) AS INTEGER) AS {c}' for c, months in _SEASONS.items()]
+    days = [f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _HOLIDAYS]
+    whole = [f"CAST(max({c}) AS BIGINT) AS {c}" for c in _WHOLE]
     return f"""
 SELECT RegionName, CAST("Year" AS INTEGER) AS "Year", CAST("Month" AS INTEGER) AS "Month",
-       CAST("Week" AS INTEGER) AS "Week", count(*) AS "rows", CAST(sum(Holiday_Count) AS BIGINT) AS "Holiday_Count",
-       CAST(max(CASE WHEN "Month" IN (10, 11, 12) THEN 1 ELSE 0 END) AS INTEGER) AS Is_Festival_Season,
+       CAST("Week" AS INTEGER) AS "Week", max(Holiday_State_Code) AS "Holiday_State_Code", count(*) AS "rows", {', '.join(days + flags + whole)},
        {', '.join(f'max({c}) AS {c}' for c in _VALUES.split())}
-FROM (SELECT p.RegionName, p."Year", p."Month", p."Week", h.Holiday_Count, {', '.join(picks)}
+FROM (SELECT p.RegionName, p."Year", p."Month", p."Week", h.* EXCLUDE (RegionName, week_end), {', '.join(picks)}
       FROM panel p JOIN holiday_features h ON p.RegionName = h.RegionName AND p.week_end = h.week_end
       {joins}) AS enriched
-GROUP BY 1, 2, 3, 4
+GROUP BY RegionName, "Year", "Month", "Week"
 """
 
 
@@ -300,9 +306,11 @@ def external_features(spark, sf):
     panel = materialize(_panel(spark, sf), "panel")
     enriched = external.add_external_features(panel, holiday_calendar(spark, sf), side_tables(spark, sf))
     return enriched.groupBy(s.REGION, "Year", "Month", "Week").agg(
+        F.max("Holiday_State_Code").alias("Holiday_State_Code"),
         F.count("*").alias("rows"),
-        F.sum("Holiday_Count").alias("Holiday_Count"),
-        F.max("Is_Festival_Season").alias("Is_Festival_Season"),
+        *[F.sum(c).alias(c) for c in _HOLIDAYS],
+        *[F.max(c).alias(c) for c in _SEASONS],
+        *[F.max(c).cast("long").alias(c) for c in _WHOLE],
         *[F.max(c).alias(c) for c in _VALUES.split()],
     )
 

@@ -72,22 +72,25 @@ p AS (SELECT ProductName, dense_rank() OVER (ORDER BY ProductName) - 1 AS id
       FROM (SELECT DISTINCT ProductName FROM train) AS x),
 combos AS (SELECT DISTINCT StoreName, ProductName, p.id || '_' || t.id AS label FROM train JOIN t USING (StoreName)
            JOIN p USING (ProductName)),
-ps AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM combos) AS x)
-SELECT s.RegionName, s.StoreName, s.ProductName, CAST(r.id AS BIGINT) AS "RegionID", CAST(t.id AS BIGINT) AS "StoreID",
-       CAST(p.id AS BIGINT) AS "ProductID", CAST(coalesce(ps.id, 0) AS BIGINT) AS "Product_Store_ID"
-FROM (SELECT DISTINCT RegionName, StoreName, ProductName FROM sales) s
+ps AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM combos) AS x),
+mp AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS id FROM (
+  SELECT DISTINCT month(CAST(date_trunc('week', BillDate) AS DATE) + 6) || '_' || p.id AS label FROM train JOIN p USING (ProductName)) AS x)
+SELECT s.RegionName, s.StoreName, s.ProductName, CAST(s."Month" AS INTEGER) AS "Month", CAST(r.id AS BIGINT) AS "RegionID",
+       CAST(t.id AS BIGINT) AS "StoreID", CAST(p.id AS BIGINT) AS "ProductID", CAST(coalesce(ps.id, 0) AS BIGINT) AS "Product_Store_ID",
+       CAST(coalesce(mp.id, 0) AS BIGINT) AS "Month_Product_ID"
+FROM (SELECT DISTINCT RegionName, StoreName, ProductName, month(CAST(date_trunc('week', BillDate) AS DATE) + 6) AS "Month" FROM sales) s
 LEFT JOIN r ON s.RegionName = r.RegionName LEFT JOIN t ON s.StoreName = t.StoreName
 LEFT JOIN p ON s.ProductName = p.ProductName LEFT JOIN ps ON ps.label = p.id || '_' || t.id
+LEFT JOIN mp ON mp.label = s."Month" || '_' || p.id
 """,
     ).replace("\n)\n,", "\n),", 1),
 )
 def code_lookup(spark, sf):
     sales = canonical_sales(spark, sf, (*s.SERIES, s.BILL_DATE))
-    seen = up_to(sales, TRAIN_UNTIL).select(*s.SERIES, F.month(week_end(F.col(s.BILL_DATE))).alias("Month"))
-    enc = encoding.fit_encoders(seen)
-    series = sales.select(*s.SERIES, F.lit(1).alias("Month")).distinct()
-    codes = ("RegionID", "StoreID", "ProductID", "Product_Store_ID")
-    return encoding.encode(series, enc).select(*s.SERIES, *codes)
+    month = F.month(week_end(F.col(s.BILL_DATE))).alias("Month")
+    enc = encoding.fit_encoders(up_to(sales, TRAIN_UNTIL).select(*s.SERIES, month))
+    codes = ("RegionID", "StoreID", "ProductID", "Product_Store_ID", "Month_Product_ID")
+    return encoding.encode(sales.select(*s.SERIES, month).distinct(), enc).select(*s.SERIES, "Month", *codes)
 
 
 @query(
@@ -261,32 +264,41 @@ def weeks_in_horizons(spark, sf):
     return rows
 
 
-_FUTURE = "last_week_qty Lag_12_Week Rolling_Mean_8 Rolling_Std_2 EWMA_4 TrueDemand_Ratio Week_Sin Month_Cos DiscountPct"
+_OFFER_BANDS = {"Bank_Cashback": "last_cashback_pct", "Additional_Funded_Scheme": "last_additional_pct"}
+_SAME = {
+    **{f"Lag_{k}_Week": "last_week_qty" for k in s.LAGS},
+    **{f"Rolling_Mean_{n}": "rolling_4_avg" for n in s.WINDOWS},
+    **{f"Rolling_Std_{n}": "rolling_4_avg * 0.15::DOUBLE" for n in s.WINDOWS},
+    **{c: "0.0::DOUBLE" for c in ("MoM_Change", "Trend_4Week", "Quantity_ZScore")},
+    "EWMA_4": "rolling_4_avg", "True_Demand": "last_true_demand", "Bank_Emi_Flag": "last_emi_ratio",
+    "TrueDemand_Ratio": "last_true_demand / (last_week_qty + 1e-5::DOUBLE)", "DiscountPct": "0.05::DOUBLE", "Effective_Price": "100.0::DOUBLE",
+    **{f"{c}_Pct": source for c, source in _OFFER_BANDS.items()},
+    **{f"{p}_{n}": f"{f}(2 * pi() * {part}(week_start) / {period}.0::DOUBLE)"
+       for p, part, period in (("Week", "week", 52), ("Month", "month", 12)) for n, f in (("Sin", "sin"), ("Cos", "cos"))},
+}
+_FUTURE = " ".join(["last_week_qty", "prediction", *_SAME])
 
 
 @query(
     "F2_future_frame",
     rounded(
         "future",
-        """
-SELECT RegionName, StoreName, ProductName, week_index, week_start, last_week_qty, last_week_qty AS "Lag_12_Week",
-       rolling_4_avg AS "Rolling_Mean_8", rolling_4_avg * 0.15::DOUBLE AS "Rolling_Std_2", rolling_4_avg AS "EWMA_4",
-       last_true_demand / (last_week_qty + 1e-5::DOUBLE) AS "TrueDemand_Ratio",
-       sin(2 * pi() * week(week_start) / 52.0::DOUBLE) AS "Week_Sin",
-       cos(2 * pi() * month(week_start) / 12.0::DOUBLE) AS "Month_Cos", 0.05::DOUBLE AS "DiscountPct",
-       CAST(week(week_start) AS INTEGER) AS "Week", CAST(quarter(week_start) AS INTEGER) AS "Quarter",
-       CASE WHEN day(week_start) <= 7 THEN 1 ELSE 0 END AS "Is_Month_Start", 0 AS "Discount_Intensity",
-       CASE WHEN last_additional_pct <= 0 THEN 0 WHEN last_additional_pct <= 2 THEN 1 WHEN last_additional_pct <= 5 THEN 2
-            WHEN last_additional_pct <= 10 THEN 3 ELSE 4 END AS "Additional_Funded_Scheme_Intensity"
+        f"""
+SELECT RegionName, StoreName, ProductName, week_index, week_start, last_week_qty, greatest(rolling_4_avg, 0.0::DOUBLE) AS prediction,
+       {', '.join(f'{v} AS "{c}"' for c, v in _SAME.items())},
+       {', '.join(f'CAST({part}(week_start) AS INTEGER) AS "{part.title()}"' for part in ('week', 'month', 'year', 'quarter'))},
+       CASE WHEN day(week_start) <= 7 THEN 1 ELSE 0 END AS "Is_Month_Start", CASE WHEN day(week_start) >= 25 THEN 1 ELSE 0 END AS "Is_Month_End",
+       0 AS "Discount_Intensity", {', '.join(
+           f'CASE WHEN {v} <= 0 OR {v} > 100 THEN 0 WHEN {v} <= 2 THEN 1 WHEN {v} <= 5 THEN 2 WHEN {v} <= 10 THEN 3 ELSE 4 END AS "{c}_Intensity"'
+           for c, v in _OFFER_BANDS.items())}
 FROM future
 """,
         _FUTURE,
     ),
 )
 def future_frame(spark, sf):
-    names = "Week Quarter Is_Month_Start Discount_Intensity Additional_Funded_Scheme_Intensity"
-    frame = forecast(_history(spark, sf), start=BEGIN, weeks=9)
-    return frame.select(*s.SERIES, "week_index", "week_start", *_FUTURE.split(), *names.split())
+    """Every column of the future features, and the prediction without a model."""
+    return forecast(_history(spark, sf), start=BEGIN, weeks=9)
 
 
 _BULK = f"""
