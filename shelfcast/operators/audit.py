@@ -9,6 +9,7 @@ from shelfcast import schema as s
 from shelfcast.functions.calendar import day
 from shelfcast.functions.text import clean_double, number_or_zero
 from shelfcast.operators.cleaning import with_parsed_date
+from shelfcast.operators.digests import SalesDigests
 
 
 def _quantity(sales: DataFrame) -> Column:
@@ -106,11 +107,12 @@ def _anomaly() -> list[Column]:
     ]
 
 
-def upload_summary(upload: DataFrame, active: DataFrame | None = None) -> DataFrame:
+def upload_summary(upload: DataFrame, active: DataFrame | None = None, *, digests: SalesDigests | None = None) -> DataFrame:
     """One row: row counts, new rows, duplicates, date range, missing days and sudden changes.
 
     A single chain of groupings: all columns (which finds the copies), the compared columns together
-    with the active sales (which finds the new rows), days, one row. Each combines before its shuffle.
+    with the active sales (which finds the new rows), days, one row. Each combines before its shuffle. With ``digests``
+    of the active sales those are not read; distinct rows meet the digests of their months.
     """
     copies = upload.groupBy(*upload.columns).agg(F.count("*").alias("_copies"))
     new = with_parsed_date(copies).select(
@@ -135,6 +137,8 @@ def upload_summary(upload: DataFrame, active: DataFrame | None = None) -> DataFr
         )
         .where(F.col("_rows") > 0)
     )
+    if digests is not None:
+        compared = digests.mark(compared.drop("_old"), "_old")
     days = compared.groupBy(day(F.col(s.BILL_DATE)).alias("day")).agg(
         F.sum("_qty").alias(s.QUANTITY),
         F.sum("_copies").alias("_copies"),

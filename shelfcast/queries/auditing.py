@@ -1,13 +1,17 @@
 """Upload checks (A, J, W, O, U, R)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.functions.calendar import day
 from shelfcast.operators import audit
 from shelfcast.operators.cleaning import dedupe
+from shelfcast.operators.digests import SalesDigests
 from shelfcast.queries.oracle import COMPARED, rounded, sql
 from shelfcast.queries.registry import query
+from shelfcast.session import shared_dir
 from shelfcast.sources.star_schema import active_sales, canonical_sales, uploaded_sales
 
 DAILY = (s.STORE, s.BILL_DATE, s.QUANTITY)
@@ -82,6 +86,25 @@ def new_row_count(spark, sf):
     return rows.agg(F.count("*").alias("rows_added"))
 
 
+def _digests(spark, sf):
+    """Digests of the active sales in two generations, as two uploads leave them."""
+    kept = SalesDigests(spark, f"{shared_dir(spark)}/shelfcast/digests-{uuid.uuid4().hex}")
+    sales = active_sales(spark, sf)
+    for part in (F.col(s.BILL_DATE) < "1999-01-01", F.col(s.BILL_DATE) >= "1999-01-01"):
+        kept.append(sales.where(part))
+    return kept
+
+
+@query(
+    "J9_new_rows_by_digest",
+    rounded("added", "SELECT * REPLACE (CAST(BillDate AS DATE) AS BillDate) FROM added", "MRP ProductLevelDiscAmount", 4),
+    digits=4,
+)
+def new_rows_by_digest(spark, sf):
+    rows = _digests(spark, sf).new_rows(uploaded_sales(spark, sf, s.REQUIRED))
+    return rows.withColumn(s.BILL_DATE, day(F.col(s.BILL_DATE)))
+
+
 @query(
     "U2_except",
     sql(
@@ -176,9 +199,7 @@ FROM (SELECT CAST(BillDate AS DATE) AS day, sum(Quantity) AS Quantity
 """
 
 
-@query(
-    "R2_upload_audit",
-    sql(
+_AUDIT = sql(
         "added",
         f"""
 SELECT n AS original_rows, d AS rows_after_dedupe, (SELECT count(*) FROM added) AS rows_added,
@@ -193,8 +214,17 @@ CROSS JOIN (
   CROSS JOIN (SELECT {_LIMIT} AS threshold FROM ({_UPLOAD_DAYS}) AS e) AS t
   WHERE abs(change) >= threshold AND abs(change / nullif(previous, 0)) >= 0.5) AS z
 """,
-    ),
-)
+    )
+
+
+@query("R2_upload_audit", _AUDIT)
 def upload_audit(spark, sf):
     row = audit.upload_summary(uploaded_sales(spark, sf), active_sales(spark, sf))
     return row.withColumns({c: day(F.col(c)) for c in ("date_min", "date_max")})
+
+
+@query("R2_upload_audit_by_digest", _AUDIT)
+def upload_audit_by_digest(spark, sf):
+    """As above, without reading the active sales."""
+    row = audit.upload_summary(uploaded_sales(spark, sf), digests=_digests(spark, sf))
+    return row.withColumns({c: day(F.col(c)) for c in ("date_min", "date_max")})

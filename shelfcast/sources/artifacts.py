@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfcast.operators.encoding import Encoders
 from shelfcast.operators.trees import Ensemble
-from shelfcast.sources.files import exists, read_pointer, write_pointer
+from shelfcast.sources.files import append_entry, exists, last_entry, read_pointer
 
 # The combination codes may be absent in older versions.
 REQUIRED_ARTIFACTS = ("model", "region", "store", "product", "product_store", "month_product", "metrics")
@@ -50,16 +50,30 @@ def missing_artifacts(spark: SparkSession, root: str, version: str) -> list[str]
     ]
 
 
-def promote(spark: SparkSession, root: str, version: str) -> None:
-    """Make a complete version the active one; an incomplete one changes nothing."""
+class Conflict(RuntimeError):
+    """Another version was promoted in the meantime."""
+
+
+def promote(spark: SparkSession, root: str, version: str, *, instead_of: str | None = None) -> None:
+    """Make a complete version the active one; an incomplete one changes nothing.
+
+    The active version is the last entry of a log, and an entry is added only where the log ended when it was read: of two
+    writers one is told of a ``Conflict``. ``instead_of`` also asks that this version is the active one now.
+    """
     missing = missing_artifacts(spark, root, version)
     if missing:
         raise RuntimeError(f"version {version} is incomplete, without {', '.join(missing)}")
-    write_pointer(spark, f"{root.rstrip('/')}/CURRENT", version)
+    log = f"{root.rstrip('/')}/active"
+    number, _ = last_entry(spark, log)
+    if instead_of is not None and active_version(spark, root) != instead_of:
+        raise Conflict(f"{active_version(spark, root)} is active, not {instead_of}")
+    if not append_entry(spark, log, number + 1, version):
+        raise Conflict(f"another version was promoted before {version}")
 
 
 def active_version(spark: SparkSession, root: str) -> str | None:
-    return read_pointer(spark, f"{root.rstrip('/')}/CURRENT")
+    """The last promoted version; roots without a log may have a pointer file."""
+    return last_entry(spark, f"{root.rstrip('/')}/active")[1] or read_pointer(spark, f"{root.rstrip('/')}/CURRENT")
 
 
 def load(spark: SparkSession, root: str, version: str | None = None) -> Artifacts | None:
