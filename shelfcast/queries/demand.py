@@ -1,12 +1,17 @@
 """Weekly rollups, anchors and series features (A, W)."""
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfcast import schema as s
 from shelfcast.operators import anchors, options, weekly
 from shelfcast.operators.series import last_rows, series_features
+from shelfcast.plans.panel import grow
 from shelfcast.queries.oracle import START, rounded, sql
 from shelfcast.queries.registry import query
+from shelfcast.session import shared_dir
 from shelfcast.sources.star_schema import canonical_sales
 
 KEYS = "RegionName, StoreName, ProductName, week_end"
@@ -239,3 +244,33 @@ def last_weeks(spark, sf):
     sales = canonical_sales(spark, sf, (*s.REQUIRED, s.TRUE_DEMAND_RAW))
     newest = last_rows(weekly.weekly_demand(sales), 4)
     return newest.select(*s.SERIES, s.WEEK_END, s.QUANTITY, F.col("True_Demand"))
+
+
+_GROWN = (
+    [f"Lag_{k}_Week" for k in s.LAGS] + [f"Rolling_Mean_{n}" for n in s.WINDOWS] + [f"Rolling_Std_{n}" for n in s.WINDOWS]
+    + ["EWMA_4", "MoM_Change", "Trend_4Week", "Quantity_ZScore"]
+)
+
+
+@query(
+    "W_grown_panel",
+    rounded(
+        "features",
+        f"""
+SELECT {KEYS}, Quantity, {', '.join(_GROWN[:14])},
+       list_sum(list_transform(history, lambda x, i: x * pow(0.6::DOUBLE, len(history) - i)))
+         / list_sum(list_transform(history, lambda x, i: pow(0.6::DOUBLE, len(history) - i))) AS EWMA_4,
+       coalesce((Quantity - q4) / CAST(nullif(q4, 0) AS DOUBLE), 0) AS "MoM_Change",
+       coalesce(Rolling_Mean_4 - lag(Rolling_Mean_4) OVER (PARTITION BY ProductName, StoreName ORDER BY RegionName, week_end), 0) AS "Trend_4Week",
+       CASE WHEN rn >= 12 AND Rolling_Std_12 > 0 THEN (Quantity - Rolling_Mean_12) / Rolling_Std_12 ELSE 0 END AS "Quantity_ZScore"
+FROM features
+""",
+        " ".join(_GROWN[6:]),
+    ),
+)
+def grown_panel(spark, sf):
+    """All series features of a panel to which three parts of the sales were appended, each computed from the state before it."""
+    sales = canonical_sales(spark, sf, (*s.REQUIRED, s.TRUE_DEMAND_RAW))
+    closings = [datetime.date(1997, 6, 29), datetime.date(2001, 1, 7), datetime.date(2002, 1, 6)]
+    store = grow(spark, f"{shared_dir(spark)}/shelfcast/grown-{uuid.uuid4().hex}", sales, closings)
+    return store.read().select(*s.SERIES, s.WEEK_END, s.QUANTITY, *_GROWN)
