@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ from shelfcast.session import materialize
 #: Code points of a chunk; a document with more has several.
 CHUNK = 32_768
 UNKNOWN = 10.0
-CACHE_SEGMENTS = 500_000
+#: Segments that a worker remembers at most, and characters of the longest of them: some 30 MB.
+CACHE_SEGMENTS, CACHED_LENGTH = 100_000, 64
+#: Code points that are encoded side by side.
+PASS_CHARS = 400_000
 SPACE = "▁"
 NONE = -np.inf
 
@@ -145,7 +149,7 @@ def _segment(v: Vocabulary, s: str) -> tuple[float, list[int]]:
     if got is None:
         best, begin = forward(v, s, 0, len(s))
         got = best[-1], _path(v, s, begin, 0, len(s))
-        if len(s) <= 64:
+        if len(s) <= CACHED_LENGTH:
             if len(v.cache) > CACHE_SEGMENTS:
                 v.cache.clear()
             v.cache[s] = got
@@ -251,14 +255,79 @@ _ARROW = pa.schema(
 )
 
 
+class Segments:
+    """Numbers for segments, and for each its score, its ids (one after another in ``flat``) and the bytes that they decode to."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.shown: list[bytes] = []
+        self.scores, self.starts = np.zeros(1024), np.zeros(1025, np.int64)
+        self.flat = np.zeros(4096, np.int32)
+
+    def add(self, s: str) -> None:
+        best, begin = forward(self.v, s, 0, len(s))
+        ids, i = _path(self.v, s, begin, 0, len(s)), len(self.shown)
+        at, end = self.starts[i], self.starts[i] + len(ids)
+        if i + 1 == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at:end] = ids
+        self.scores[i], self.starts[i + 1] = best[-1], end
+        self.shown.append(b"".join(map(self.v.shown.__getitem__, ids)))
+        self.index[s] = i
+
+    def numbers(self, segments: list[str]) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
+        except KeyError:
+            for s in set(segments).difference(self.index):
+                self.add(s)
+            return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """Of each text the number of ids and the score, all ids, and whether decoding gives the text."""
+        split = [self.v.split(normalised(t)) for t in texts]
+        numbers = self.numbers([s for own in split for s in own])
+        many = self.starts[numbers + 1] - self.starts[numbers]
+        before = np.concatenate([[0], np.cumsum(many)])
+        ids = self.flat[np.repeat(self.starts[numbers] - before[:-1], many) + np.arange(before[-1])]
+        ends = np.cumsum([0, *map(len, split)])
+        scores = np.array([self.scores[numbers[a:b]].sum() for a, b in zip(ends[:-1], ends[1:])])
+        shown = list(map(self.shown.__getitem__, numbers.tolist()))
+        same = [b"".join(shown[a:b]).decode("utf-8", "surrogatepass")[1:] == t for a, b, t in zip(ends[:-1], ends[1:], texts)]
+        if len(self.index) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
+            self.clear()
+        return before[ends[1:]] - before[ends[:-1]], scores, ids, same
+
+
 def _whole(v: Vocabulary):
+    def one(doc_ids: list, texts: list[str], segments: Segments) -> pa.RecordBatch:
+        if any(SPACE in t for t in texts):
+            coded = [encode_text(v, t) for t in texts]
+            many, scores = np.array([len(i) for _, i in coded]), np.array([s for s, _ in coded])
+            ids, same = np.concatenate([np.array(i, np.int32) for _, i in coded]), [decode(v, i) == t for (_, i), t in zip(coded, texts)]
+        else:
+            many, scores, ids, same = segments.encoded(texts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(ids, pa.int32()))
+        columns = [doc_ids, list(map(len, texts)), [1] * len(texts), many, scores, lists, same]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
     def rows(batches):
+        segments = Segments(v)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                score, ids = encode_text(v, text)
-                out.append((doc_id, len(text), 1, len(ids), score, ids, decode(v, ids) == text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 7, _ARROW)], schema=_ARROW)
+            sizes = np.cumsum(pa.compute.utf8_length(batch.column(1)).to_numpy()) if batch.num_rows else np.zeros(0)
+            at = 0
+            while at < batch.num_rows:
+                reached = sizes[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, reached + PASS_CHARS, side="right")))
+                yield one(batch.column(0)[at:to].to_pylist(), batch.column(1)[at:to].to_pylist(), segments)
+                at = to
 
     return rows
 

@@ -71,8 +71,10 @@ class Tokens:
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
 
     def trim(self) -> None:
+        """Forgets tokens and their rows beyond the bound."""
         if len(self.index) > CACHE_TOKENS:
             self.index.clear()
+            self.rows = np.zeros((1024, self.rows.shape[1]), np.float32)
 
 
 def _direct(token: str) -> np.ndarray:

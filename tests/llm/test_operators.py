@@ -318,3 +318,18 @@ def test_one_document_does_not_set_what_natural_text_is(spark, texts):
     median = lambda docs: secrets.thresholds(secrets.with_spans(make(spark, docs)))[0]
     assert median(rows) == median([*rows, giant]) == median(rows[40:50])
     assert median([(1, "123"), (2, None)]) == secrets.NATURAL
+
+
+def test_pieces_side_by_side_are_those_of_each_text(spark, texts, vocabulary, monkeypatch):
+    """Segments remembered and forgotten, and texts with literal U+2581 between others, change no id."""
+    segments = pieces.Segments(vocabulary)
+    plain = [t or "" for _, t in texts if pieces.SPACE not in (t or "")]
+    for bound in (pieces.CACHE_SEGMENTS, 5):
+        monkeypatch.setattr(pieces, "CACHE_SEGMENTS", bound)
+        for part in (plain[:40], plain[40:]):
+            many, scores, ids, same = segments.encoded(part)
+            coded = [pieces.encode_text(vocabulary, t) for t in part]
+            assert ids.tolist() == [i for _, own in coded for i in own] and all(same)
+            assert many.tolist() == [len(own) for _, own in coded] and scores == pytest.approx([s for s, _ in coded])
+    got = {r.doc_id: list(r.token_ids) for r in pieces.encode_documents(make(spark, texts), vocabulary).collect()}
+    assert got == {i: pieces.encode_text(vocabulary, t or "")[1] for i, t in texts}
