@@ -12,7 +12,9 @@ Ties: the longest last piece wins, at boundaries the smallest state.
 """
 
 import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +28,8 @@ from shelfcast.session import materialize
 #: Code points of a chunk; a document with more has several.
 CHUNK = 32_768
 UNKNOWN = 10.0
-#: Segments that a worker remembers at most, and characters of the longest of them: some 30 MB.
-CACHE_SEGMENTS, CACHED_LENGTH = 100_000, 64
+#: Segments that a task remembers at most (some 100 MB), those that a worker keeps between tasks, and characters of the longest.
+CACHE_SEGMENTS, KEPT_SEGMENTS, CACHED_LENGTH = 400_000, 50_000, 64
 #: Code points that are encoded side by side.
 PASS_CHARS = 400_000
 SPACE = "▁"
@@ -150,7 +152,7 @@ def _segment(v: Vocabulary, s: str) -> tuple[float, list[int]]:
         best, begin = forward(v, s, 0, len(s))
         got = best[-1], _path(v, s, begin, 0, len(s))
         if len(s) <= CACHED_LENGTH:
-            if len(v.cache) > CACHE_SEGMENTS:
+            if len(v.cache) > KEPT_SEGMENTS:
                 v.cache.clear()
             v.cache[s] = got
     return got
@@ -255,11 +257,104 @@ _ARROW = pa.schema(
 )
 
 
+class Lattices:
+    """Best segmentations of many short segments of one length at once.
+
+    Pieces are found by the polynomial hash of every substring, from prefix hashes: a byte map rules most out, a sorted
+    array finds the piece, and the piece's text is compared in the end. Scores and ties are those of ``forward``.
+    """
+
+    BASE, BITS = np.uint64(0x9E3779B97F4A7C15), 22
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        ids = np.fromiter(v.ids.values(), np.int64, len(v.ids))
+        keys = np.zeros(len(ids), np.uint64)
+        by_length: dict[int, list[int]] = {}
+        names = list(v.ids)
+        for k, p in enumerate(names):
+            by_length.setdefault(len(p), []).append(k)
+        for n, own in by_length.items():
+            keys[own] = self.hashes(self.codes([names[k] for k in own], n))[:, n]
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+        self.map = np.zeros(1 << self.BITS, np.uint8)
+        self.map[self.keys >> np.uint64(64 - self.BITS)] = 1
+        self.scores = np.append(np.array(v.scores), NONE)
+
+    @staticmethod
+    def codes(texts: list[str], n: int) -> np.ndarray:
+        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n).astype(np.uint64)
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """Hash of every prefix; characters count from 1, so that none is like nothing."""
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        for k in range(codes.shape[1]):
+            out[:, k + 1] = out[:, k] * self.BASE + codes[:, k] + np.uint64(1)
+        return out
+
+    def segmented(self, segments: list[str]) -> Iterator[tuple[str, tuple[float, list[int]]]]:
+        """Every segment with its score and ids; ``segments`` come by length."""
+        for n, group in itertools.groupby(segments, len):
+            own = list(group)
+            if n > CACHED_LENGTH or n == 0:
+                for s in own:
+                    best, begin = forward(self.v, s, 0, n)
+                    yield s, (best[-1], _path(self.v, s, begin, 0, n))
+                continue
+            for at in range(0, len(own), 20_000):
+                yield from zip(own[at : at + 20_000], self._group(own[at : at + 20_000], n))
+
+    def _group(self, own: list[str], n: int) -> Iterator[tuple[float, list[int]]]:
+        prefix = self.hashes(self.codes(own, n))
+        best = np.full((len(own), n + 1), NONE)
+        best[:, 0] = 0.0
+        begin, piece = np.zeros((len(own), n + 1), np.int64), np.full((len(own), n + 1), -1)
+        powers = [np.uint64(pow(int(self.BASE), k, 2**64)) for k in range(self.v.longest + 1)]
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.v.longest), j):
+                key = prefix[:, j] - prefix[:, i] * powers[j - i]
+                held = np.flatnonzero(self.map[key >> np.uint64(64 - self.BITS)])
+                at = np.minimum(np.searchsorted(self.keys, key[held]), len(self.keys) - 1)
+                true = self.keys[at] == key[held]
+                rows, found = held[true], self.ids[at[true]]
+                if j - i == 1 and len(rows) < len(own):
+                    alone = np.ones(len(own), bool)
+                    alone[rows] = False
+                    self._take(best, begin, piece, np.flatnonzero(alone), i, j, self.v.unknown, -1)
+                self._take(best, begin, piece, rows, i, j, self.scores[found], found)
+        begins, pieces_, scores = begin.tolist(), piece.tolist(), best[:, n].tolist()
+        for s, starts, found, score in zip(own, begins, pieces_, scores):
+            out, at, right = [], n, True
+            while at:
+                i, p = starts[at], found[at]
+                if p < 0:
+                    out.extend(self.v.bytes_[b] for b in reversed(s[i:at].encode("utf-8", "surrogatepass")))
+                else:
+                    right = right and self.v.pieces[p] == s[i:at]
+                    out.append(p)
+                at = i
+            if right:
+                out.reverse()
+                yield score, out
+            else:  # two texts with one hash
+                plain, begin_ = forward(self.v, s, 0, n)
+                yield plain[-1], _path(self.v, s, begin_, 0, n)
+
+    @staticmethod
+    def _take(best, begin, piece, rows, i, j, score, found) -> None:
+        value = best[rows, i] + score
+        better = value > best[rows, j]
+        kept = rows[better]
+        best[kept, j], begin[kept, j] = value[better], i
+        piece[kept, j] = found if np.isscalar(found) else found[better]
+
+
 class Segments:
     """Numbers for segments, and for each its score, its ids (one after another in ``flat``) and the bytes that they decode to."""
 
     def __init__(self, v: Vocabulary):
-        self.v = v
+        self.v, self.lattices = v, Lattices(v)
         self.clear()
 
     def clear(self) -> None:
@@ -268,9 +363,8 @@ class Segments:
         self.scores, self.starts = np.zeros(1024), np.zeros(1025, np.int64)
         self.flat = np.zeros(4096, np.int32)
 
-    def add(self, s: str) -> None:
-        best, begin = forward(self.v, s, 0, len(s))
-        ids, i = _path(self.v, s, begin, 0, len(s)), len(self.shown)
+    def add(self, s: str, score: float, ids: list[int]) -> None:
+        i = len(self.shown)
         at, end = self.starts[i], self.starts[i] + len(ids)
         if i + 1 == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
@@ -278,7 +372,7 @@ class Segments:
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[at:end] = ids
-        self.scores[i], self.starts[i + 1] = best[-1], end
+        self.scores[i], self.starts[i + 1] = score, end
         self.shown.append(b"".join(map(self.v.shown.__getitem__, ids)))
         self.index[s] = i
 
@@ -286,8 +380,8 @@ class Segments:
         try:
             return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
         except KeyError:
-            for s in set(segments).difference(self.index):
-                self.add(s)
+            for s, (score, ids) in self.lattices.segmented(sorted(set(segments).difference(self.index), key=len)):
+                self.add(s, score, ids)
             return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
 
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
