@@ -197,7 +197,7 @@ def _cut_places(v: Vocabulary, body: str) -> tuple[int, int] | None:
     return (cuts[0], cuts[-1]) if cuts else None
 
 
-def transfer(v: Vocabulary, body: str, ahead: str, last: bool) -> np.ndarray:
+def transfer(v: Vocabulary, body: str, ahead: str, last: bool, segments: "Segments | None" = None) -> np.ndarray:
     """Matrix of best scores from each state at the chunk's start to each state at its end.
 
     ``ahead`` is the beginning of the next chunk, as far as a piece can reach. With a place in the chunk that no
@@ -214,13 +214,13 @@ def transfer(v: Vocabulary, body: str, ahead: str, last: bool) -> np.ndarray:
         return np.array([ends(forward(v, text, s, n)[0]) if s <= n else [NONE] * k for s in range(k)])
     a, b = cut
     head = np.array([forward(v, body[:a], s, a)[0][a] if s <= a else NONE for s in range(k)])
-    middle = sum(_segment(v, s)[0] for s in v.split(body[a:b]))
+    middle, _ = (segments or Segments(v)).joined(v.split(body[a:b]))
     tail = forward(v, text[b:], 0, n - b)[0]
     row = np.array([tail[n - b + t] if n + t <= len(text) else NONE for t in range(states)] + [NONE] * (k - states))
     return head[:, None] + middle + row[None, :]
 
 
-def backtrace(v: Vocabulary, body: str, ahead: str, enter: int, leave: int) -> list[int]:
+def backtrace(v: Vocabulary, body: str, ahead: str, enter: int, leave: int, segments: "Segments | None" = None) -> list[int]:
     """Ids of the pieces that begin in the chunk, given its boundary states."""
     n = len(body)
     text = body + ahead[:leave]
@@ -230,7 +230,7 @@ def backtrace(v: Vocabulary, body: str, ahead: str, enter: int, leave: int) -> l
         return _path(v, text, begin, enter, n + leave)
     a, b = cut
     out = _path(v, body[:a], forward(v, body[:a], enter, a)[1], enter, a)
-    out += encode(v, body[a:b])[1]
+    out += (segments or Segments(v)).joined(v.split(body[a:b]))[1].tolist()
     return out + _path(v, text[b:], forward(v, text[b:], 0, n - b)[1], 0, n + leave - b)
 
 
@@ -384,6 +384,20 @@ class Segments:
                 self.add(s, score, ids)
             return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
 
+    def joined(self, segments: list[str]) -> tuple[float, np.ndarray]:
+        """Score and ids of segments one after another."""
+        numbers = self.numbers(segments)
+        starts, many = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        before = np.cumsum(many) - many
+        ids = self.flat[np.repeat(starts - before, many) + np.arange(many.sum())]
+        score = float(self.scores[numbers].sum())
+        self.trim()
+        return score, ids
+
+    def trim(self) -> None:
+        if len(self.index) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
+            self.clear()
+
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
         """Of each text the number of ids and the score, all ids, and whether decoding gives the text."""
         split = [self.v.split(normalised(t)) for t in texts]
@@ -395,8 +409,7 @@ class Segments:
         scores = np.array([self.scores[numbers[a:b]].sum() for a, b in zip(ends[:-1], ends[1:])])
         shown = list(map(self.shown.__getitem__, numbers.tolist()))
         same = [b"".join(shown[a:b]).decode("utf-8", "surrogatepass")[1:] == t for a, b, t in zip(ends[:-1], ends[1:], texts)]
-        if len(self.index) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
-            self.clear()
+        self.trim()
         return before[ends[1:]] - before[ends[:-1]], scores, ids, same
 
 
@@ -455,8 +468,9 @@ _CHUNKS_SQL = "key long, doc_id long, part int, chunk int, body string, ahead st
 
 def _matrices(v: Vocabulary):
     def rows(batches):
+        segments = Segments(v)
         for batch in batches:
-            m = [transfer(v, *x).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "last")))]
+            m = [transfer(v, *x, segments).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "last")))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("part"), batch.column("chunk"), pa.array(m, pa.binary())], ["key", "part", "chunk", "m"])
 
     return rows
@@ -481,9 +495,10 @@ def _states(v: Vocabulary):
 
 def _traced(v: Vocabulary):
     def rows(batches):
+        segments = Segments(v)
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in ("part", "chunk", "body", "ahead", "enter", "leave")}
-            ids = [backtrace(v, b, a, s, e) for b, a, s, e in zip(cols["body"], cols["ahead"], cols["enter"], cols["leave"])]
+            ids = [backtrace(v, b, a, s, e, segments) for b, a, s, e in zip(cols["body"], cols["ahead"], cols["enter"], cols["leave"])]
             keep = [batch.column(c) for c in ("key", "doc_id", "part", "chunk", "n_chars", "digest", "score")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.list_(pa.int32()))], ["key", "doc_id", "part", "chunk", "n_chars", "digest", "score", "ids"])
 
