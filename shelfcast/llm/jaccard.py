@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.graph import components
-from shelfcast.session import materialize
+from shelfcast.session import drop_table, materialize, write_table
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
@@ -315,24 +315,38 @@ def _candidates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """
     x, y = (reps.select(F.col("cls").alias(c), *[F.col(a).alias(f"{c}_{a}") for a in ("rep", "n", "parity")]) for c in "xy")
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "x_rep", "y_rep", "x_n", "y_n", "x_parity", "y_parity")
-    return materialize(both.mapInArrow(_close_maps, "x long, y long, x_rep long, y_rep long, x_n long, y_n long"), "pairs")
+    return both.mapInArrow(_close_maps, "x long, y long, x_rep long, y_rep long, x_n long, y_n long")
 
 
-def _outside(groups: DataFrame, of: DataFrame, anchors: int | None) -> DataFrame:
-    """Pairs of classes (x < y) that share a group and lie in different components, one of them not in that of the
-    group's center. With ``anchors``, the other is one of so many members of the group, chosen by their hashes; else only
-    pairs whose short parity maps leave enough to share are returned."""
+def _members(groups: DataFrame, of: DataFrame) -> DataFrame:
+    """Members of the groups that have one outside the component of their center; ``main`` tells who is in it."""
     members = groups.select("sig", "cls", "n", "index", "center").join(of, "cls").join(of.select(F.col("cls").alias("center"), F.col("comp").alias("center_comp")), "center")
-    members = materialize(members.withColumn("main", F.col("comp") == F.col("center_comp")).drop("center", "center_comp").distinct(), "members")
+    return members.withColumn("main", F.col("comp") == F.col("center_comp")).drop("center", "center_comp")
+
+
+def _with_anchors(members: DataFrame, anchors: int) -> DataFrame:
+    """Pairs of classes (x < y) in different components: a member outside its group's main component and one of the
+    group's ``anchors`` members with the smallest hashes. A member meets them as one short list, and what it meets in
+    several groups becomes one pair before pairs are rows; its list is no longer than its signatures times ``anchors``."""
+    others = members.where("NOT main")
+    first = members.join(others.select("sig").distinct(), "sig", "left_semi")
+    first = first.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("cls"))).where(F.col("at") <= anchors)
+    met = first.groupBy("sig").agg(F.collect_list(F.struct("cls", "n", "index", "comp")).alias("met"))
+    close = f"100 * least(n, m.n) >= {PER_CENT} * greatest(n, m.n)"
+    passed = f"filter(met, m -> m.comp != comp AND {close} AND IF(n < m.n OR n = m.n AND cls < m.cls, index, m.index))"
+    lists = others.join(met, "sig").select("cls", F.expr(f"transform({passed}, m -> m.cls)").alias("met")).where("size(met) > 0")
+    pairs = lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_set("met"))).alias("met")).select("cls", F.explode("met").alias("met"))
+    return pairs.select(F.least("cls", "met").alias("x"), F.greatest("cls", "met").alias("y")).distinct()
+
+
+def _outside(members: DataFrame) -> DataFrame:
+    """Pairs of classes (x < y) that share a group and lie in different components, one of them not in that of the
+    group's center, and whose short parity maps leave enough to share."""
     others = members.where("NOT main")
     x, y = ([F.col(a).alias(f"{c}_{a}") for a in ("cls", "n", "index", "comp", "main", "short")] for c in "xy")
     right = members.join(others.select("sig").distinct(), "sig", "left_semi")
-    if anchors is not None:
-        right = right.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("cls"))).where(F.col("at") <= anchors)
-        once = F.lit(True)
-    else:
-        differing = sum((F.bit_count(F.col("x_short")[i].bitwiseXOR(F.col("y_short")[i])) for i in range(SHORT)), F.lit(0))
-        once = (F.col("y_main") | (F.col("x_cls") < F.col("y_cls"))) & _enough(differing)
+    differing = sum((F.bit_count(F.col("x_short")[i].bitwiseXOR(F.col("y_short")[i])) for i in range(SHORT)), F.lit(0))
+    once = (F.col("y_main") | (F.col("x_cls") < F.col("y_cls"))) & _enough(differing)
     close = 100 * F.least("x_n", "y_n") >= PER_CENT * F.greatest("x_n", "y_n")
     x_smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
     met = F.when(x_smaller, F.col("x_index")).otherwise(F.col("y_index"))
@@ -362,7 +376,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
     both = pairs.join(left, ["x", "x_rep"]).join(right, ["y", "y_rep"])
     shared = F.size(F.array_intersect("x_set", "y_set"))
     linked = shared * 100 >= PER_CENT * (F.col("x_n") + F.col("y_n") - shared)
-    return materialize(both.where(linked).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")), "verified")
+    return both.where(linked).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+
+
+def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
+    """Links among pairs of classes, written; the pairs that the maps leave are deleted once they are verified."""
+    spark = rows.sparkSession
+    written = write_table(_candidates(pairs, reps), "pairs")
+    links = materialize(_verified(spark.read.parquet(written), rows, unique), "verified")
+    drop_table(spark, written)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,6 +395,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     repeated ids included; null ids have a null component unless other ids share it. Sets and classes are told apart by
     64-bit hashes. An empty table gives no rows. Other columns are not read.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(rows.mapInArrow(_profiles, _PROFILE), "profiles")
     own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity", "short")
@@ -386,21 +410,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .withColumn("others", (F.min("cls").over(group) != F.max("cls").over(group)))
         .where("others AND c IS NOT NULL")  # groups without an index entry give no pairs
         .select("sig", "cls", "n", "index", "size", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
+        .dropDuplicates(["sig", "cls"])  # a class comes once from each task; the windows have dealt the rows by sig
     )
     groups = materialize(starred, "groups")
     first = groups.where((F.col("center") != F.col("cls")) & (100 * F.least("center_n", "n") >= PER_CENT * F.greatest("center_n", "n")))
     tried = materialize(first.select(F.least("cls", "center").alias("x"), F.greatest("cls", "center").alias("y")).distinct(), "tried")
     unique = own.where("n > 0").groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
-    links = _verified(_candidates(tried, reps), rows, unique)
+    links = _links(tried, reps, rows, unique)
     joined = components(links)
     for larger, anchors in ((groups, ANCHORS), (groups.where(F.col("size") > ANCHORS), None)):
-        of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"), F.lit(None).cast("array<long>").alias("short") if anchors else "short")
-        pairs = materialize(_outside(larger, of, anchors).join(tried, ["x", "y"], "left_anti"), "tried")
+        of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"), *([] if anchors else ["short"]))
+        written = write_table(_members(larger, of), "members")
+        members = spark.read.parquet(written)
+        pairs = _with_anchors(members, anchors) if anchors else _outside(members)
+        pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti"), "tried")
+        drop_table(spark, written)
         tried = tried.union(pairs)
-        more = _candidates(pairs, reps)
-        if not more.isEmpty():
-            links = links.union(_verified(more, rows, unique))
-            joined = components(links)
+        links = links.union(_links(pairs, reps, rows, unique))
+        joined = components(links)
     reached = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reached, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
