@@ -39,18 +39,31 @@ ENCODINGS = (
 LEVEL, RATE, NATURAL, PRIOR = 0.001, 0.01, 0.065, 100 * 99
 BINS, PER_DECADE, SHARES = 600, 20, 10_000
 MASK = "[secret]"
+#: Matches that are gone through one by one; longer lists are gone through block by block.
+BLOCK = 128
+
+
+def _let(value: str, name: str, then: str) -> str:
+    """SQL: ``then``, in which ``name`` is the value, worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def _blocks(items: str) -> str:
+    """SQL: an array in blocks of ``BLOCK`` items; an array that grows item by item is copied at each step, a block is short."""
+    return _let(items, "l", f"transform(IF(size(l) > 0, sequence(0, (size(l) - 1) div {BLOCK}), CAST(array() AS array<bigint>)), i -> slice(l, CAST(i * {BLOCK} + 1 AS INT), {BLOCK}))")
 
 
 def _places(text: str, pattern: str) -> str:
-    """SQL: array of (start, match) of a pattern's matches in a column, by the lengths of matches and of the gaps between them."""
+    """SQL: array of (start, match) of a pattern's matches in a column, by the lengths of matches and of the gaps between
+    them: sums inside blocks of matches, then sums of blocks."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return f"""aggregate(
-        zip_with(slice(split({text}, '{quoted}', -1), 1, size(regexp_extract_all({text}, '{quoted}', 0))), regexp_extract_all({text}, '{quoted}', 0),
-            (g, m) -> named_struct('g', g, 'm', m)),
-        named_struct('at', 0, 'out', CAST(array() AS array<struct<s:int,m:string>>)),
-        (a, x) -> named_struct('at', a.at + length(x.g) + length(x.m),
-            'out', concat(a.out, array(named_struct('s', a.at + length(x.g), 'm', x.m)))),
-        a -> a.out)"""
+    found = f"regexp_extract_all({text}, '{quoted}', 0)"
+    pairs = _let(found, "f", f"zip_with(slice(split({text}, '{quoted}', -1), 1, size(f)), f, (g, m) -> named_struct('g', length(g), 'm', m))")
+    none = "CAST(array() AS array<struct<s:int,m:string>>)"
+    inside = f"""transform({_blocks(pairs)}, b -> aggregate(b, named_struct('at', 0, 'out', {none}),
+        (a, x) -> named_struct('at', a.at + x.g + length(x.m), 'out', concat(a.out, array(named_struct('s', a.at + x.g, 'm', x.m))))))"""
+    offsets = "aggregate(k, named_struct('at', 0, 'out', CAST(array() AS array<int>)), (a, x) -> named_struct('at', a.at + x.at, 'out', concat(a.out, array(a.at))))"
+    return _let(inside, "k", f"flatten(zip_with(k, {offsets}.out, (b, o) -> transform(b.out, x -> named_struct('s', x.s + o, 'm', x.m))))")
 
 
 _EMPTY = "CAST(array() AS array<struct<kind:string,rank:int,start:int,stop:int>>)"
@@ -80,11 +93,14 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             x -> named_struct('kind', '{kind}', 'rank', {rank}, 'start', x.s, 'stop', x.s + length(x.m)))"""
         spans.append(f"CASE WHEN rlike(_text, '{quoted}') THEN {found} ELSE {_EMPTY} END")
     df = df.withColumn("_base", F.expr(f"array_sort(concat({', '.join(spans)}), (l, r) -> CASE WHEN l.start != r.start THEN l.start - r.start ELSE l.rank - r.rank END)"))
+    # Base spans by blocks with their extent, so that a candidate is held against those near it.
+    df = df.withColumn("_near", F.expr(f"transform({_blocks('_base')}, b -> named_struct('lo', b[0].start, 'hi', array_max(transform(b, x -> x.stop)), 'spans', b))"))
     df = df.withColumn(
         "_runs",
         F.expr(
             f"""CASE WHEN rlike(_text, '{CANDIDATE}') THEN
-            filter({_places('_text', CANDIDATE)}, c -> NOT exists(_base, b -> c.s < b.stop AND c.s + length(c.m) > b.start))
+            filter({_places('_text', CANDIDATE)}, c -> NOT exists(_near, k -> c.s < k.hi AND c.s + length(c.m) > k.lo
+                AND exists(k.spans, b -> c.s < b.stop AND c.s + length(c.m) > b.start)))
             ELSE CAST(array() AS array<struct<s:int,m:string>>) END"""
         ),
     )
@@ -117,7 +133,7 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             'serial', aggregate(zip_with(slice(c.v, 1, c.n - 1), slice(c.v, 2, c.n - 1), (x, y) -> (x - c.mean) * (y - c.mean)), 0D, (t, x) -> t + x)
                 / greatest(aggregate(c.v, 0D, (t, x) -> t + pow(x - c.mean, 2)), 1e-9D)))"""
         ),
-    ).drop("_runs", "_text")
+    ).drop("_runs", "_near", "_text")
 
 
 def _upper(z: str) -> str:
@@ -220,10 +236,14 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     kept = docs.select(*[F.col(f"`{c}`") for c in columns])
     chosen = thresholds(materialize(with_spans(kept.select(text_col), text_col).select("_candidates", "_uneven"), "secret-candidates"))
     found = with_found(with_spans(kept, text_col), chosen)
+    # A block's part of the text is cut out once; places inside it count from where the blocks before it ended.
+    inside = f"""aggregate(b, named_struct('at', 0, 'from', a.at, 'out', CAST(array() AS array<string>),
+            't', substring(`{text_col}`, a.at + 1, greatest(array_max(transform(b, s -> s.stop)) - a.at, 0))),
+        (p, s) -> named_struct('at', greatest(p.at, s.stop - p.from), 'from', p.from,
+            'out', IF(s.stop - p.from <= p.at OR s.start - p.from < p.at, p.out, concat(p.out, array(substring(p.t, p.at + 1, s.start - p.from - p.at), '{MASK}'))), 't', p.t))"""
     masked = F.expr(
-        f"""aggregate(_spans, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
-        (a, s) -> named_struct('at', greatest(a.at, s.stop), 'out', IF(s.stop <= a.at OR s.start < a.at, a.out,
-            concat(a.out, array(substring(`{text_col}`, a.at + 1, s.start - a.at), '{MASK}')))),
+        f"""aggregate({_blocks('_spans')}, named_struct('at', 0, 'out', CAST(array() AS array<string>)),
+        (a, b) -> {_let(inside, 'r', "named_struct('at', a.at + r.at, 'out', concat(a.out, array(array_join(r.out, ''))))")},
         a -> concat(array_join(a.out, ''), substring(`{text_col}`, a.at + 1)))"""
     )
     return found.withColumn(text_col, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in columns])

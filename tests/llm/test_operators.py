@@ -221,6 +221,26 @@ def test_secrets(spark, texts):
     assert secrets.find(make(spark, [])).count() == 0
 
 
+def test_secrets_of_a_text_with_thousands_of_matches(spark):
+    """Places, candidates and masks over many blocks of matches; overlapping spans of two kinds at the ends of blocks."""
+    rng = random.Random(8)
+    some = ("deadbeef" * 5, "token=" + "ab12" * 10, "AKIA" + "Z9" * 8, "word é😀", "x" * 25, "secret: short")
+    text = " ".join(rng.choice(some) for _ in range(5_000)) + " end"
+    patterns = [(k, re.compile(p.replace("(?i)", ""), (re.I if k == "assign" else 0) | re.A), n) for k, p, n in secrets.PATTERNS]
+    spans = sorted((m.start(), n, m.end(), k) for n, (k, p, least) in enumerate(patterns) for m in p.finditer(text) if len(m[2] if k == "assign" else m[0]) >= least)
+    docs = make(spark, [(1, text), (2, "plain"), (3, None)])
+    got = {r.doc_id: r.spans for r in secrets.find(docs).collect()}
+    assert got == {1: ",".join(f"{k}:{start}:{stop}" for start, _, stop, k in spans), 2: "", 3: ""}
+    out, at = [], 0
+    for start, _, stop, _ in spans:
+        if stop > at and start >= at:
+            out += [text[at:start], secrets.MASK]
+        at = max(at, stop)
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "".join(out) + text[at:], 2: "plain", 3: None}
+    runs = {r.id: r._runs for r in spark.sql("SELECT 1 AS id, repeat('0123456789abcdef', 2) AS t").selectExpr("id", f"{secrets._places('t', '[0-9a-f]{32,}')} AS _runs").collect()}
+    assert [(x.s, len(x.m)) for x in runs[1]] == [(0, 32)]
+
+
 def test_neardup(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
