@@ -379,13 +379,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
     return both.where(linked).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
 
 
-def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
-    """Links among pairs of classes, written; the pairs that the maps leave are deleted once they are verified."""
+def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, unique: bool) -> DataFrame | None:
+    """Links among pairs of classes, written; None if there are none. The pairs that the maps leave are deleted once they
+    are verified."""
     spark = rows.sparkSession
     written = write_table(_candidates(pairs, reps), "pairs")
-    links = materialize(_verified(spark.read.parquet(written), rows, unique), "verified")
+    left = spark.read.parquet(written)
+    links = None if left.isEmpty() else materialize(_verified(left, rows, unique), "verified")
     drop_table(spark, written)
-    return links
+    return None if links is None or links.isEmpty() else links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,6 +419,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tried = materialize(first.select(F.least("cls", "center").alias("x"), F.greatest("cls", "center").alias("y")).distinct(), "tried")
     unique = own.where("n > 0").groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
     links = _links(tried, reps, rows, unique)
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long")
     joined = components(links)
     for larger, anchors in ((groups, ANCHORS), (groups.where(F.col("size") > ANCHORS), None)):
         of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"), *([] if anchors else ["short"]))
@@ -426,8 +430,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti"), "tried")
         drop_table(spark, written)
         tried = tried.union(pairs)
-        links = links.union(_links(pairs, reps, rows, unique))
-        joined = components(links)
+        more = _links(pairs, reps, rows, unique)
+        if more is not None:
+            links = links.union(more)
+            joined = components(links)
     reached = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reached, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
