@@ -14,8 +14,12 @@ from shelfcast.session import materialize
 
 #: Bits of a quantised dimension; three dimensions give 32,768 cells.
 BITS = 5
-#: Parts by which the rows of one cell are split, by their text and then by their id: a cell may hold any number of rows.
-TEXT_PARTS, ID_PARTS = 64, 1024
+#: Bits of the checksum by which the texts of one cell are split, and parts of the rows of one text: either may be any number.
+TEXT_BITS, ID_PARTS = 12, 1024
+#: What is summed along the curve: rows, bytes, and texts of one row.
+MEASURES = ("_rows", "_bytes", "_lone")
+#: Rows with equal values here have equal texts.
+TEXT = ["_key", "_crc", "_size"]
 
 
 def with_hilbert_index(df: DataFrame, dims: Sequence[str], out: str, bits: int = BITS) -> DataFrame:
@@ -54,6 +58,54 @@ def _quantised_names(rows: DataFrame, name: str, out: str) -> DataFrame:
     return values.select(f"{out}_null", f"{out}_value", F.floor(rank * (1 << BITS) / count).cast("long").alias(out))
 
 
+def _along_curve(texts: DataFrame) -> DataFrame:
+    """``texts`` with the sums of ``MEASURES`` over all texts before each (``<measure>_at``) and over all (``<measure>_all``).
+
+    Texts follow cell, checksum and key; sums of parts of cells carry the order across tasks.
+    """
+    before = lambda window, m: F.coalesce(F.sum(m).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = texts.groupBy("_curve", "_part").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    cells = parts.groupBy("_curve").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    cells = cells.select(
+        "_curve",
+        *[before(Window.orderBy("_curve"), m).alias(f"{m}_cell") for m in MEASURES],
+        *[F.sum(m).over(Window.partitionBy()).alias(f"{m}_all") for m in MEASURES],
+    )
+    in_cell = Window.partitionBy("_curve").orderBy("_part")
+    parts = parts.select("_curve", "_part", *[before(in_cell, m).alias(f"{m}_part") for m in MEASURES]).join(cells, "_curve")
+    in_part = Window.partitionBy("_curve", "_part").orderBy("_crc", "_key", "_size")
+    inner = texts.select("*", *[before(in_part, m).alias(f"{m}_in") for m in MEASURES])
+    at = [(F.col(f"{m}_cell") + F.col(f"{m}_part") + F.col(f"{m}_in")).alias(f"{m}_at") for m in MEASURES]
+    return inner.join(parts, ["_curve", "_part"]).select(*texts.columns, *at, *[f"{m}_all" for m in MEASURES])
+
+
+def _off_boundaries(texts: DataFrame, n_shards: int) -> DataFrame:
+    """Where a boundary between shards of equal counts cuts a text's rows, texts of one row behind them go before them.
+
+    As many go ahead, in their order, as rows lay before the boundary, so the rows begin at it. If the shard behind has
+    fewer of them, or the text fills more than a shard, its rows stay cut. ``_rows_at`` becomes the new place.
+    """
+    last = F.expr(f"((_rows_at + _rows - 1) * {n_shards}) div _rows_all")
+    texts = texts.withColumn("_shard", last).withColumn("_cut", F.col("_shard") > F.expr(f"(_rows_at * {n_shards}) div _rows_all"))
+    cut = lambda c: F.max(F.when(F.col("_cut"), F.col(c)))
+    moves = (
+        texts.groupBy("_shard")
+        .agg(F.sum("_lone").alias("_spare"), cut("_rows_at").alias("_from"), cut("_lone_at").alias("_lone_from"), F.max("_rows_all").alias("_all"))
+        .withColumn("_need", F.expr(f"(_shard * _all + {n_shards - 1}) div {n_shards} - _from"))
+        .where(F.expr(f"_need <= _spare AND _need * {n_shards} <= _all"))
+        .select("_shard", "_from", "_lone_from", "_need")
+    )
+    rank = F.col("_lone_at") - F.col("_lone_from")
+    place = (
+        F.when(F.col("_need").isNull(), F.col("_rows_at"))
+        .when(F.col("_cut"), F.col("_from") + F.col("_need"))
+        .when((F.col("_lone") == 1) & (rank < F.col("_need")), F.col("_from") + rank)
+        .otherwise(F.col("_rows_at") + F.col("_need") - F.least(F.col("_need"), rank))
+    )
+    # at most one row per shard is broadcast
+    return texts.join(F.broadcast(moves), "_shard", "left").withColumn("_rows_at", place).drop("_shard", "_cut", "_from", "_lone_from", "_need")
+
+
 def shard(
     docs: DataFrame,
     *,
@@ -70,80 +122,73 @@ def shard(
     ``law`` is "rows" (counts at most one apart) or "bytes" (a row goes where the middle of its bytes lies, so sizes
     differ by a row's size at most).
 
-    Within a cell, rows follow their text's checksum, then a hash of the id, so equal texts of a cell lie near each
-    other and a cell of any size is ordered in ``TEXT_PARTS * ID_PARTS`` independent parts.
-    A null or empty text has size 1 and checksum 0; null names come last; null ids are values; repeated rows
-    are separate rows; an empty table gives none. Other columns of the input are not read.
+    Rows of equal texts form a group: all take the cell of the one with the smallest id (null first) and follow each other, by a
+    hash of the id. Under "rows" a group that a boundary would cut moves behind it; it is cut only if it is larger
+    than a shard or the next shard has too few texts of one row to fill the gap. Under "bytes" a boundary may cut it. Texts
+    are told apart by two checksums and their size. A group and a cell of any size are ordered in independent parts.
+    A null or empty text has size 1 and checksum 0, and both are one group; null names come last; null ids are values;
+    repeated rows are separate rows; an empty table gives none. Other columns of the input are not read.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law must be rows or bytes, not {law}")
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    given = [f"_d{i}" for i in range(len(names))]
     rows = docs.select(
         F.col(id_col).alias("_id"),
-        (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("_size"),
-        F.crc32(text).alias("_crc"),
-        *[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)],
+        (F.octet_length(text) + 1).cast("long").alias("_size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("_crc"),
+        F.xxhash64(text).alias("_key"),
+        F.pmod(F.xxhash64(F.col(id_col)), F.lit(ID_PARTS)).alias("_split"),
+        *[F.col(c).alias(d) for c, d in zip(names, given)],
     )
     rows = materialize(rows, "shard-rows")  # the texts are read once
-    for i in range(len(names)):
-        rows = rows.join(
-            _quantised_names(rows, f"_d{i}", f"_q{i}"),
-            (F.col(f"_d{i}").isNull() == F.col(f"_q{i}_null")) & (F.coalesce(f"_d{i}", F.lit("")) == F.col(f"_q{i}_value")),
-        ).drop(f"_q{i}_null", f"_q{i}_value")
-    rows = rows.withColumn("_qs", F.least(F.floor(F.log2(F.col("_size").cast("double"))), F.lit((1 << BITS) - 1)).cast("long"))
-    cells = rows.select("_qs", *[f"_q{i}" for i in range(len(names))]).distinct()
-    dims = ["_qs", *[f"_q{i}" for i in range(len(names))]]
-    rows = (
-        rows.join(with_hilbert_index(cells, dims, "_curve"), dims)
-        .withColumn("_part", F.shiftright(F.col("_crc"), 26) * ID_PARTS + F.pmod(F.xxhash64("_id"), F.lit(ID_PARTS)))
+    splits = rows.groupBy(*TEXT, "_split").agg(F.count("*").alias("_n"), F.min(F.struct("_id", *given)).alias("_first"))
+    splits = materialize(splits, "shard-splits")
+    texts = splits.groupBy(*TEXT).agg(F.sum("_n").alias("_rows"), F.min("_first").alias("_first"))
+    texts = texts.select(
+        *TEXT,
+        "_rows",
+        (F.col("_rows") * F.col("_size")).alias("_bytes"),
+        (F.col("_rows") == 1).cast("long").alias("_lone"),
+        F.shiftright("_crc", 32 - TEXT_BITS).alias("_part"),
+        F.least(F.floor(F.log2(F.col("_size").cast("double"))), F.lit((1 << BITS) - 1)).cast("long").alias("_qs"),
+        *[F.col("_first")[d].alias(d) for d in given],
     )
-    measure = F.lit(1) if law == "rows" else F.col("_size")
-    sums = rows.groupBy("_curve", "_part").agg(F.sum(measure).alias("_sum"))
-    by_cell = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)
-    cell_sums = (
-        sums.groupBy("_curve")
-        .agg(F.sum("_sum").alias("_cell"))
-        .withColumn("_cell_at", F.coalesce(F.sum("_cell").over(by_cell), F.lit(0)))
-        .withColumn("_total", F.sum("_cell").over(Window.partitionBy()))
-        .drop("_cell")
-    )
-    in_cell = Window.partitionBy("_curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_part_at", F.coalesce(F.sum("_sum").over(in_cell), F.lit(0))).drop("_sum").join(cell_sums, "_curve")
-    in_part = Window.partitionBy("_curve", "_part").orderBy("_crc", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.col("_cell_at") + F.col("_part_at") + F.sum(measure).over(in_part)
-    placed = rows.join(offsets, ["_curve", "_part"]).withColumn("_end", at)
+    texts = materialize(texts, "shard-texts")
+    placed = texts
+    for i, d in enumerate(given):
+        placed = placed.join(
+            _quantised_names(texts, d, f"_q{i}"),
+            (F.col(d).isNull() == F.col(f"_q{i}_null")) & (F.coalesce(d, F.lit("")) == F.col(f"_q{i}_value")),
+        ).drop(f"_q{i}_null", f"_q{i}_value", d)
+    dims = ["_qs", *[f"_q{i}" for i in range(len(names))]]
+    cells = with_hilbert_index(placed.select(*dims).distinct(), dims, "_curve")
+    placed = materialize(_along_curve(placed.join(cells, dims).drop(*dims)), "shard-places")
     if law == "rows":
-        shard_no = F.expr(f"((_end - 1) * {n_shards}) div _total")
-        slot = F.expr(f"_end - 1 - (shard * _total + {n_shards - 1}) div {n_shards}")
-        placed = placed.withColumn("shard", shard_no.cast("int")).withColumn("slot", slot.cast("long"))
+        placed = _off_boundaries(placed, n_shards)
+    in_text = Window.partitionBy(*TEXT).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_split_at", F.coalesce(F.sum("_n").over(in_text), F.lit(0))).drop("_n", "_first")
+    splits = splits.join(placed.select(*TEXT, "_curve", "_rows_at", "_rows_all", "_bytes_at", "_bytes_all"), TEXT)
+    in_split = Window.partitionBy(*TEXT, "_split").orderBy("_id", *given)
+    rows = rows.withColumn("_rank", F.row_number().over(in_split) - 1).join(splits, [*TEXT, "_split"])
+    rows = rows.withColumn("_nth", F.col("_split_at") + F.col("_rank")).withColumn("_at", F.col("_rows_at") + F.col("_nth"))
+    if law == "rows":
+        rows = rows.withColumn("shard", F.expr(f"CAST((_at * {n_shards}) div _rows_all AS INT)"))
+        rows = rows.withColumn("_start", F.expr(f"(shard * _rows_all + {n_shards - 1}) div {n_shards}"))
     else:
-        middle = F.expr(f"((2 * _end - _size) * {n_shards}) div (2 * _total)")
-        placed = placed.withColumn("shard", middle.cast("int"))
-        counts = placed.groupBy("shard", "_curve", "_part").agg(F.count("*").alias("_n"))
-        starts = counts.groupBy("shard", "_curve").agg(F.sum("_n").alias("_n"))
-        starts = starts.withColumn(
-            "_a", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ).drop("_n")
-        parts = counts.withColumn(
-            "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("shard", "_curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ).drop("_n")
-        inner = F.row_number().over(Window.partitionBy("shard", "_curve", "_part").orderBy("_crc", "_id", "_size")) - 1
-        placed = (
-            placed.withColumn("_c", inner)
-            .join(parts, ["shard", "_curve", "_part"])
-            .join(starts, ["shard", "_curve"])
-            .withColumn("slot", (F.col("_a") + F.col("_b") + F.col("_c")).cast("long"))
-        )
-    return placed.select(
+        middle = f"((2 * (_bytes_at + _nth * _size) + _size) * {n_shards}) div (2 * _bytes_all)"
+        rows = rows.withColumn("shard", F.expr(f"CAST({middle} AS INT)"))
+        rows = rows.join(F.broadcast(rows.groupBy("shard").agg(F.min("_at").alias("_start"))), "shard")  # one row per shard
+    return rows.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         F.lit(law).alias("law"),
         "shard",
-        "slot",
+        (F.col("_at") - F.col("_start")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("_curve").alias("curve"),
-        *[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)],
+        *[F.col(d).alias(c) for c, d in zip(names, given)],
     )
 
 

@@ -196,6 +196,51 @@ def test_sharding(spark, texts, law):
     assert sharding.shard(make(spark, []), law=law).count() == 0
 
 
+def placed_by_hand(texts, n_shards):
+    """Texts (order, rows) along the curve as [text, ...] by place, boundaries moved off groups one after another."""
+    line = [t for t, n in texts for _ in range(n)]
+    size, total = dict(texts), len(line)
+    for k in range(1, n_shards):
+        b = -(-k * total // n_shards)
+        if b >= total or line[b - 1] != line[b] or size[line[b]] * n_shards > total * n_shards:
+            continue
+        start = line.index(line[b])
+        stop = start + size[line[b]]
+        end = -(-(k + 1) * total // n_shards)
+        if stop > end or start < -(-(k - 1) * total // n_shards):
+            continue
+        behind = line[stop:end]
+        if end < total and behind and line[end - 1] == line[end]:
+            behind = behind[: behind.index(line[end])]
+        ahead = [t for t in behind if size[t] == 1][: b - start]
+        if len(ahead) == b - start:
+            rest = [t for t in behind if t not in ahead]
+            line[start : stop + len(behind)] = ahead + [line[b]] * size[line[b]] + rest
+    return line
+
+
+def test_shards_keep_equal_texts_together(spark):
+    """Groups of every size up to more than a shard, against placing by hand; names differ within a group."""
+    rng = random.Random(4)
+    for sizes, whole in (([1] * 300 + [2, 3, 5, 8, 13, 21, 30] * 4, True), ([1] * 20 + [7, 9, 40, 3] * 2 + [200], False), ([4] * 50, False), ([500], False)):
+        rows = [f"text {k} " + "x" * (k % 40) for k, n in enumerate(sizes) for _ in range(n)]
+        rng.shuffle(rows)
+        got = sharding.shard(make(spark, list(enumerate(rows)))).collect()
+        of = {r.doc_id: rows[r.doc_id] for r in got}
+        line = [of[r.doc_id] for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+        first = {}
+        for r in sorted(got, key=lambda r: r.doc_id):
+            first.setdefault(of[r.doc_id], r)
+            assert r.curve == first[of[r.doc_id]].curve
+        order = sorted(first, key=lambda t: (first[t].curve, first[t].text_crc32))
+        n = collections.Counter(rows)
+        assert line == placed_by_hand([(t, n[t]) for t in order], 8)
+        shards = collections.defaultdict(set)
+        for r in got:
+            shards[of[r.doc_id]].add(r.shard)
+        assert not whole or max(map(len, shards.values())) == 1
+
+
 def test_hilbert_curve_moves_to_neighbours(spark):
     cells = spark.range(512).selectExpr("id div 64 AS x", "(id div 8) % 8 AS y", "id % 8 AS z")
     rows = sharding.with_hilbert_index(cells, ["x", "y", "z"], "h", 3).orderBy("h").collect()
