@@ -19,9 +19,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id stays; rows with a null id stay."""
-    gone = jaccard.near_duplicates(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+    """Of each component of near duplicates, one row stays: the smallest id (null last), then the first row written.
+
+    Rows are told apart by a written number, so copies with one id or none are copies too, and an id that occurs with two
+    texts loses only the copy. Rows without words are no copies and stay.
+    """
+    at = "_row__"
+    numbered = materialize(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    found = jaccard.near_duplicates(numbered.select(at, "text"), id_col=at).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias(at), F.col("component_id").alias("_component__"))
+    ids = numbered.select(at, F.struct(F.col("doc_id").isNull(), "doc_id", at).alias("_order__"))
+    members = materialize(ids.join(found, at), "members")
+    first = members.groupBy("_component__").agg(F.min("_order__").alias("_order__"))
+    stay = first.select(F.col(f"_order__.{at}").alias(at))
+    gone = members.select(at).join(stay, at, "left_anti")
+    return numbered.join(gone, at, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

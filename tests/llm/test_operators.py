@@ -266,6 +266,22 @@ def test_secrets(spark, texts):
     assert secrets.find(make(spark, [])).count() == 0
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated rows, null ids and one id with two texts: one row of each group, clean texts stay, columns as given."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abdeimnorstu") for _ in range(6)) for _ in range(300)]
+    one, two, three = (" ".join(rng.choices(words, k=80)) for _ in range(3))
+    near = one + " end"
+    rows = [(1, one), (1, one), (2, near), (3, two), (1, two), (None, three), (None, three), (None, near), (4, ""), (4, ""), (None, None), (5, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0, "clash", "clash") for i, t in rows], SCHEMA)
+    got = pipeline.keep_one_of_each(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted([(1, one), (1, two), (None, three), (4, ""), (4, ""), (None, None), (5, "few words")], key=key)
+    assert pipeline.keep_one_of_each(spark, docs.limit(0), "").count() == 0
+
+
 def test_secrets_of_a_text_with_thousands_of_matches(spark):
     """Places, candidates and masks over many blocks of matches; overlapping spans of two kinds at the ends of blocks."""
     rng = random.Random(8)
