@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SWITCH_PENALTY = 14.0
 #: Share of a language's words in a script from which the script counts as its own.
 SCRIPT_SHARE = 0.001
 #: Words whose scores are kept in a task, and words labelled in one pass.
-CACHE_WORDS, PASS_WORDS = 300_000, 1_500_000
+CACHE_WORDS, PASS_WORDS = 300_000, 1_000_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code points of Unicode script ranges; "" is a range without one of these scripts.
@@ -38,22 +39,46 @@ SCRIPTS = (
     (0xA000, ""), (0xAC00, "Hangul"), (0xD7B0, ""), (0xF900, "Han"), (0xFB00, ""),
 )
 _STARTS = np.array([s for s, _ in SCRIPTS])
-
-
-def script(word: str) -> str:
-    """Script of the last letter; "" if it lies in none of the ranges."""
-    i = int(np.searchsorted(_STARTS, ord(word[-1]), side="right")) - 1
-    return SCRIPTS[i][1] if i >= 0 else ""
-
-
-def features(word: str) -> list[int]:
-    w = f"^{word.casefold()}$"
-    return [zlib.crc32(w.encode()) % SLOTS] + [zlib.crc32(w[i : i + 3].encode()) % SLOTS for i in range(len(w) - 2)]
+#: crc32 of every byte, from which that of longer runs is made.
+_CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+
+
+def ranges(words: list[str]) -> np.ndarray:
+    """Place in ``SCRIPTS`` of each word's last letter; -1 if it lies before the first."""
+    return np.searchsorted(_STARTS, np.fromiter((ord(w[-1]) for w in words), np.int64, len(words)), side="right") - 1
+
+
+def _trigram_crcs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """crc32 of the bytes from each start to its end, byte by byte for all at once."""
+    crc, sizes = np.full(len(starts), 0xFFFFFFFF, np.uint32), ends - starts
+    for k in range(int(sizes.max(initial=0))):
+        on = slice(None) if k < 3 else np.flatnonzero(sizes > k)
+        crc[on] = _CRC[(crc[on] ^ data[starts[on] + k]) & 0xFF] ^ crc[on] >> 8
+    return ~crc
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words one after another (a word's own, then those of its trigrams), and their number per word."""
+    folded = [f"^{w.casefold()}$" for w in words]
+    written = "".join(folded).encode()
+    data = np.frombuffer(written, np.uint8)
+    places = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where characters begin
+    sizes = np.fromiter(map(len, folded), np.int64, len(folded))
+    many = sizes - 1
+    own = np.cumsum(many) - many
+    out = np.zeros(int(many.sum()), np.int64)
+    trigram = np.ones(len(out), bool)
+    trigram[own] = False
+    out[own] = [zlib.crc32(w.encode()) % SLOTS for w in folded]
+    at = (np.arange(len(out)) + np.repeat(np.cumsum(sizes) - sizes - own - 1, many))[trigram]
+    out[trigram] = _trigram_crcs(data, places[at], places[at + 3]) % SLOTS
+    return out, many
 
 
 def words(text: str | None) -> list[str]:
     """Runs of letters. The pattern also admits number signs, so runs without a letter are left out."""
-    return [w for w in LETTERS.findall(text) if w.isascii() or any(map(str.isalpha, w))] if text else []
+    found = LETTERS.findall(text) if text else []
+    return found if not text or text.isascii() else [w for w in found if w.isascii() or any(map(str.isalpha, w))]
 
 
 @dataclass
@@ -62,10 +87,19 @@ class Model:
     table: np.ndarray  # SLOTS x languages: log probabilities
     scripts: dict[str, np.ndarray]  # script: penalty per language
 
-    def score(self, word: str) -> np.ndarray:
-        s = self.table[features(word)].sum(axis=0)
-        barred = self.scripts.get(script(word))
-        return s if barred is None else s + barred
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row per word: its features' sum, added in their order, for all words side by side, and its script's penalty."""
+        slots, many = features(words)
+        order = np.argsort(-many, kind="stable")
+        starts, run = (np.cumsum(many) - many)[order], many[order]
+        total = np.zeros((len(words), len(self.langs)), np.float32)
+        for k in range(int(run[0]) if len(run) else 0):
+            n = len(run) - int(np.searchsorted(run[::-1], k, side="right"))
+            total[:n] += self.table[slots[starts[:n] + k]]
+        barred = np.array([self.scripts.get(s, np.zeros(len(self.langs))) for _, s in (*SCRIPTS, (None, ""))])
+        out = np.empty_like(total)
+        out[order] = total
+        return (out + barred[ranges(words)]).astype(np.float32)
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> Model:
@@ -73,20 +107,28 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> Model
     sample = bounded_sample(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), id_col, SAMPLE_ROWS)
 
     def counts(batches):
-        slots, scripts = Counter(), Counter()
-        seen: dict[str, list[int]] = {}
+        slots, scripts = {}, Counter()
+        held: dict[str, Counter] = {}
+
+        def add():
+            for lang, seen in held.items():
+                found, n = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+                own, many = features(found)
+                slots[lang] = slots.get(lang, 0) + np.bincount(own, np.repeat(n, many), SLOTS)
+                at = ranges(found) % (len(SCRIPTS) + 1)
+                for i, k in enumerate(np.bincount(at, n, len(SCRIPTS) + 1).tolist()):
+                    if k:
+                        scripts[lang, SCRIPTS[i][1] if i < len(SCRIPTS) else ""] += int(k)
+            held.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word, n in Counter(words(text)).items():
-                    if len(seen) > CACHE_WORDS:
-                        seen.clear()
-                    own = seen.get(word)
-                    if own is None:
-                        own = seen[word] = features(word)
-                    for f in own:
-                        slots[lang, f] += n
-                    scripts[lang, script(word)] += n
-        rows = [(lang, f, None, n) for (lang, f), n in slots.items()] + [(lang, None, s, n) for (lang, s), n in scripts.items()]
+                held.setdefault(lang, Counter()).update(words(text))
+                if sum(map(len, held.values())) > CACHE_WORDS:
+                    add()
+        add()
+        rows = [(lang, f, None, int(own[f])) for lang, own in slots.items() for f in np.flatnonzero(own).tolist()]
+        rows += [(lang, None, s, n) for (lang, s), n in scripts.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(("lang", "slot", "script", "n"), r)) for r in rows], schema=_COUNTS)
 
     sums = (
@@ -160,19 +202,21 @@ def _labelled(model: Model):
         rows = np.zeros((1024, len(langs)), np.float32)
         letters = np.zeros(1024, np.int32)
 
-        def ids(found: list[str]) -> list[int]:
+        def ids(found: list[list[str]]) -> np.ndarray:
+            """Numbers of the words of several texts; new words are scored together."""
             nonlocal rows, letters
-            for w in set(found).difference(index):
-                i = len(index)
-                if i == len(rows):
+            new = list(set().union(*found).difference(index)) if langs else []
+            if new:
+                while len(index) + len(new) > len(rows):
                     rows, letters = np.concatenate([rows, np.zeros_like(rows)]), np.concatenate([letters, np.zeros_like(letters)])
-                index[w] = i
-                rows[i], letters[i] = model.score(w), len(w)
-            return [index[w] for w in found]
+                at = len(index)
+                rows[at : at + len(new)], letters[at : at + len(new)] = model.scores(new), list(map(len, new))
+                index.update(zip(new, range(at, at + len(new))))
+            return np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
 
         def flush(held):
             lengths = np.array([len(x) for _, x in held], np.int64)
-            flat = np.concatenate([np.array(x, np.int64) for _, x in held]) if held else np.zeros(0, np.int64)
+            flat = ids([x for _, x in held])
             labels = viterbi(rows[flat], lengths) if langs else flat
             out, at = [], 0
             for (head, x), n in zip(held, lengths):
@@ -190,7 +234,7 @@ def _labelled(model: Model):
         for batch in batches:
             held, total = [], 0
             for doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = ids(words(text)) if langs else []
+                x = words(text) if langs else []
                 held.append(((doc_id, held_out), x))
                 total += len(x)
                 if total >= PASS_WORDS:

@@ -414,3 +414,19 @@ def test_pieces_side_by_side_are_those_of_each_text(spark, texts, vocabulary, mo
             assert many.tolist() == [len(own) for _, own in coded] and scores == pytest.approx([s for s, _ in coded])
     got = {r.doc_id: list(r.token_ids) for r in pieces.encode_documents(make(spark, texts), vocabulary).collect()}
     assert got == {i: pieces.encode_text(vocabulary, t or "")[1] for i, t in texts}
+
+
+def test_words_are_scored_side_by_side_as_each_alone():
+    rng = np.random.default_rng(3)
+    found = ["a", "Straße", "été", "İstanbul", "漢字", "слово", "𐐀𐐁", "x" * 300, *("".join(rng.choice(list("abcdeé"), n)) for n in range(1, 40))]
+    model = languages.Model(["p", "q", "r"], rng.normal(size=(languages.SLOTS, 3)).astype(np.float32), {"Latin": np.array([0.0, -50.0, 0.0]), "": np.array([-50.0, 0.0, 0.0])})
+    slots, many = languages.features(found)
+    plain = []
+    for w in found:
+        w = f"^{w.casefold()}$"
+        plain.append([zlib.crc32(w.encode()) % languages.SLOTS, *(zlib.crc32(w[i : i + 3].encode()) % languages.SLOTS for i in range(len(w) - 2))])
+    assert slots.tolist() == sum(plain, []) and many.tolist() == list(map(len, plain))
+    scripts = [next((name for start, name in reversed(languages.SCRIPTS) if start <= ord(w[-1])), "") for w in found]
+    expected = [model.table[own].sum(axis=0) + model.scripts.get(s, np.zeros(3)) for own, s in zip(plain, scripts)]
+    assert (model.scores(found) == np.array(expected, np.float32)).all()
+    assert model.scores([]).shape == (0, 3)
