@@ -26,8 +26,8 @@ from shelfcast.session import materialize
 SAMPLE_ROWS = 12_000
 SLOTS, DIM, NONZERO, WINDOW, HIDDEN = 1 << 13, 64, 4, 2, 32
 EPOCHS, BATCH, RATE, DECAY = 40, 128, 3e-3, 1e-4
-#: Tokens whose vectors are kept in a task, and tokens pooled in one pass.
-CACHE_TOKENS, PASS_TOKENS = 200_000, 400_000
+#: Values of tokens that are kept in a task, and values pooled in one pass (26 and 8 MB, whatever the width of a token's row).
+CACHE_VALUES, PASS_VALUES = 6_400_000, 1 << 21
 #: Tasks over the bounded sample; each sends one sum of SLOTS x DIM.
 SAMPLE_TASKS = 16
 
@@ -35,64 +35,78 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 _INPUTS = 2 * DIM + 2
 
 
-def shape(token: str) -> str:
+SHAPES = ("<upper>", "<title>", "<lower>", "<digits>", "<signs>")
+
+
+def shape(token: str) -> int:
+    """Place in ``SHAPES``."""
     if token.isalpha():
-        return "<upper>" if token.isupper() and len(token) > 1 else "<title>" if token[0].isupper() else "<lower>"
-    return "<digits>" if token.isdigit() else "<signs>"
+        return 0 if token.isupper() and len(token) > 1 else 1 if token[0].isupper() else 2
+    return 3 if token.isdigit() else 4
 
 
-def index_vector(token: str) -> np.ndarray:
-    """``NONZERO`` places of +1 or -1, from the token's hash."""
-    bits = zlib.crc32(token.encode("utf-8", "surrogatepass")) | zlib.adler32(token.encode("utf-8", "surrogatepass")) << 32
-    v = np.zeros(DIM, np.float32)
+def index_vectors(tokens: list[str]) -> np.ndarray:
+    """``NONZERO`` places of +1 or -1 per token, from its hash."""
+    written = [t.encode("utf-8", "surrogatepass") for t in tokens]
+    bits = np.fromiter(map(zlib.crc32, written), np.uint64, len(tokens)) | np.fromiter(map(zlib.adler32, written), np.uint64, len(tokens)) << np.uint64(32)
+    v, row = np.zeros((len(tokens), DIM), np.float32), np.arange(len(tokens))
     for _ in range(NONZERO):
-        bits = (bits * 6364136223846793005 + 1442695040888963407) % 2**64
-        v[bits >> 40 & DIM - 1] += 1.0 if bits >> 60 & 1 else -1.0
+        bits = bits * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
+        v[row, (bits >> np.uint64(40) & np.uint64(DIM - 1)).astype(np.int64)] += np.where(bits >> np.uint64(60) & np.uint64(1), 1.0, -1.0).astype(np.float32)
     return v
 
 
-def slot(token: str) -> int:
-    return zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) % SLOTS
+def slots(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) % SLOTS for t in tokens), np.int64, len(tokens))
 
 
 class Tokens:
-    """Numbers for tokens and a row of values for each, made when a token is first met."""
+    """Numbers for tokens and a row of values for each, made side by side for the tokens of a pass that are met first."""
 
     def __init__(self, width: int, values):
         self.index, self.values, self.rows = {}, values, np.zeros((1024, width), np.float32)
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        for t in set(tokens).difference(self.index):
-            i = len(self.index)
-            if i == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.index[t] = i
-            self.rows[i] = self.values(t)
+        new = list(set(tokens).difference(self.index))
+        if new:
+            at, end = len(self.index), len(self.index) + len(new)
+            if end > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(end - len(self.rows), len(self.rows) // 2), self.rows.shape[1]), np.float32)])
+            self.rows[at:end] = self.values(new)
+            self.index.update(zip(new, range(at, end)))
         return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
 
+    @property
+    def most(self) -> int:
+        """Tokens of a pass."""
+        return max(1, PASS_VALUES // self.rows.shape[1])
+
     def trim(self) -> None:
         """Forgets tokens and their rows beyond the bound."""
-        if len(self.index) > CACHE_TOKENS:
+        if len(self.index) * self.rows.shape[1] > CACHE_VALUES:
             self.index.clear()
             self.rows = np.zeros((1024, self.rows.shape[1]), np.float32)
 
 
-def _direct(token: str) -> np.ndarray:
-    return index_vector(token.lower()) + index_vector(shape(token))
+_OF_SHAPES = index_vectors(list(SHAPES))
+
+
+def _direct(tokens: list[str]) -> np.ndarray:
+    return index_vectors([t.lower() for t in tokens]) + _OF_SHAPES[np.fromiter(map(shape, tokens), np.int64, len(tokens))]
 
 
 def _contexts(batches):
     """Sums of the neighbours' index vectors per slot, over one task's texts."""
-    sums, tokens = np.zeros((SLOTS, DIM), np.float32), Tokens(DIM + 1, lambda t: np.append(_direct(t), slot(t)))
+    sums, tokens = np.zeros((SLOTS, DIM), np.float32), Tokens(DIM + 1, lambda new: np.column_stack([_direct(new), slots(new)]))
     for batch in batches:
         for text in batch.column(0).to_pylist():
             ids = tokens.ids(TOKEN.findall(text or ""))
-            own, slots = tokens.rows[ids, :DIM], tokens.rows[ids, DIM].astype(np.int64)
+            own, at = tokens.rows[ids, :DIM], tokens.rows[ids, DIM].astype(np.int64)
             near = np.zeros_like(own)
             for d in range(1, WINDOW + 1):
                 near[d:] += own[:-d]
                 near[:-d] += own[d:]
-            np.add.at(sums, slots, near)
+            np.add.at(sums, at, near)
             tokens.trim()
     yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([r.tobytes() for r in sums], pa.binary())], ["slot", "v"])
 
@@ -103,36 +117,48 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def pooled(texts: list, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Means of the tokens' rows, and length and variety, per text; zeros for a text without tokens."""
+    """Means of the tokens' rows, and length and variety, per text; zeros for a text without tokens.
+
+    What is held at a time is bounded by the values of a pass, not by the texts of a batch."""
     means, extra, held = np.zeros((len(texts), tokens.rows.shape[1]), np.float32), np.zeros((len(texts), 2), np.float32), []
 
     def flush():
         if held:
-            flat = np.concatenate([x for _, x in held])
-            lengths = np.array([len(x) for _, x in held])
+            flat = tokens.ids([t for _, found in held for t in found])
+            lengths = np.array([len(found) for _, found in held])
             at = np.cumsum(lengths) - lengths
             means[[i for i, _ in held]] = np.add.reduceat(tokens.rows[flat], at, axis=0) / lengths[:, None]
             held.clear()
+            tokens.trim()
 
     total = 0
     for i, text in enumerate(texts):
         found = TOKEN.findall(text or "")
+        if not found:
+            continue
+        extra[i] = np.log1p(len(found)) / 10, len(set(found)) / len(found)
         # A long text goes through in pieces, which are added up.
-        pieces = range(0, len(found), PASS_TOKENS)
-        if len(pieces) > 1:
-            means[i] = sum(tokens.rows[tokens.ids(found[p : p + PASS_TOKENS])].sum(axis=0, dtype=np.float64) for p in pieces) / len(found)
-        elif found:
-            held.append((i, tokens.ids(found)))
-            total += len(found)
-        if found:
-            extra[i] = np.log1p(len(found)) / 10, len(set(found)) / len(found)
-        if total >= PASS_TOKENS:
+        if len(found) > tokens.most:
+            added = np.zeros(means.shape[1])
+            for p in range(0, len(found), tokens.most):
+                added += tokens.rows[tokens.ids(found[p : p + tokens.most])].sum(axis=0, dtype=np.float64)
+                tokens.trim()
+            means[i] = added / len(found)
+            continue
+        if total + len(found) > tokens.most:
             flush()
             total = 0
+        held.append((i, found))
+        total += len(found)
     flush()
     return means, extra
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Product by rows: a row's values do not depend on the rows beside it."""
+    return np.matmul(x[:, None, :], w)[:, 0]
+
+
 @dataclass
 class Network:
     words: np.ndarray | None  # SLOTS x DIM word vectors
@@ -142,9 +168,12 @@ class Network:
     b2: float = 0.0
     temperature: float = 1.0
 
-    def projected(self, token: str) -> np.ndarray:
-        """A token's share of the first layer: pooling and the first layer are both linear, so they can change places."""
-        return self.words[slot(token)] @ self.w1[:DIM] + _direct(token) @ self.w1[DIM : 2 * DIM]
+    def __post_init__(self):
+        self.first = None if self.words is None or self.w1 is None else _times(self.words, self.w1[:DIM])
+
+    def projected(self, tokens: list[str]) -> np.ndarray:
+        """The tokens' shares of the first layer: pooling and the first layer are both linear, so they can change places."""
+        return self.first[slots(tokens)] + _times(_direct(tokens), self.w1[DIM : 2 * DIM])
 
     def probability(self, first: np.ndarray, extra: np.ndarray) -> np.ndarray:
         h = np.maximum(first + extra @ self.w1[2 * DIM :] + self.b1, 0)
@@ -198,11 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col="doc_id", t
     words /= np.linalg.norm(words, axis=1, keepdims=True) + 1e-6
 
     def vectors(batches):
-        tokens = Tokens(2 * DIM, lambda t: np.concatenate([words[slot(t)], _direct(t)]))
+        tokens = Tokens(2 * DIM, lambda new: np.concatenate([words[slots(new)], _direct(new)], axis=1))
         for batch in batches:
             x = np.concatenate(pooled(batch.column(1).to_pylist(), tokens), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
-            tokens.trim()
 
     got = sample.select(F.col(id_col).cast("long"), text_col, "_y").mapInArrow(vectors, "id long, y int, x binary").toPandas().sort_values(["id", "x"])
     x = np.array([np.frombuffer(b, np.float32) for b in got["x"]], np.float64).reshape(len(got), _INPUTS)
@@ -227,7 +255,6 @@ def score(network: Network, docs: DataFrame, *, text_col="text", out="score") ->
         tokens = Tokens(HIDDEN, network.projected)
         for texts in batches:
             yield pd.Series(network.probability(*pooled(texts.tolist(), tokens)))
-            tokens.trim()
 
     value = F.lit(0.5) if network.words is None else probability(F.col(text_col))
     return keep.withColumn(out, value)

@@ -430,3 +430,18 @@ def test_words_are_scored_side_by_side_as_each_alone():
     expected = [model.table[own].sum(axis=0) + model.scripts.get(s, np.zeros(3)) for own, s in zip(plain, scripts)]
     assert (model.scores(found) == np.array(expected, np.float32)).all()
     assert model.scores([]).shape == (0, 3)
+
+
+def test_pooling_holds_a_bounded_number_of_tokens(monkeypatch):
+    """Within one batch of many new tokens, and one text of many, no more rows are held than the bounds say."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(50)) for i in range(200)] + [None, "", " ".join(f"v{k}" for k in range(3000))]
+    value = lambda new: np.concatenate([quality.index_vectors(new)] * 2, axis=1)
+    all_at_once, extra = quality.pooled(texts, quality.Tokens(2 * quality.DIM, value))
+    monkeypatch.setattr(quality, "PASS_VALUES", 500 * 2 * quality.DIM)
+    monkeypatch.setattr(quality, "CACHE_VALUES", 1000 * 2 * quality.DIM)
+    tokens = quality.Tokens(2 * quality.DIM, value)
+    widest = []
+    monkeypatch.setattr(tokens, "values", lambda new: widest.append(len(tokens.index) + len(new)) or value(new))
+    means, more = quality.pooled(texts, tokens)
+    assert np.allclose(means, all_at_once, atol=1e-6) and (extra == more).all()
+    assert max(widest) <= 1500
