@@ -12,7 +12,6 @@ Ties: the longest last piece wins, at boundaries the smallest state.
 """
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -189,15 +188,27 @@ def decode(v: Vocabulary, ids) -> str:
     return b"".join(map(v.shown.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def _cut_places(v: Vocabulary, body: str) -> tuple[int, int] | None:
-    """First and last place in a chunk, and after its beginning, that no piece crosses."""
-    if not v.cuts:
-        return None
-    cuts = [m.start() for m in v.segments.finditer(body)][1:]
-    return (cuts[0], cuts[-1]) if cuts else None
+def _cut(v: Vocabulary, body: str) -> tuple[int, int, list[str]] | None:
+    """First and last place in a chunk, and after its beginning, that no piece crosses, and the segments between them."""
+    found = v.split(body) if v.cuts else []
+    return (len(found[0]), len(body) - len(found[-1]), found[1:-1]) if len(found) > 1 else None
 
 
-def transfer(v: Vocabulary, body: str, ahead: str, last: bool, segments: "Segments | None" = None) -> np.ndarray:
+def _in_passes(v: Vocabulary, bodies: list[str], segments: "Segments", of) -> list:
+    """``of`` (a chunk's number, its cut) for every chunk; the segments of a pass's chunks are numbered together before."""
+    out, held, total = [], [], 0
+    for n, body in enumerate(bodies):
+        held.append((n, _cut(v, body)))
+        total += len(body)
+        if total >= PASS_CHARS or n == len(bodies) - 1:
+            segments.numbers([s for _, cut in held if cut for s in cut[2]])
+            out += [of(n, cut) for n, cut in held]
+            segments.trim()
+            held, total = [], 0
+    return out
+
+
+def transfer(v: Vocabulary, body: str, ahead: str, last: bool, segments: "Segments | None" = None, cut=()) -> np.ndarray:
     """Matrix of best scores from each state at the chunk's start to each state at its end.
 
     ``ahead`` is the beginning of the next chunk, as far as a piece can reach. With a place in the chunk that no
@@ -209,28 +220,28 @@ def transfer(v: Vocabulary, body: str, ahead: str, last: bool, segments: "Segmen
     def ends(best):
         return np.array([best[n + t] if n + t <= len(text) else NONE for t in range(states)] + [NONE] * (k - states))
 
-    cut = _cut_places(v, body)
+    cut = _cut(v, body) if cut == () else cut
     if cut is None:
         return np.array([ends(forward(v, text, s, n)[0]) if s <= n else [NONE] * k for s in range(k)])
-    a, b = cut
+    a, b, between = cut
     head = np.array([forward(v, body[:a], s, a)[0][a] if s <= a else NONE for s in range(k)])
-    middle, _ = (segments or Segments(v)).joined(v.split(body[a:b]))
+    middle, _ = (segments or Segments(v)).joined(between)
     tail = forward(v, text[b:], 0, n - b)[0]
     row = np.array([tail[n - b + t] if n + t <= len(text) else NONE for t in range(states)] + [NONE] * (k - states))
     return head[:, None] + middle + row[None, :]
 
 
-def backtrace(v: Vocabulary, body: str, ahead: str, enter: int, leave: int, segments: "Segments | None" = None) -> list[int]:
+def backtrace(v: Vocabulary, body: str, ahead: str, enter: int, leave: int, segments: "Segments | None" = None, cut=()) -> list[int]:
     """Ids of the pieces that begin in the chunk, given its boundary states."""
     n = len(body)
     text = body + ahead[:leave]
-    cut = _cut_places(v, body)
+    cut = _cut(v, body) if cut == () else cut
     if cut is None or enter > cut[0]:
         _, begin = forward(v, text, enter, n)
         return _path(v, text, begin, enter, n + leave)
-    a, b = cut
+    a, b, between = cut
     out = _path(v, body[:a], forward(v, body[:a], enter, a)[1], enter, a)
-    out += (segments or Segments(v)).joined(v.split(body[a:b]))[1].tolist()
+    out += (segments or Segments(v)).joined(between)[1].tolist()
     return out + _path(v, text[b:], forward(v, text[b:], 0, n - b)[1], 0, n + leave - b)
 
 
@@ -258,13 +269,17 @@ _ARROW = pa.schema(
 
 
 class Lattices:
-    """Best segmentations of many short segments of one length at once.
+    """Best segmentations of many short segments at once, whatever their lengths.
 
-    Pieces are found by the polynomial hash of every substring, from prefix hashes: a byte map rules most out, a sorted
-    array finds the piece, and the piece's text is compared in the end. Scores and ties are those of ``forward``.
+    Segments lie side by side, the longest first, so that a step over the places of all is one operation on those that
+    are long enough. Pieces are found by the polynomial hash of every substring, from prefix hashes: the first bits lead
+    to the pieces that share them. The bytes of the found pieces are compared with the segment in the end. Scores and ties are
+    those of ``forward``.
     """
 
-    BASE, BITS = np.uint64(0x9E3779B97F4A7C15), 22
+    BASE, BITS = np.uint64(0x9E3779B97F4A7C15), 20
+    #: Segments side by side.
+    MOST = 4_096
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -275,79 +290,123 @@ class Lattices:
         for k, p in enumerate(names):
             by_length.setdefault(len(p), []).append(k)
         for n, own in by_length.items():
-            keys[own] = self.hashes(self.codes([names[k] for k in own], n))[:, n]
-        order = np.argsort(keys)
+            keys[own] = self.hashes(self.codes([names[k] for k in own], n))[n] * self.BASE  # spreads short pieces over the first bits
+        order = np.argsort(keys, kind="stable")
         self.keys, self.ids = keys[order], ids[order]
-        self.map = np.zeros(1 << self.BITS, np.uint8)
-        self.map[self.keys >> np.uint64(64 - self.BITS)] = 1
-        self.scores = np.append(np.array(v.scores), NONE)
+        at = (keys[order] >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.first = np.full(1 << self.BITS, -1, np.int32)
+        first, many = np.unique(at, return_index=True, return_counts=True)[1:]
+        self.first[at[first]] = first
+        self.depth = int(many.max(initial=1))
+        self.scores = np.array(v.scores)
+        self.powers = [np.uint64(pow(int(self.BASE), k, 2**64)) for k in range(v.longest + 1)]
 
     @staticmethod
     def codes(texts: list[str], n: int) -> np.ndarray:
-        return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), n).astype(np.uint64)
+        """Characters by place and text, counted from 1, so that none is like nothing; 0 beyond a text's end."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        out = np.zeros((n, len(texts)), np.uint64)
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[place, np.repeat(np.arange(len(texts)), sizes)] = flat.astype(np.uint64) + np.uint64(1)
+        return out
 
     def hashes(self, codes: np.ndarray) -> np.ndarray:
-        """Hash of every prefix; characters count from 1, so that none is like nothing."""
-        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-        for k in range(codes.shape[1]):
-            out[:, k + 1] = out[:, k] * self.BASE + codes[:, k] + np.uint64(1)
+        """Hash of every prefix, by place and text."""
+        out = np.zeros((len(codes) + 1, codes.shape[1]), np.uint64)
+        for k in range(len(codes)):
+            out[k + 1] = out[k] * self.BASE + codes[k]
         return out
 
-    def segmented(self, segments: list[str]) -> Iterator[tuple[str, tuple[float, list[int]]]]:
-        """Every segment with its score and ids; ``segments`` come by length."""
-        for n, group in itertools.groupby(segments, len):
-            own = list(group)
-            if n > CACHED_LENGTH or n == 0:
-                for s in own:
-                    best, begin = forward(self.v, s, 0, n)
-                    yield s, (best[-1], _path(self.v, s, begin, 0, n))
-                continue
-            for at in range(0, len(own), 20_000):
-                yield from zip(own[at : at + 20_000], self._group(own[at : at + 20_000], n))
-
-    def _group(self, own: list[str], n: int) -> Iterator[tuple[float, list[int]]]:
-        prefix = self.hashes(self.codes(own, n))
-        best = np.full((len(own), n + 1), NONE)
-        best[:, 0] = 0.0
-        begin, piece = np.zeros((len(own), n + 1), np.int64), np.full((len(own), n + 1), -1)
-        powers = [np.uint64(pow(int(self.BASE), k, 2**64)) for k in range(self.v.longest + 1)]
-        for j in range(1, n + 1):
+    def segmented(self, segments: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+        """Groups of the segments: their scores, all ids, the number of ids of each, and the bytes that they decode to."""
+        short = sorted((s for s in segments if 0 < len(s) <= CACHED_LENGTH), key=len, reverse=True)
+        for at in range(0, len(short), self.MOST):
+            yield self._group(short[at : at + self.MOST])
+        for s in segments:
+            if not 0 < len(s) <= CACHED_LENGTH:
+                yield self._alone(s)
+
+    def _shown(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.v.shown.__getitem__, ids))
+
+    def _alone(self, s: str):
+        best, begin = forward(self.v, s, 0, len(s))
+        ids = _path(self.v, s, begin, 0, len(s))
+        return [s], np.array([best[-1]]), np.array(ids, np.int32), np.array([len(ids)]), [self._shown(ids)]
+
+    def _group(self, own: list[str]):
+        """Of segments that come by falling length."""
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        longest = int(sizes[0])
+        prefix = self.hashes(self.codes(own, longest))
+        best = np.full((longest + 1, len(own)), NONE)
+        best[0] = 0.0
+        begin, piece = np.zeros((longest + 1, len(own)), np.int32), np.full((longest + 1, len(own)), -1, np.int32)
+        many = np.searchsorted(-sizes, -np.arange(longest + 1), side="right")  # segments that reach a place
+        for j in range(1, longest + 1):
+            n = int(many[j])
             for i in range(max(0, j - self.v.longest), j):
-                key = prefix[:, j] - prefix[:, i] * powers[j - i]
-                held = np.flatnonzero(self.map[key >> np.uint64(64 - self.BITS)])
-                at = np.minimum(np.searchsorted(self.keys, key[held]), len(self.keys) - 1)
-                true = self.keys[at] == key[held]
-                rows, found = held[true], self.ids[at[true]]
-                if j - i == 1 and len(rows) < len(own):
-                    alone = np.ones(len(own), bool)
+                key = (prefix[j, :n] - prefix[i, :n] * self.powers[j - i]) * self.BASE
+                rows, found = self._found(key)
+                if j - i == 1 and len(rows) < n:
+                    alone = np.ones(n, bool)
                     alone[rows] = False
                     self._take(best, begin, piece, np.flatnonzero(alone), i, j, self.v.unknown, -1)
-                self._take(best, begin, piece, rows, i, j, self.scores[found], found)
-        begins, pieces_, scores = begin.tolist(), piece.tolist(), best[:, n].tolist()
-        for s, starts, found, score in zip(own, begins, pieces_, scores):
-            out, at, right = [], n, True
-            while at:
-                i, p = starts[at], found[at]
-                if p < 0:
-                    out.extend(self.v.bytes_[b] for b in reversed(s[i:at].encode("utf-8", "surrogatepass")))
-                else:
-                    right = right and self.v.pieces[p] == s[i:at]
-                    out.append(p)
-                at = i
-            if right:
-                out.reverse()
-                yield score, out
-            else:  # two texts with one hash
-                plain, begin_ = forward(self.v, s, 0, n)
-                yield plain[-1], _path(self.v, s, begin_, 0, n)
+                if len(rows):
+                    self._take(best, begin, piece, rows, i, j, self.scores[found], found)
+        return self._traced(own, sizes, best, begin, piece)
+
+    def _found(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that pieces have, and the pieces."""
+        first = self.first[(key >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        rows = np.flatnonzero(first >= 0)
+        at, key = first[rows], key[rows]
+        true = self.keys[at] == key
+        left = np.flatnonzero(~true)
+        for _ in range(1, self.depth):  # pieces whose keys share their first bits
+            left = left[self.keys[at[left]] < key[left]]
+            at[left] = np.minimum(at[left] + 1, len(self.ids) - 1)
+            true[left] = self.keys[at[left]] == key[left]
+        return rows[true], self.ids[at[true]]
 
     @staticmethod
     def _take(best, begin, piece, rows, i, j, score, found) -> None:
-        value = best[rows, i] + score
-        better = value > best[rows, j]
+        value = best[i, rows] + score
+        better = value > best[j, rows]
         kept = rows[better]
-        best[kept, j], begin[kept, j] = value[better], i
-        piece[kept, j] = found if np.isscalar(found) else found[better]
+        best[j, kept], begin[j, kept] = value[better], i
+        piece[j, kept] = found if np.isscalar(found) else found[better]
+
+    def _traced(self, own: list[str], sizes: np.ndarray, best, begin, piece):
+        rows, at, taken, strange = np.arange(len(own)), sizes.copy(), [], np.zeros(len(own), bool)
+        steps = np.zeros(len(own), np.int64)
+        while len(rows):
+            p = piece[at, rows]
+            strange[rows[p < 0]] = True
+            taken.append((rows, p))
+            steps[rows] += 1
+            at = begin[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        ends = np.cumsum(steps)
+        ids = np.zeros(int(steps.sum()), np.int32)
+        for k, (rows, p) in enumerate(taken):
+            ids[ends[rows] - 1 - k] = p
+        scores = best[sizes, np.arange(len(own))]
+        flat, shown, again = ids.tolist(), [], {}
+        for k, (s, end, n) in enumerate(zip(own, ends.tolist(), steps.tolist())):
+            one = None if strange[k] else self._shown(flat[end - n : end])
+            # Characters without a piece, or two texts with one hash.
+            if one is None or one != s.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                again[k] = self._alone(s)
+                one = again[k][4][0]
+            shown.append(one)
+        if again:
+            parts = np.split(ids, ends[:-1])
+            for k, (_, score, other, n, _) in again.items():
+                parts[k], scores[k], steps[k] = other, score[0], n[0]
+            ids = np.concatenate(parts)
+        return own, scores, ids, steps, shown
 
 
 class Segments:
@@ -363,25 +422,25 @@ class Segments:
         self.scores, self.starts = np.zeros(1024), np.zeros(1025, np.int64)
         self.flat = np.zeros(4096, np.int32)
 
-    def add(self, s: str, score: float, ids: list[int]) -> None:
-        i = len(self.shown)
-        at, end = self.starts[i], self.starts[i] + len(ids)
-        if i + 1 == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[at:end] = ids
-        self.scores[i], self.starts[i + 1] = score, end
-        self.shown.append(b"".join(map(self.v.shown.__getitem__, ids)))
-        self.index[s] = i
+    def add(self, segments: list[str], scores: np.ndarray, ids: np.ndarray, many: np.ndarray, shown: list[bytes]) -> None:
+        i, n = len(self.shown), len(segments)
+        at = int(self.starts[i])
+        if i + n >= len(self.scores):
+            more = max(i + n + 1, len(self.scores) * 3 // 2) - len(self.scores)
+            self.scores, self.starts = np.append(self.scores, np.zeros(more)), np.append(self.starts, np.zeros(more, np.int64))
+        if at + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(max(at + len(ids), len(self.flat) * 3 // 2) - len(self.flat), np.int32))
+        self.flat[at : at + len(ids)] = ids
+        self.scores[i : i + n], self.starts[i + 1 : i + n + 1] = scores, at + np.cumsum(many)
+        self.shown += shown
+        self.index.update(zip(segments, range(i, i + n)))
 
     def numbers(self, segments: list[str]) -> np.ndarray:
         try:
             return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
         except KeyError:
-            for s, (score, ids) in self.lattices.segmented(sorted(set(segments).difference(self.index), key=len)):
-                self.add(s, score, ids)
+            for group in self.lattices.segmented(list(set(segments).difference(self.index))):
+                self.add(*group)
             return np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
 
     def joined(self, segments: list[str]) -> tuple[float, np.ndarray]:
@@ -390,9 +449,7 @@ class Segments:
         starts, many = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
         before = np.cumsum(many) - many
         ids = self.flat[np.repeat(starts - before, many) + np.arange(many.sum())]
-        score = float(self.scores[numbers].sum())
-        self.trim()
-        return score, ids
+        return float(self.scores[numbers].sum()), ids
 
     def trim(self) -> None:
         if len(self.index) > CACHE_SEGMENTS or len(self.flat) > 16 * CACHE_SEGMENTS:
@@ -470,7 +527,8 @@ def _matrices(v: Vocabulary):
     def rows(batches):
         segments = Segments(v)
         for batch in batches:
-            m = [transfer(v, *x, segments).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "last")))]
+            chunks = list(zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "last"))))
+            m = _in_passes(v, [x[0] for x in chunks], segments, lambda n, cut: transfer(v, *chunks[n], segments, cut).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("part"), batch.column("chunk"), pa.array(m, pa.binary())], ["key", "part", "chunk", "m"])
 
     return rows
@@ -497,8 +555,8 @@ def _traced(v: Vocabulary):
     def rows(batches):
         segments = Segments(v)
         for batch in batches:
-            cols = {c: batch.column(c).to_pylist() for c in ("part", "chunk", "body", "ahead", "enter", "leave")}
-            ids = [backtrace(v, b, a, s, e, segments) for b, a, s, e in zip(cols["body"], cols["ahead"], cols["enter"], cols["leave"])]
+            chunks = list(zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "enter", "leave"))))
+            ids = _in_passes(v, [x[0] for x in chunks], segments, lambda n, cut: backtrace(v, *chunks[n], segments, cut))
             keep = [batch.column(c) for c in ("key", "doc_id", "part", "chunk", "n_chars", "digest", "score")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(ids, pa.list_(pa.int32()))], ["key", "doc_id", "part", "chunk", "n_chars", "digest", "score", "ids"])
 

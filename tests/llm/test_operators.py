@@ -445,3 +445,22 @@ def test_pooling_holds_a_bounded_number_of_tokens(monkeypatch):
     means, more = quality.pooled(texts, tokens)
     assert np.allclose(means, all_at_once, atol=1e-6) and (extra == more).all()
     assert max(widest) <= 1500
+
+
+def test_lattices_of_all_lengths_go_side_by_side(vocabulary, monkeypatch):
+    """A pass over segments of many lengths is one group of steps; characters without a piece and equal first bits change nothing."""
+    rng = np.random.default_rng(5)
+    found = sorted({"▁" * int(rng.integers(0, 2)) + "".join(rng.choice(list("abcdeinorst\U0001f9ffé"), rng.integers(1, 70))) for _ in range(400)})
+    for bits in (pieces.Lattices.BITS, 6):
+        monkeypatch.setattr(pieces.Lattices, "BITS", bits)
+        lattices = pieces.Lattices(vocabulary)
+        short = [g for g in lattices.segmented(found) if len(g[0]) > 1]
+        assert len(short) == 1
+        got = {}
+        for own, scores, ids, many, shown in lattices.segmented(found):
+            parts = np.split(ids, np.cumsum(many)[:-1])
+            got |= {s: (score, part.tolist(), b) for s, score, part, b in zip(own, scores.tolist(), parts, shown)}
+        assert sorted(got) == found
+        for s in found:
+            score, ids = pieces.encode(vocabulary, s)
+            assert got[s][1] == ids and got[s][0] == pytest.approx(score) and got[s][2].decode() == s.replace("▁", " ")
