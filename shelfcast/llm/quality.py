@@ -141,7 +141,8 @@ def pooled(texts: list, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
         if len(found) > tokens.most:
             added = np.zeros(means.shape[1])
             for p in range(0, len(found), tokens.most):
-                added += tokens.rows[tokens.ids(found[p : p + tokens.most])].sum(axis=0, dtype=np.float64)
+                ids = tokens.ids(found[p : p + tokens.most])  # may replace tokens.rows by a longer array
+                added += tokens.rows[ids].sum(axis=0, dtype=np.float64)
                 tokens.trim()
             means[i] = added / len(found)
             continue

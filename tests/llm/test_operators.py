@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -447,6 +448,17 @@ def test_pooling_holds_a_bounded_number_of_tokens(monkeypatch):
     assert max(widest) <= 1500
 
 
+def test_pooling_long_texts_of_new_words():
+    """The rows of the tokens are replaced by a longer array while a long text goes through."""
+    words = ["".join(c) for c in itertools.product("abcdefghij", repeat=5)][:40_000]
+    values = lambda new: np.array([[int(t.translate(str.maketrans("abcdefghij", "0123456789")))] for t in new], np.float32).repeat(2 * quality.DIM, axis=1)
+    tokens = quality.Tokens(2 * quality.DIM, values)
+    assert tokens.most < len(words)
+    means, extra = quality.pooled([" ".join(words), "aaaab aaaad", " ".join(words[::-1])], tokens)
+    assert np.allclose(means[:, 0], [19_999.5, 2.0, 19_999.5])
+    assert extra[:, 1].tolist() == [1.0, 1.0, 1.0]
+
+
 def test_lattices_of_all_lengths_go_side_by_side(vocabulary, monkeypatch):
     """A pass over segments of many lengths is one group of steps; characters without a piece and equal first bits change nothing."""
     rng = np.random.default_rng(5)
