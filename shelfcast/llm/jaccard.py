@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.graph import components
@@ -43,8 +43,6 @@ FREQUENT = 64
 CLASS_TOKENS = 16
 #: Members of a group that those outside its main component meet before all others. Groups up to this size are done then.
 ANCHORS = 16
-#: Words of the short parity map that is compared where members of large groups meet.
-SHORT = 8
 #: Bits of the filter that tells which documents' sets are needed to verify.
 FILTER_BITS = 1 << 26
 CACHE_WORDS = 100_000
@@ -100,23 +98,23 @@ def set_class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def parity(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
+def parity(tokens: np.ndarray) -> np.ndarray:
     """Parity map of a set in words of 64 bits; their number is a power of two. Adding the halves of a map (exclusive or)
     gives the map of half the length."""
-    size = 64 * words if words else 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
+    size = 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
     odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_PROFILE = "doc_id long, cls long, n long, parity binary, short array<long>, block int, counts binary"
+_PROFILE = "doc_id long, cls long, n long, parity binary, block int, counts binary"
 
 
 def _profiles(batches):
     """Class and size of each document, then the task's counters."""
     hashes, counters = WordHashes(), np.zeros(COUNTERS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        ids, cls, size, odd, short = batch.column(0), [], [], [], []
+        ids, cls, size, odd = batch.column(0), [], [], []
         for text in (value.as_py() for value in batch.column(1)):
             tokens = shingles(text, hashes)
             slots, n = np.unique(tokens & np.uint64(COUNTERS - 1), return_counts=True)
@@ -124,14 +122,13 @@ def _profiles(batches):
             cls.append(set_class(tokens))
             size.append(len(tokens))
             odd.append(parity(tokens).tobytes())
-            short.append(parity(tokens, SHORT))
         none = [None] * len(cls)
-        columns = (cls, size, odd, short, none, none)
+        columns = (cls, size, odd, none, none)
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:]))], schema=schema)
     if counters.any():
         for i, part in enumerate(np.split(counters, BLOCKS)):
             packed = zlib.compress(part.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, None, i, packed), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, i, packed), schema)], schema=schema)
 
 
 def _flags(limit: float):
@@ -153,7 +150,7 @@ def frequent_flags(profiles: DataFrame) -> np.ndarray:
     limit = load + 6 * math.sqrt(load) + FREQUENT
     flags = np.zeros(COUNTERS, bool)
     counted = profiles.where(F.col("block").isNotNull()).select("block", "counts")
-    for r in counted.repartition(BLOCKS, "block").groupBy("block").applyInArrow(_grouped(_flags(limit)), "block int, flags binary").toLocalIterator():
+    for r in counted.repartition(BLOCKS, "block").groupBy("block").applyInArrow(_grouped(_flags(limit)), "block int, flags binary").collect():
         size = COUNTERS // BLOCKS
         flags[r["block"] * size : (r["block"] + 1) * size] = np.unpackbits(np.frombuffer(r["flags"], np.uint8)).astype(bool)
     return flags
@@ -248,11 +245,12 @@ def _bits(batches):
 
 
 def _needed_filter(ids: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits with the hashed ids; more ids than bits only let more documents through."""
+    """A filter of FILTER_BITS bits with the hashed ids; more ids than bits only let more documents through. Its 8 MB come
+    back in one job, as one job for each partition would take their tasks one after another."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
     slots = ids.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(0xFFFF).alias("at")).distinct()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in slots.groupBy("block").applyInArrow(_grouped(_bits), "block int, bits binary").toLocalIterator():
+    for r in slots.groupBy("block").applyInArrow(_grouped(_bits), "block int, bits binary").collect():
         bits[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
@@ -273,12 +271,6 @@ def _set_rows(bits):
     return rows
 
 
-def _enough(differing: Column) -> Column:
-    """Whether sets of x_n and y_n tokens, of which at least so many are not shared, can link."""
-    both = F.col("x_n") + F.col("y_n")
-    return (100 + PER_CENT) * (both - differing) >= 2 * PER_CENT * both
-
-
 def _maps(found: pa.Array) -> np.ndarray:
     """Maps of one length as rows of 64-bit words."""
     return np.frombuffer(b"".join(found.to_pylist()), np.uint64).reshape(len(found), -1)
@@ -339,19 +331,25 @@ def _with_anchors(members: DataFrame, anchors: int) -> DataFrame:
     return pairs.select(F.least("cls", "met").alias("x"), F.greatest("cls", "met").alias("y")).distinct()
 
 
-def _outside(members: DataFrame) -> DataFrame:
-    """Pairs of classes (x < y) that share a group and lie in different components, one of them not in that of the
-    group's center, and whose short parity maps leave enough to share."""
-    others = members.where("NOT main")
-    x, y = ([F.col(a).alias(f"{c}_{a}") for a in ("cls", "n", "index", "comp", "main", "short")] for c in "xy")
-    right = members.join(others.select("sig").distinct(), "sig", "left_semi")
-    differing = sum((F.bit_count(F.col("x_short")[i].bitwiseXOR(F.col("y_short")[i])) for i in range(SHORT)), F.lit(0))
-    once = (F.col("y_main") | (F.col("x_cls") < F.col("y_cls"))) & _enough(differing)
+def _first_meetings(members: DataFrame) -> DataFrame:
+    """Pairs of classes (x < y) that share a group and lie in different components, each once or a few times.
+
+    Classes that share a passage share many groups. All groups get one order, in which those with the same smallest and
+    largest member follow each other, and a member keeps its group before. Two classes make a pair in the first group
+    that both are in: there their groups before differ, or one has none. Where those are equal the two have met already.
+    Of two members with different components, one is outside the main component, so groups without outsiders are left out.
+    """
+    group, own = Window.partitionBy("sig"), Window.partitionBy("cls").orderBy("low", "high", "sig")
+    placed = members.withColumn("low", F.min("cls").over(group)).withColumn("high", F.max("cls").over(group)).withColumn("whole", F.min("main").over(group))
+    placed = placed.where("NOT whole").select("sig", "cls", "n", "comp", "main", F.lag("sig").over(own).alias("before"))
+    told = (F.min("before").over(group) != F.max("before").over(group)) | (F.count("before").over(group) < F.count("*").over(group))
+    placed = placed.withColumn("told", told).where("told").drop("told")
+    x, y = (placed.select("sig", *[F.col(a).alias(f"{c}_{a}") for a in ("cls", "n", "comp", "main", "before")]) for c in "xy")
+    once = F.col("y_main") | (F.col("x_cls") < F.col("y_cls"))
     close = 100 * F.least("x_n", "y_n") >= PER_CENT * F.greatest("x_n", "y_n")
-    x_smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_cls") < F.col("y_cls")))
-    met = F.when(x_smaller, F.col("x_index")).otherwise(F.col("y_index"))
-    pairs = others.select("sig", *x).join(right.select("sig", *y), "sig").where((F.col("x_comp") != F.col("y_comp")) & close & met & once)
-    return pairs.select(F.least("x_cls", "y_cls").alias("x"), F.greatest("x_cls", "y_cls").alias("y")).distinct()
+    met = F.coalesce(F.col("x_before") == F.col("y_before"), F.lit(False))
+    pairs = x.where("NOT x_main").join(y, "sig").where((F.col("x_comp") != F.col("y_comp")) & close & ~met & once)
+    return pairs.select(F.least("x_cls", "y_cls").alias("x"), F.greatest("x_cls", "y_cls").alias("y"))
 
 
 def _sets(needed: DataFrame, rows: DataFrame, unique: bool) -> DataFrame:
@@ -400,8 +398,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(rows.mapInArrow(_profiles, _PROFILE), "profiles")
-    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity", "short")
-    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity"), F.first("short").alias("short")), "classes")
+    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity")
+    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity")), "classes")
     make = _signature_rows(frequent_flags(profiles))
     signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, index boolean")
     group = Window.partitionBy("sig")
@@ -423,10 +421,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         links = spark.createDataFrame([], "a long, b long")
     joined = components(links)
     for larger, anchors in ((groups, ANCHORS), (groups.where(F.col("size") > ANCHORS), None)):
-        of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"), *([] if anchors else ["short"]))
+        of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
         written = write_table(_members(larger, of), "members")
         members = spark.read.parquet(written)
-        pairs = _with_anchors(members, anchors) if anchors else _outside(members)
+        pairs = _with_anchors(members, anchors) if anchors else _first_meetings(members).distinct()
         pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti"), "tried")
         drop_table(spark, written)
         tried = tried.union(pairs)

@@ -93,6 +93,26 @@ def test_jaccard_of_no_rows(spark):
     assert jaccard.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_jaccard_classes_meet_in_the_first_common_group(spark):
+    """What all members of the groups give in pairs, but not once for every group that two members share."""
+    rng = random.Random(5)
+    comp = {c: rng.choice([c, c, c // 4]) for c in range(40)}
+    size = {c: rng.choice([100, 110, 160]) for c in range(40)}
+    passages = [rng.sample(range(40), rng.choice([5, 12, 20])) for _ in range(6)]
+    groups = {100 * p + k: [c for c in found if c % 7 or k < 30] for p, found in enumerate(passages) for k in range(60)}
+    groups |= {10_000 + k: rng.sample(range(40), 3) for k in range(100)}
+    rows = [(s, c, size[c], True, comp[c], comp[c] == comp[min(found)]) for s, found in groups.items() for c in found]
+    members = spark.createDataFrame(rows, "sig long, cls long, n int, index boolean, comp long, main boolean")
+    expected, every = set(), 0
+    for found in groups.values():
+        pairs = {(x, y) for x in found for y in found if x < y and comp[x] != comp[y] and 100 * min(size[x], size[y]) >= 75 * max(size[x], size[y])}
+        expected |= pairs
+        every += len(pairs)
+    got = [tuple(r) for r in jaccard._first_meetings(members).collect()]
+    assert set(got) == expected
+    assert len(got) * 5 < every
+
+
 def test_fingerprints(spark, texts):
     got = fingerprints.compare_with_next(make(spark, texts), ranges=5).orderBy("doc_id").collect()
     plain = [t or "" for _, t in texts]
