@@ -10,15 +10,20 @@ prefix of rare tokens, the index, has to meet the other's prefix.
 
 Every class has a parity map of two to four bits per token: a bit is set if an odd number of tokens falls on it. Two
 maps differ in no more bits than the sets differ in tokens, so pairs whose maps differ in too many cannot link;
-the sets of the others are moved and compared.
+the sets of the others are moved and compared. A short map of one length for all classes does the same inside the join
+of the last round, before a pair becomes a row.
 
 Documents with equal sets are one class and enter once per task. In the group of a combination, all are verified
 against the smallest first. Documents that the links leave outside the smallest one's component then meet ``ANCHORS``
 members of each group, and only those that are still outside meet all members of the larger groups. So a group of n near
-copies costs some n verifications, not n * n, and its component is the same.
+copies costs some n verifications, not n * n, and its component is the same. What of them links with none is still
+compared with all by short maps, the only step whose comparisons grow with the product of the two; pairs come of those
+whose maps are close.
 """
 
+import functools
 import math
+import operator
 import re
 import zlib
 
@@ -26,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.llm.graph import components
-from shelfcast.session import drop_table, materialize, write_table
+from shelfcast.session import drop_table, materialize, read_table, write_table
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
@@ -43,6 +48,8 @@ FREQUENT = 64
 CLASS_TOKENS = 16
 #: Members of a group that those outside its main component meet before all others. Groups up to this size are done then.
 ANCHORS = 16
+#: 64-bit words of a short parity map.
+SHORT_WORDS = 16
 #: Bits of the filter that tells which documents' sets are needed to verify.
 FILTER_BITS = 1 << 26
 CACHE_WORDS = 100_000
@@ -98,23 +105,23 @@ def set_class(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """Parity map of a set in words of 64 bits; their number is a power of two. Adding the halves of a map (exclusive or)
-    gives the map of half the length."""
-    size = 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
+def parity(tokens: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parity map of a set in words of 64 bits; their number, if not given by the set's size, is a power of two. Adding the
+    halves of a map (exclusive or) gives the map of half the length."""
+    size = 64 * words if words else 64 << max(0, (2 * len(tokens) - 1).bit_length() - 6)
     odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_PROFILE = "doc_id long, cls long, n long, parity binary, block int, counts binary"
+_PROFILE = "doc_id long, cls long, n long, parity binary, short array<long>, block int, counts binary"
 
 
 def _profiles(batches):
     """Class and size of each document, then the task's counters."""
     hashes, counters = WordHashes(), np.zeros(COUNTERS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("short", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
-        ids, cls, size, odd = batch.column(0), [], [], []
+        ids, cls, size, odd, short = batch.column(0), [], [], [], []
         for text in (value.as_py() for value in batch.column(1)):
             tokens = shingles(text, hashes)
             slots, n = np.unique(tokens & np.uint64(COUNTERS - 1), return_counts=True)
@@ -122,13 +129,14 @@ def _profiles(batches):
             cls.append(set_class(tokens))
             size.append(len(tokens))
             odd.append(parity(tokens).tobytes())
+            short.append(parity(tokens, SHORT_WORDS))
         none = [None] * len(cls)
-        columns = (cls, size, odd, none, none)
+        columns = (cls, size, odd, short, none, none)
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, f.type) for v, f in zip(columns, list(schema)[1:]))], schema=schema)
     if counters.any():
         for i, part in enumerate(np.split(counters, BLOCKS)):
             packed = zlib.compress(part.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, i, packed), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, None, i, packed), schema)], schema=schema)
 
 
 def _flags(limit: float):
@@ -331,9 +339,18 @@ def _with_anchors(members: DataFrame, anchors: int) -> DataFrame:
     return pairs.select(F.least("cls", "met").alias("x"), F.greatest("cls", "met").alias("y")).distinct()
 
 
-def _first_meetings(members: DataFrame) -> DataFrame:
+def _enough(differing: Column) -> Column:
+    """Whether the tokens that differ at least leave x and y enough to share."""
+    both = F.col("x_n") + F.col("y_n")
+    return (100 + PER_CENT) * (both - differing) >= 2 * PER_CENT * both
+
+
+def _first_meetings(members: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """Pairs of classes (x < y) that share a group and lie in different components, each once or a few times.
 
+    ``maps`` has the short map of every class (cls, short); pairs whose maps leave too little to share are left out. They
+    are compared in the join's condition, so that such pairs are no rows.
+
     Classes that share a passage share many groups. All groups get one order, in which those with the same smallest and
     largest member follow each other, and a member keeps its group before. Two classes make a pair in the first group
     that both are in: there their groups before differ, or one has none. Where those are equal the two have met already.
@@ -342,13 +359,19 @@ def _first_meetings(members: DataFrame) -> DataFrame:
     group, own = Window.partitionBy("sig"), Window.partitionBy("cls").orderBy("low", "high", "sig")
     placed = members.withColumn("low", F.min("cls").over(group)).withColumn("high", F.max("cls").over(group)).withColumn("whole", F.min("main").over(group))
     placed = placed.where("NOT whole").select("sig", "cls", "n", "comp", "main", F.lag("sig").over(own).alias("before"))
+    if maps is not None:  # here, as the rows lie by cls
+        placed = placed.join(maps, "cls")
     told = (F.min("before").over(group) != F.max("before").over(group)) | (F.count("before").over(group) < F.count("*").over(group))
     placed = placed.withColumn("told", told).where("told").drop("told")
-    x, y = (placed.select("sig", *[F.col(a).alias(f"{c}_{a}") for a in ("cls", "n", "comp", "main", "before")]) for c in "xy")
+    x, y = (placed.select("sig", *[F.col(a).alias(f"{c}_{a}") for a in placed.columns if a != "sig"]) for c in "xy")
     once = F.col("y_main") | (F.col("x_cls") < F.col("y_cls"))
     close = 100 * F.least("x_n", "y_n") >= PER_CENT * F.greatest("x_n", "y_n")
     met = F.coalesce(F.col("x_before") == F.col("y_before"), F.lit(False))
-    pairs = x.where("NOT x_main").join(y, "sig").where((F.col("x_comp") != F.col("y_comp")) & close & ~met & once)
+    wanted = (F.col("x_comp") != F.col("y_comp")) & close & ~met & once
+    if maps is not None:
+        bits = (F.bit_count(F.col("x_short")[i].bitwiseXOR(F.col("y_short")[i])) for i in range(SHORT_WORDS))
+        wanted &= _enough(functools.reduce(operator.add, bits))
+    pairs = x.where("NOT x_main").join(y, "sig").where(wanted)
     return pairs.select(F.least("x_cls", "y_cls").alias("x"), F.greatest("x_cls", "y_cls").alias("y"))
 
 
@@ -398,8 +421,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = materialize(rows.mapInArrow(_profiles, _PROFILE), "profiles")
-    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity")
-    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity")), "classes")
+    own = profiles.where(F.col("block").isNull()).select("doc_id", "cls", "n", "parity", "short")
+    maps = [F.first(c).alias(c) for c in ("parity", "short")]
+    reps = materialize(own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *maps), "classes")
     make = _signature_rows(frequent_flags(profiles))
     signed = rows.select("text").mapInArrow(lambda b: _gathered(make(b)), "sig long, cls long, n int, index boolean")
     group = Window.partitionBy("sig")
@@ -412,7 +436,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("sig", "cls", "n", "index", "size", F.col("c.cls").alias("center"), F.col("c.n").alias("center_n"))
         .dropDuplicates(["sig", "cls"])  # a class comes once from each task; the windows have dealt the rows by sig
     )
-    groups = materialize(starred, "groups")
+    stored = write_table(starred, "groups")
+    groups = read_table(spark, stored, starred.schema)
     first = groups.where((F.col("center") != F.col("cls")) & (100 * F.least("center_n", "n") >= PER_CENT * F.greatest("center_n", "n")))
     tried = materialize(first.select(F.least("cls", "center").alias("x"), F.greatest("cls", "center").alias("y")).distinct(), "tried")
     unique = own.where("n > 0").groupBy("doc_id", "cls").count().where("count > 1").isEmpty()
@@ -424,7 +449,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         of = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("comp"))
         written = write_table(_members(larger, of), "members")
         members = spark.read.parquet(written)
-        pairs = _with_anchors(members, anchors) if anchors else _first_meetings(members).distinct()
+        pairs = _with_anchors(members, anchors) if anchors else _first_meetings(members, reps.select("cls", "short")).distinct()
         pairs = materialize(pairs.join(tried, ["x", "y"], "left_anti"), "tried")
         drop_table(spark, written)
         tried = tried.union(pairs)
@@ -432,6 +457,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if more is not None:
             links = links.union(more)
             joined = components(links)
+    drop_table(spark, stored)
     reached = reps.join(joined, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reached, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")

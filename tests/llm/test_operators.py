@@ -113,6 +113,24 @@ def test_jaccard_classes_meet_in_the_first_common_group(spark):
     assert len(got) * 5 < every
 
 
+def test_jaccard_distant_members_of_a_group_are_no_rows(spark):
+    """Of all pairs in a group of near copies, rows come of those that may link; none that links is lost."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 160).astype(np.uint64)
+    sets = {c: np.unique(np.concatenate([rng.permutation(base)[: 160 - k], rng.integers(0, 2**63, k).astype(np.uint64)])) for c in range(200) for k in [int(rng.integers(8, 50))]}
+    rows = [(s, c, len(t), True, c, c == 0) for s in range(3) for c, t in sets.items()]
+    members = spark.createDataFrame(rows, "sig long, cls long, n int, index boolean, comp long, main boolean")
+    maps = [(c, jaccard.parity(t, jaccard.SHORT_WORDS).tolist()) for c, t in sets.items()]
+    linked = set()
+    for x, y in itertools.combinations(sets, 2):
+        shared = len(np.intersect1d(sets[x], sets[y]))
+        if 100 * shared >= 75 * (len(sets[x]) + len(sets[y]) - shared):
+            linked.add((x, y))
+    got = [tuple(r) for r in jaccard._first_meetings(members, spark.createDataFrame(maps, "cls long, short array<long>")).collect()]
+    assert linked and linked <= set(got)
+    assert len(got) < 2 * len(linked) < len(jaccard._first_meetings(members).collect()) / 5
+
+
 def test_fingerprints(spark, texts):
     got = fingerprints.compare_with_next(make(spark, texts), ranges=5).orderBy("doc_id").collect()
     plain = [t or "" for _, t in texts]
