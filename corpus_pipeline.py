@@ -43,8 +43,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it (not at all to twice)."""
-    mixed = mixing.mix(docs.withColumn("_words", word_count(F.col("text"))).withColumnRenamed("_words", "words__"), size_col="words__")
+    """Documents in training order, each as often as the mix takes it (not at all to twice). Only the copies are sorted."""
+    mixed = mixing.mix(docs.withColumn("words__", word_count(F.col("text"))), size_col="words__", ordered=False)
     return mixing.training_rows(mixed, docs.columns)
 
 

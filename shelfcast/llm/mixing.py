@@ -73,9 +73,12 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix",
+    ordered: bool = True,
 ) -> DataFrame:
     """All columns of ``sized`` with the decision for each row, in training order of its first copy.
 
+    With ``ordered=False`` the rows stay as they lie, for a caller that orders them by itself: a sort moves all columns.
+
     ``sized`` has a non-null whole number of words in ``size_col``. Added: source_size, target, copies (whole times
     that the document is taken), taken (copies * size), first_position and last_position (0..1; null if not taken).
     Input columns of these names or beginning with ``_`` are replaced.
@@ -122,7 +125,7 @@ def mix(
         return F.when((copy >= 0) & (F.col("target") > 0), F.lit(2.0) * asked / (a + F.sqrt(a * a + F.lit(2.0) * (b - a) * asked)))
 
     first = position(F.when(F.col("copies") > 0, F.lit(0)))
-    return placed.select(
+    mixed = placed.select(
         *[F.col(f"`{c}`") for c in keep],
         "source_size",
         "target",
@@ -130,11 +133,12 @@ def mix(
         "taken",
         first.alias("first_position"),
         position(F.col("copies") - 1).alias("last_position"),
-    ).orderBy("first_position", id_col, size_col)
+    )
+    return mixed.orderBy("first_position", id_col, size_col) if ordered else mixed
 
 
 def training_rows(mixed: DataFrame, columns: Sequence[str], id_col: str = "doc_id") -> DataFrame:
-    """One row per taken copy with ``columns``, range-sorted by position."""
+    """One row per taken copy with ``columns``, range-sorted by position; ``mixed`` need not be ordered."""
     at = F.when(F.col("copies") == 1, F.array("first_position")).otherwise(F.array("first_position", "last_position"))
     return (
         mixed.where(F.col("copies") > 0)

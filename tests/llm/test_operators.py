@@ -218,6 +218,17 @@ def test_mixing(spark, texts):
     assert mixing.training_rows(mixing.mix(sized), docs.columns).count() == sum(r.copies for r in got)
 
 
+def test_pipeline_mixing_sorts_texts_once(spark, texts):
+    """The copies are sorted by position; the documents they are made of are not sorted before."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = make(spark, texts)
+    got = pipeline.mix_sources(spark, docs, "")
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("Sort [") == 1
+    mixed = mixing.mix(docs.withColumn("words", word_count(F.col("text"))), size_col="words").collect()
+    copies = [(p, r.doc_id) for r in mixed if r.copies for p in ([r.first_position] if r.copies == 1 else [r.first_position, r.last_position])]
+    assert [r.doc_id for r in got.collect()] == [i for _, i in sorted(copies, key=lambda c: (c[0] is not None, c[0] or 0, c[1]))]
+
+
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_sharding(spark, texts, law):
     docs = make(spark, texts + texts[:3])
